@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkcurate.functions.text import any_pattern, fold_case, let, may_match
+from linkcurate.functions.text import any_pattern, fold_case, gated, let
 from linkcurate.rules import CATEGORY_PATTERNS, KEYWORD_FALLBACK
 
 Rules = Mapping[str, Sequence[str]]
@@ -20,21 +20,26 @@ def rule_scores(corpus: Column, rules: Rules = CATEGORY_PATTERNS) -> Column:
     category. Matching ignores case. A pattern is counted only in texts that
     hold one of its required words.
     """
+    ranked = [(rank, category, p) for rank, (category, ps) in enumerate(rules.items()) for p in ps]
+
     def scored(folded: Column) -> Column:
-        scores = []
-        for rank, (category, patterns) in enumerate(rules.items()):
-            score = F.lit(0)
-            for pattern in patterns:
-                matches = F.regexp_count(folded, F.lit(any_pattern(pattern)))
-                score = score + F.when(may_match(folded, pattern), matches).otherwise(0)
-            scores.append(
-                F.struct(
-                    score.cast("int").alias("score"),
-                    F.lit(-rank).alias("neg_rank"),
-                    F.lit(category).alias("category"),
-                )
+        def scores(gates: list[Column]) -> Column:
+            total: dict[int, Column] = {}
+            for gate, (rank, _, pattern) in zip(gates, ranked, strict=True):
+                matches = F.when(gate, F.regexp_count(folded, F.lit(any_pattern(pattern)))).otherwise(0)
+                total[rank] = total[rank] + matches if rank in total else matches
+            return F.filter(
+                F.array(*[
+                    F.struct(
+                        total[rank].cast("int").alias("score"), F.lit(-rank).alias("neg_rank"),
+                        F.lit(category).alias("category"),
+                    )
+                    for rank, category in {(r, c): None for r, c, _ in ranked}
+                ]),
+                lambda s: s["score"] > 0,
             )
-        return F.filter(F.array(*scores), lambda s: s["score"] > 0)
+
+        return gated(folded, [p for _, _, p in ranked], scores)
 
     return let(fold_case(corpus), scored)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkcurate.functions.text import any_pattern, fold_case, head, let, may_match, strip
+from linkcurate.functions.text import any_pattern, fold_case, gated, head, let, strip
 from linkcurate.rules import LOGIN_PATTERNS, LOGIN_WINDOW, MIN_NOTE, MIN_TEXT, STUB_NOTE
 
 
@@ -30,15 +30,14 @@ def integrity_reason(
         return F.when(size < min_chars, label)
 
     def login_reason(start: Column) -> Column:
-        def first_hit(folded: Column) -> Column:
+        def first_hit(gates: list[Column]) -> Column:
             reason = F.lit(None).cast("string")
-            for pattern in reversed(patterns):
-                hit = may_match(folded, pattern) & start.rlike(any_pattern(pattern))
+            for gate, pattern in reversed(list(zip(gates, patterns, strict=True))):
                 label = F.lit(f"Detected login wall pattern matching '{pattern}'")
-                reason = F.when(hit, label).otherwise(reason)
+                reason = F.when(gate & start.rlike(any_pattern(pattern)), label).otherwise(reason)
             return reason
 
-        return let(fold_case(start), first_hit)
+        return gated(fold_case(start), patterns, first_hit)
 
     return let(
         strip(F.coalesce(text, F.lit(""))),

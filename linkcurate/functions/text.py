@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ WORD = "[a-zA-Zа-яА-ЯіїєґІЇЄҐıİſ\u212a]"
 STUTTER_STEP = 100
 STUTTER_PASSES = 4
 
+# Up to this many words are searched for one by one.
+FEW_WORDS = 24
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with the value computed once, however often `use` mentions it."""
@@ -62,49 +66,88 @@ def fold_case(text: Column) -> Column:
     return F.lower(text)
 
 
-def required_words(pattern: str) -> list[str] | None:
-    """Folded words of which every match of the pattern holds at least one, None if unknown."""
-    parser = re._parser
+def required_words(pattern: str) -> list[tuple[str, bool]] | None:
+    """Folded words of which every match of the pattern holds at least one, None if unknown.
+
+    The flag tells that the word stands between boundaries, so it is a whole
+    word of the text. Long words are preferred, then whole ones.
+    """
+    parser, constants = re._parser, re._constants
 
-    def better(a: list[str] | None, b: list[str] | None) -> list[str] | None:
+    def better(a, b):
         if a is None or b is None:
             return a or b
-        return max(a, b, key=lambda words: min(map(len, words)))
-
-    def of(items) -> list[str] | None:
-        best, run = None, ""
-        for op, value in [*items, (None, None)]:
-            if op is parser.LITERAL:
-                run += chr(value)
-                continue
-            if run:
-                best, run = better(best, [run.lower()]), ""
-            if op is parser.SUBPATTERN:
-                best = better(best, of(value[-1]))
+        return max(a, b, key=lambda ws: (
+            min(len(w) for w, _ in ws) > 3, all(whole for _, whole in ws), min(len(w) for w, _ in ws)
+        ))
+
+    def parts_words(item) -> bool:
+        """Whether an item always puts a boundary next to a word."""
+        op, value = item
+        if op is parser.AT:
+            return value is constants.AT_BOUNDARY
+        if op is parser.LITERAL:
+            return not (chr(value).isalnum() or chr(value) == "_")
+        spaces = [(parser.IN, [(parser.CATEGORY, constants.CATEGORY_SPACE)])]
+        return op is parser.MAX_REPEAT and value[0] > 0 and list(value[2]) == spaces
+
+    def of(items, left: bool, right: bool):
+        items, best, at = list(items), None, 0
+        while at < len(items):
+            op, value = items[at]
+            end = at + 1
+            if op is parser.LITERAL and not parts_words(items[at]):
+                while end < len(items) and items[end][0] is parser.LITERAL and not parts_words(items[end]):
+                    end += 1
+            begins = left if at == 0 else parts_words(items[at - 1])
+            ends = right if end == len(items) else parts_words(items[end])
+            if op is parser.LITERAL and not parts_words(items[at]):
+                word = "".join(chr(c) for _, c in items[at:end]).lower()
+                best = better(best, [(word, begins and ends)])
+            elif op is parser.SUBPATTERN:
+                best = better(best, of(value[-1], begins, ends))
             elif op is parser.MAX_REPEAT and value[0] > 0:
-                best = better(best, of(value[2]))
+                best = better(best, of(value[2], False, False))
             elif op is parser.BRANCH:
-                parts = [of(branch) for branch in value[1]]
-                if all(parts):
-                    best = better(best, sorted({w for part in parts for w in part}))
+                branches = [of(branch, begins, ends) for branch in value[1]]
+                if all(branches):
+                    best = better(best, sorted({w for branch in branches for w in branch}))
+            at = end
         return best
 
-    words = of(parser.parse(pattern))
-    return words if words and min(map(len, words)) > 1 else None
+    words = of(parser.parse(pattern), False, False)
+    return words if words and min(len(w) for w, _ in words) > 1 else None
 
 
-def may_match(folded: Column, *patterns: str) -> Column:
-    """A cheap test that no match fails: plain substring search for the required words.
+def gated(folded: Column, patterns: Sequence[str], use: Callable[[list[Column]], Column]) -> Column:
+    """`use(gates)` with one cheap test per pattern that no text with a match fails.
 
-    `folded` is the output of `fold_case`.
+    A few required words are searched for in `folded` (see `fold_case`). When
+    there are many, the text is split once and its words are looked up in the
+    set of required whole words.
     """
-    words = [required_words(p) for p in patterns]
-    if not all(words):
-        return F.lit(True)
-    test = F.lit(False)
-    for word in dict.fromkeys(w for part in words for w in part):
-        test = test | folded.contains(word)
-    return test
+    required = [required_words(p) for p in patterns]
+    known = sorted({w for r in required if r for w, whole in r if whole})
+    if len(known) <= FEW_WORDS:
+        required, known = [r and [(w, False) for w, _ in r] for r in required], []
+
+    def tests(lower: Column, found: Column) -> Column:
+        gates = []
+        for r in required:
+            whole = [F.lit(w) for w, is_whole in r or [] if is_whole]
+            gate = F.arrays_overlap(found, F.array(*whole)) if whole else F.lit(r is None)
+            for word in (w for w, is_whole in r or [] if not is_whole):
+                gate = gate | lower.contains(word)
+            gates.append(gate)
+        return use(gates)
+
+    def looked_up(lower: Column) -> Column:
+        if not known:
+            return tests(lower, F.array())
+        words = F.array_intersect(F.split(lower, r"(?U)\W+"), F.array(*map(F.lit, known)))
+        return let(words, lambda found: tests(lower, found))
+
+    return let(folded, looked_up)
 
 
 def safe_file_name(title: Column, max_length: int = 80) -> Column:
@@ -115,10 +158,13 @@ def safe_file_name(title: Column, max_length: int = 80) -> Column:
     """
     name = F.regexp_replace(title, r'[\\/*?:"<>|#\[\]^~`]', "")
     name = strip(F.regexp_replace(name, rf"(?U)[{SPACE_CLASS}_]+", " "))
-    name = F.when(name == "", F.lit("untitled_note")).otherwise(name)
-    return F.when(
-        F.length(name) > max_length, F.regexp_replace(head(name, max_length), " [^ ]*$", "")
-    ).otherwise(name)
+    name = F.coalesce(F.nullif(name, F.lit("")), F.when(title.isNotNull(), F.lit("untitled_note")))
+    return let(
+        name,
+        lambda n: F.when(
+            F.length(n) > max_length, F.regexp_replace(head(n, max_length), " [^ ]*$", "")
+        ).otherwise(n),
+    )
 
 
 def remove_sound_tags(text: Column, tags: Sequence[str] = tuple(SOUND_TAGS)) -> Column:
@@ -162,8 +208,10 @@ def clean_promo(text: Column, patterns: Sequence[str] = tuple(PROMO_PATTERNS)) -
         for pattern in patterns:
             cleaned = F.regexp_replace(cleaned, any_pattern(pattern), "")
         # One gate for all patterns: a removal may create a match for a later one.
-        touched = let(fold_case(given), lambda folded: may_match(folded, *patterns))
-        return F.when(touched, cleaned).otherwise(given)
+        return gated(
+            fold_case(given), patterns,
+            lambda gates: F.when(reduce(Column.__or__, gates, F.lit(False)), cleaned).otherwise(given),
+        )
 
     return F.coalesce(squeeze(let(text, clean)), F.lit(""))
 

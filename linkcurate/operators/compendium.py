@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkcurate.functions.notes import excerpt
 from linkcurate.operators.joins import small_side
 from linkcurate.rules import CHAPTER_THEME_DEFAULT, DOMAIN_THEMES, TABLE_THEME_DEFAULT
+from linkcurate.sources.tables import materialize
 
 TAGS_SHOWN = 5
 INSIGHTS_SHOWN = 6
@@ -129,7 +130,7 @@ def compendium_lines(notes: DataFrame, generated: Column | None = None) -> DataF
     """
     generated = F.current_timestamp() if generated is None else generated
     valid = notes.filter(~F.col("is_failed"))
-    counts = catalog(notes)
+    counts = materialize(catalog(notes))
     numbered = chapters(counts)
     rule = counts.agg(F.count("*").alias("_")).select(
         F.lit(2).alias("section"), F.lit(0).alias("chapter"), F.lit("").alias("file_path"),

@@ -9,6 +9,13 @@ HOT_SHARE = 200      # a key with 1/200 of all rows is hot, so there are at most
 HOT_ROWS = 100_000   # keys below this many rows are never worth splitting
 SALTS = 64
 SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20  # no key of a side made from less is worth splitting
+
+
+def input_bytes(rows: DataFrame) -> int:
+    """Bytes of the tables a frame reads, by the optimizer's statistics; huge when unknown."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -31,6 +38,7 @@ def join_unique(
     how: str = "left",
     *,
     counted: DataFrame | None = None,
+    small_bytes: int = SMALL_BYTES,
     share: int = HOT_SHARE,
     min_rows: int = HOT_ROWS,
     salts: int = SALTS,
@@ -41,8 +49,11 @@ def join_unique(
     column `spread`; the few right rows they meet are repeated that often. Rows
     without a key are spread too. The broadcast list of hot keys is bounded by
     `share`, whatever the size of the data. Keys are counted on `counted`, a
-    cheaper frame with the same keys, where one exists; by default on `left`.
+    cheaper frame with the same keys, where one exists; by default on `left`. A
+    left side made from less than `small_bytes` is joined as it is.
     """
+    if input_bytes(left) <= small_bytes:
+        return left.join(right, key, how)
     keys = hot_keys(left if counted is None else counted, key, share, min_rows)
     hot = F.broadcast(keys.withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")

@@ -114,15 +114,11 @@ def reprocess_candidates(registry: DataFrame, limit: int | None = None) -> DataF
 
 def _relocated(registry: DataFrame, path: Column, category: Column) -> DataFrame:
     """Registry with path, category and type replaced where `path` is not NULL."""
-    found = path.isNotNull()
-    return registry.select(
-        *[
-            F.when(found, new).otherwise(F.col(c)).alias(c)
-            if (new := {"file_path": path, "category": category, "item_type": item_type(category)}.get(c)) is not None
-            else F.col(c)
-            for c in COLUMNS
-        ]
-    )
+    new = {"file_path": path, "category": category, "item_type": item_type(category)}
+    return registry.select(*[
+        F.when(path.isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
+        for c in COLUMNS
+    ])
 
 
 def sync_with_notes(registry: DataFrame, files: DataFrame) -> DataFrame:

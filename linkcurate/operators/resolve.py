@@ -9,6 +9,7 @@ from linkcurate.functions.notes import file_name, note_head
 from linkcurate.functions.render import note_path
 from linkcurate.functions.text import SPACE_CLASS
 from linkcurate.operators.joins import is_small, join_unique
+from linkcurate.sources.tables import materialize
 
 SHORTEST_URL = 11  # http://a.bc
 
@@ -65,31 +66,33 @@ def resolve_paths(
     A stored path that still exists is reused. A registered note that moved is
     found by its address, then by its file name. Everything else gets
     `{vault}/{category}/{safe title}.md`; the flag tells whether that exists.
+
+    All lookups run on links and paths alone; the items, texts and all, meet
+    the decision in one join at the end.
     """
     stored = registry.select("url", F.col("file_path").alias("_stored"))
-    known = items.join(stored, "url", "left").withColumn(
-        "_default", note_path(vault, F.col("category"), F.col("title"))
-    ).withColumn("_name", file_name(F.col("_stored")))
+    known = materialize(
+        items.select("url", note_path(vault, F.col("category"), F.col("title")).alias("_default"))
+        .join(stored, "url", "left").withColumn("_name", file_name(F.col("_stored")))
+    )
     paths = files.select("file_path").distinct()
     has_stored = paths.select(F.col("file_path").alias("_stored"), F.lit(True).alias("_at_stored"))
     has_default = paths.select(F.col("file_path").alias("_default"), F.lit(True).alias("_at_default"))
 
     placed = join_unique(known, has_stored, "_stored", "url", counted=known)
     placed = join_unique(placed, has_default, "_default", "url", counted=known)
-    lost = stored.join(items.select("url"), "url", "left_semi")
+    lost = known.filter(F.col("_stored").isNotNull()).join(
+        paths.withColumnRenamed("file_path", "_stored"), "_stored", "left_anti"
+    )
     by_address = moved_by_address(lost.select("url"), files, mode)
     by_name = notes_by_name(files).withColumnRenamed("file_name", "_name")
     placed = join_unique(placed.join(by_address, "url", "left"), by_name, "_name", "url", counted=known)
 
-    moved = F.coalesce("moved_path", "named_path")
-    return placed.select(
-        *[F.col(c) for c in items.columns],
+    moved = F.when(F.col("_stored").isNotNull(), F.coalesce("moved_path", "named_path"))
+    decided = placed.select(
+        "url",
         F.when(F.col("_at_stored"), F.col("_stored"))
-        .when(F.col("_stored").isNotNull() & moved.isNotNull(), moved)
-        .otherwise(F.col("_default")).alias("target_path"),
-        (
-            F.coalesce("_at_stored", F.lit(False))
-            | (F.col("_stored").isNotNull() & moved.isNotNull())
-            | F.coalesce("_at_default", F.lit(False))
-        ).alias("is_overwrite"),
+        .otherwise(F.coalesce(moved, F.col("_default"))).alias("target_path"),
+        (F.coalesce("_at_stored", "_at_default", F.lit(False)) | moved.isNotNull()).alias("is_overwrite"),
     )
+    return items.join(decided, "url")

@@ -6,6 +6,8 @@ common table expression of `CTES`; both cover their tables completely.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from linkcurate.functions.urls import authority
 from linkcurate.operators.links import message_links, one_per_url
 from linkcurate.rules import TAXONOMY
 from linkcurate.schemas import TILE
-from linkcurate.sources.tables import balanced
+from linkcurate.sources.tables import balanced, stored
 
 VAULT = "/vault"
 NOTE_DAY = "2025-09-20"
@@ -36,14 +38,17 @@ PROSE_RULES = {
 HOST_ROUTES = [("blog", ["blog."]), ("mobile", ["m."]), ("spam", ["spam-farm", "cheap-pills"]), ("org", [".org"])]
 
 
+@cache
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@cache
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return balanced(table(spark, folder, "documents"))
 
 
+@cache
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     return balanced(table(spark, folder, "pages"))
 
@@ -57,6 +62,7 @@ def _text_of(events: DataFrame, page_urls: DataFrame) -> DataFrame:
     )
 
 
+@cache
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     return _text_of(
         table(spark, folder, "events"), table(spark, folder, "pages").select("page_id", "url")
@@ -67,6 +73,7 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
     return message_links(messages(spark, folder))
 
 
+@cache
 def triaged(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as triage rows: category from the source, tags from language and label."""
     labelled = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left")
@@ -97,16 +104,19 @@ def triaged(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("item_type", item_type(F.col("category")))
 
 
+@cache
 def notes(spark: SparkSession, folder: str) -> DataFrame:
-    """Rendered notes as files of a vault, with the document they come from."""
+    """Rendered notes as files of a vault, with the document they come from; stored once, as a vault is."""
     rows = triaged(spark, folder)
     path = note_path(VAULT, F.col("category"), F.col("title"))
-    return rows.select(
+    files = rows.select(
         path.alias("file_path"), file_name(path).alias("file_name"), "category",
-        note_markdown().alias("content"), "doc_id", "lang", "quality", "url", "title",
+        note_markdown().alias("content"), "doc_id", "lang", "quality", "url", "title", "original_text",
     )
+    return stored(files, "notes")
 
 
+@cache
 def page_registry(spark: SparkSession, folder: str) -> DataFrame:
     """Records of the links to .org and .com hosts, oldest message first."""
     return _records(links(spark, folder), [".org", ".com"], "other")
@@ -144,6 +154,7 @@ def _records(rows: DataFrame, ends: list[str], category: str) -> DataFrame:
     return _rows(one_per_url(_of_hosts(rows, ends)), category, F.lit(True))
 
 
+@cache
 def note_registry(spark: SparkSession, folder: str) -> DataFrame:
     """Records of the labelled notes; those not in English still point to `drafts`."""
     rows = notes(spark, folder).filter(F.col("quality").isNotNull())
@@ -155,10 +166,11 @@ def note_registry(spark: SparkSession, folder: str) -> DataFrame:
         item_type(F.col("category")).alias("item_type"),
         F.col("doc_id").alias("telegram_message_id"),
         (F.lit("2025-09-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("doc_id"))).alias("processed_at"),
-        F.sha2("content", 256).alias("content_hash"),
+        F.sha2("original_text", 256).alias("content_hash"),
     )
 
 
+@cache
 def vault_files(spark: SparkSession, folder: str) -> DataFrame:
     """The notes as files; the Spanish ones lost their front-matter address."""
     return notes(spark, folder).withColumn(
@@ -279,7 +291,7 @@ CTES: dict[str, tuple[list[str], str]] = {
                CASE WHEN category = 'jobs' THEN 'job' ELSE 'knowledge' END AS item_type,
                doc_id AS telegram_message_id,
                TIMESTAMP '2025-09-01 00:00:00' + to_seconds(doc_id) AS processed_at,
-               sha256(content) AS content_hash
+               sha256(original_text) AS content_hash
         FROM notes WHERE quality IS NOT NULL"""),
     "vault_files": (["notes"], """
         SELECT * REPLACE (CASE WHEN lang = 'es' THEN replace(content, 'url: ', 'link: ') ELSE content END AS content)

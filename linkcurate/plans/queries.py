@@ -357,9 +357,10 @@ def notes_rendered(spark, folder):
 
 _HEADING = r"regexp_extract(content, '(?m)^#\s+.+$')"
 _STEM = r"regexp_replace(file_name, '\.[^.]+$', '')"
+_BULLETLESS = sql_strip(r"regexp_replace(l, '^[-*•]\s*', '')")
 _INSIGHTS = (
-    rf"list_filter([{sql_strip(chr(114) + chr(101) + 'gexp_replace(l, ' + chr(39) + '^[-*•]\\s*' + chr(39) + ', ' + chr(39)*2 + ')')}"
-    rf" FOR l IN string_split({sql_section('Key Insights')}, chr(10))], lambda l: l <> '' AND NOT starts_with(l, 'No specific insights'))"
+    f"list_filter([{_BULLETLESS} FOR l IN string_split({sql_section('Key Insights')}, chr(10))],"
+    " lambda l: l <> '' AND NOT starts_with(l, 'No specific insights'))"
 )
 _FRONT = r"""nullif(regexp_extract(array_to_string(string_split(content, chr(10))[1:30], chr(10)), '(?m)^{field}: ["'']?(.*?)["'']?$', 1), '')"""
 SQL_PARSED = rf"""
@@ -432,8 +433,9 @@ def sql_keywords(corpus: str) -> str:
     return sql_routes(corpus, KEYWORD_FALLBACK, "other")
 
 
-SQL_CLASSIFIED = f"""
-    SELECT *, coalesce({sql_best(sql_scores(CATEGORY_PATTERNS, 'ascii_corpus'))}, {sql_keywords('corpus')}) AS target
+def sql_classified(rules: dict[str, list[str]]) -> str:
+    return f"""
+    SELECT *, coalesce({sql_best(sql_scores(rules, 'ascii_corpus'))}, {sql_keywords('corpus')}) AS target
     FROM (SELECT *, {sql_ascii('corpus')} AS ascii_corpus
           FROM (SELECT *, {SQL_CORPUS} AS corpus FROM ({SQL_PARSED})))"""
 
@@ -457,7 +459,7 @@ def documents_classified(spark, folder):
     return inputs.documents(spark, folder).select("doc_id", category.alias("category"))
 
 
-@query(f"SELECT file_path, target AS category FROM ({SQL_CLASSIFIED})", "notes")
+@query(f"SELECT file_path, target AS category FROM ({sql_classified(CATEGORY_PATTERNS)})", "notes")
 def notes_classified(spark, folder):
     files = inputs.notes(spark, folder).select("file_path", "file_name", "category", "content")
     return note_fields.parse_notes(files).select("file_path", classify(note_fields.classifier_corpus()).alias("category"))
@@ -467,12 +469,12 @@ def notes_classified(spark, folder):
 
 SQL_JUDGED = f"""
     SELECT *, CASE WHEN is_failed AND length(content) < 300 THEN 'deleted' WHEN target <> 'other' THEN 'moved' ELSE 'kept' END AS fate
-    FROM ({SQL_CLASSIFIED}) WHERE category = 'other' AND NOT starts_with(file_name, 'NOTEBOOKLM')"""
+    FROM ({sql_classified(PROSE_RULES)}) WHERE category = 'other' AND NOT starts_with(file_name, 'NOTEBOOKLM')"""
 
 
 def _unsorted_plan(spark, folder):
     files = inputs.notes(spark, folder).select("file_path", "file_name", "category", "content")
-    return reorganize.reorganise(note_fields.parse_notes(note_scan(files, "other")), VAULT)
+    return reorganize.reorganise(note_fields.parse_notes(note_scan(files, "other")), VAULT, PROSE_RULES)
 
 
 @query(
@@ -655,7 +657,7 @@ def checkpoints_upserted(spark, folder):
     return registry.upsert_checkpoints(stored, log).withColumn("updated_at", moment("updated_at"))
 
 
-@query(f"SELECT arg_max(value, updated_at) AS value FROM ({_CHECKPOINT_LOG}) WHERE key = 'click'")
+@query(f"SELECT key, arg_max(value, updated_at) AS value FROM ({_CHECKPOINT_LOG}) WHERE key = 'click' GROUP BY key")
 def checkpoint_read(spark, folder):
     return registry.read_checkpoint(_checkpoint_log(spark, folder), "click")
 
@@ -1090,8 +1092,7 @@ def model_requests(spark, folder):
 # --- Small formats ------------------------------------------------------------
 
 @query(
-    """SELECT event_id, lpad(CAST(CAST(trunc(value) AS BIGINT) // 60 AS VARCHAR), greatest(2, length(CAST(CAST(trunc(value) AS BIGINT) // 60 AS VARCHAR))), '0') || 'm '
-              || lpad(CAST(CAST(trunc(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') || 's' AS clock,
+    """SELECT event_id, printf('%02dm %02ds', CAST(trunc(value) AS BIGINT) // 60, CAST(trunc(value) AS BIGINT) % 60) AS clock,
               strftime(ts, '%Y-%m-%d') AS day, sha256(props) AS content_hash FROM events""",
 )
 def event_formats(spark, folder):

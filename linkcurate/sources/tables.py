@@ -9,6 +9,7 @@ next snapshot.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,14 @@ def materialize(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write a frame as a table in the checkpoint folder and read that, column by column."""
+    spark = frame.sparkSession
+    place = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(place)
+    return spark.read.schema(frame.schema).parquet(place)
+
+
 def balanced(frame: DataFrame) -> DataFrame:
     """Spread a scan of fewer splits than cores; a scan with enough splits is left alone."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
