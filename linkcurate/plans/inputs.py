@@ -19,6 +19,7 @@ from linkcurate.functions.urls import authority
 from linkcurate.operators.links import message_links, one_per_url
 from linkcurate.rules import TAXONOMY
 from linkcurate.schemas import TILE
+from linkcurate.sources.messages import message_stream as stream_files
 from linkcurate.sources.tables import balanced, stored
 
 VAULT = "/vault"
@@ -53,9 +54,8 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return balanced(table(spark, folder, "pages"))
 
 
-def _text_of(events: DataFrame, page_urls: DataFrame) -> DataFrame:
+def _text_of(events: DataFrame, page_urls: DataFrame, number: Column) -> DataFrame:
     again = F.concat("event_type", F.lit(" "), "url", F.lit(", again "), "url", F.lit("! "), "props")
-    number = page_urls.select(F.count("*")).scalar()
     keyed = events.withColumn("page_id", F.pmod(F.col("event_id"), number))
     return keyed.join(page_urls, "page_id").select(
         F.col("event_id").alias("message_id"), F.col("ts").alias("date"), again.alias("text"), "event_type"
@@ -64,8 +64,24 @@ def _text_of(events: DataFrame, page_urls: DataFrame) -> DataFrame:
 
 @cache
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_of(
-        table(spark, folder, "events"), table(spark, folder, "pages").select("page_id", "url")
+    page_urls = table(spark, folder, "pages").select("page_id", "url")
+    return _text_of(table(spark, folder, "events"), page_urls, page_urls.select(F.count("*")).scalar())
+
+
+def message_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same messages as a stream over the event files."""
+    page_urls = table(spark, folder, "pages").select("page_id", "url")
+    events = stream_files(spark, folder, schema=table(spark, folder, "events").schema, file_glob="event*.parquet")
+    return _text_of(events, page_urls, F.lit(page_urls.count())).withColumn("date", F.col("date").cast("timestamp"))
+
+
+@cache
+def page_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes that exist for the registered .org pages, as files."""
+    rows = _of_hosts(page_registry(spark, folder), [".org"])
+    return rows.select(
+        "file_path", file_name(F.col("file_path")).alias("file_name"), "category",
+        F.concat(F.lit("---\nurl: "), "url", F.lit("\n---\n")).alias("content"),
     )
 
 
@@ -221,7 +237,7 @@ def sql_section(heading: str, content: str = "content") -> str:
 
 _TAGS = "list_filter(tags, lambda t: t <> '')"
 _TAG_LINE = f"array_to_string([('#' || translate(ltrim(t, '#'), ' -', '__')) FOR t IN {_TAGS}], ' ')"
-_CONTENT = sql_strip(
+SQL_CONTENT = sql_strip(
     "'---\nurl: ' || url || '\ndate: ' || date_str || '\ncategory: ' || category || '\ntype: ' || item_type"
     " || '\n---\n\n# ' || title || '\n\n## AI Summary\n' || summary || '\n\n## Key Insights\n'"
     " || CASE WHEN len(insights) > 0 THEN array_to_string(['- ' || i FOR i IN insights], chr(10))"
@@ -271,7 +287,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "notes": (["triaged"], f"""
         SELECT '{VAULT}/' || category || '/' || file_name AS file_path, *
         FROM (SELECT {sql_safe_name('title')} || '.md' AS file_name, category,
-                     {_CONTENT} AS content, doc_id, lang, quality, url, title, summary, insights, original_text
+                     {SQL_CONTENT} AS content, doc_id, lang, quality, url, title, summary, insights, original_text
               FROM triaged)"""),
     "page_registry": (["oldest"], f"""
         SELECT url, 'Page ' || message_id AS title, '/vault/other/' || md5(url) || '.md' AS file_path,

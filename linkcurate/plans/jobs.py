@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ class Fetched:
     readmes: DataFrame | None = None   # url, pos, status, text
     papers: DataFrame | None = None    # url, xml
     videos: DataFrame | None = None    # url, metadata, transcript
+    clutter: dict | None = None        # arguments for `functions.html.strip_clutter`
 
 
 def captures(todo: DataFrame, fetched: Fetched, *, force_visual: bool = False) -> DataFrame:
@@ -53,7 +55,7 @@ def captures(todo: DataFrame, fetched: Fetched, *, force_visual: bool = False) -
         return table.join(routed.filter(F.col("source_type").isin(source)).select("url"), "url", "left_semi")
 
     branches = [
-        (fetched.pages, ["web"], extract.capture_pages),
+        (fetched.pages, ["web"], partial(extract.capture_pages, strip_kwargs=fetched.clutter)),
         (fetched.threads, ["x", "linkedin"], extract.capture_threads),
         (fetched.readmes, ["github"], extract.capture_repositories),
         (fetched.papers, ["arxiv"], extract.capture_papers),

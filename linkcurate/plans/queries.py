@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from linkcurate.functions.classify import classify, rule_scores
 from linkcurate.operators import (
     assemble, compendium, extract, links as link_ops, registry, reminders, reorganize, resolve, stats, tiles, triage,
 )
-from linkcurate.plans import inputs
+from linkcurate.plans import inputs, jobs
 from linkcurate.plans.inputs import (
     CATEGORIES, HOST_ROUTES, PROSE_RULES, SQL_HOST, VAULT, sql_list, sql_safe_name, sql_section, sql_squeeze,
     sql_strip, sql_text, with_ctes,
@@ -23,6 +24,9 @@ from linkcurate.rules import (
 )
 from linkcurate.sources.messages import message_scan
 from linkcurate.sources.notes import note_scan
+from linkcurate.sources.tables import shared_folder
+from linkcurate.sources.vault import Vault
+from linkcurate.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1100,3 +1104,171 @@ def event_formats(spark, folder):
         "event_id", render.clock(F.col("value")).alias("clock"), render.note_date(F.col("ts").cast("timestamp")).alias("day"),
         F.sha2("props", 256).alias("content_hash"),
     )
+
+
+# --- Jobs ---------------------------------------------------------------------
+
+def _now() -> Column:
+    return F.lit(GENERATED).cast("timestamp")
+
+
+def _fetched(spark, folder) -> jobs.Fetched:
+    return jobs.Fetched(pages=inputs.pages(spark, folder), clutter=AD_CLUTTER)
+
+
+def sql_ingested(todo: str, day: str) -> str:
+    """Triage rows and paths of the links in `todo` whose material is their page."""
+    corpus = "lower(page_title || chr(10) || url || chr(10) || substr(original_text, 1, 2000))"
+    return f"""
+    SELECT *, CASE WHEN category = 'jobs' THEN 'job' ELSE 'knowledge' END AS item_type,
+           '{VAULT}/' || category || '/' || {sql_safe_name('title')} || '.md' AS target_path
+    FROM (SELECT *, CASE WHEN reason IS NOT NULL THEN 'Failed Scrape - ' || page_title ELSE page_title END AS title,
+                 CASE WHEN reason IS NOT NULL THEN 'other' ELSE rule_category END AS category,
+                 CASE WHEN reason IS NOT NULL THEN 'Automated scraping could not extract clean content. Reason: ' || reason || '.'
+                      ELSE 'Summary generated from visual analysis.' END AS summary,
+                 CASE WHEN reason IS NOT NULL THEN {sql_list(triage.FAILED_INSIGHTS)} ELSE [] END AS insights,
+                 CASE WHEN reason IS NOT NULL THEN {sql_list(triage.FAILED_TAGS)} ELSE [rule_category] END AS tags,
+                 CAST([] AS VARCHAR[]) AS code_snippets, CAST([] AS VARCHAR[]) AS tile_paths, {day} AS date_str
+          FROM (SELECT *, coalesce({sql_best(sql_scores(PROSE_RULES, sql_ascii(corpus)))}, {sql_keywords(corpus)}) AS rule_category
+                FROM (SELECT t.*, coalesce(p.title, 'Untitled Document') AS page_title, coalesce(p.text, '') AS original_text,
+                             CASE WHEN p.url IS NULL THEN {sql_text(extract.NOT_CAPTURED)} ELSE {sql_integrity('p.text', LOGIN_PATTERNS)} END AS reason
+                      FROM ({todo}) t LEFT JOIN ({SQL_CAPTURED_PAGES}) p ON p.url = t.url)))"""
+
+
+def _results(done: jobs.Ingested) -> DataFrame:
+    return done.results.select("url", "title", "category", "type", "target_path", "is_overwrite")
+
+
+def sql_results(todo: str, day: str) -> str:
+    return f"""SELECT url, title, category, item_type AS type, target_path, false AS is_overwrite
+               FROM ({sql_ingested(todo, day)})"""
+
+
+_DAY = "strftime(date, '%Y-%m-%d')"
+_SQL_TODAY = f"'{GENERATED[:10]}'"
+
+
+def _batch(spark, folder) -> jobs.Ingested:
+    return jobs.ingest(
+        inputs.messages(spark, folder), inputs.page_registry(spark, folder), inputs.notes(spark, folder),
+        _fetched(spark, folder), VAULT, now=_now(), rules=PROSE_RULES,
+    )
+
+
+@query(sql_results("SELECT * FROM oldest", _DAY), "oldest")
+def ingest_batch_results(spark, folder):
+    return _results(_batch(spark, folder))
+
+
+@query(
+    f"""SELECT target_path AS file_path, {inputs.SQL_CONTENT} AS content FROM (
+            SELECT * FROM ({sql_ingested("SELECT * FROM oldest", _DAY)})
+            QUALIFY row_number() OVER (PARTITION BY target_path ORDER BY date DESC, url DESC) = 1)""", "oldest",
+)
+def ingest_batch_notes(spark, folder):
+    return _batch(spark, folder).notes.select("file_path", "content")
+
+
+def _session(spark, folder) -> jobs.Ingested:
+    return jobs.ingest(
+        inputs.messages(spark, folder), inputs.page_registry(spark, folder), inputs.page_files(spark, folder),
+        _fetched(spark, folder), VAULT, session=True, now=_now(), rules=PROSE_RULES,
+    )
+
+
+_UNSKIPPED = f"SELECT * FROM newest WHERE {SQL_HOST} NOT LIKE '%.org'"
+
+
+@query(sql_results(_UNSKIPPED, _DAY), "newest")
+def ingest_session_results(spark, folder):
+    return _results(_session(spark, folder))
+
+
+@query(
+    f"""SELECT count(*) FILTER ({SQL_HOST} NOT LIKE '%.org') AS processed,
+               CAST(sum(hits) AS BIGINT) - count(*) FILTER ({SQL_HOST} NOT LIKE '%.org') AS skipped FROM newest""", "newest",
+)
+def ingest_session_outcomes(spark, folder):
+    return _session(spark, folder).outcomes
+
+
+@query(
+    f"SELECT category, count(*) AS n FROM ({sql_ingested(_UNSKIPPED, _DAY)}) GROUP BY category", "newest",
+)
+def ingest_session_categories(spark, folder):
+    return stats.category_counts(_session(spark, folder).items)
+
+
+@query(
+    f"""SELECT coalesce(r.url, t.url) AS url, coalesce(t.title, r.title) AS title, coalesce(t.target_path, r.file_path) AS file_path,
+               coalesce(t.category, r.category) AS category, coalesce(t.message_id, r.telegram_message_id) AS telegram_message_id,
+               coalesce(sha256(t.original_text), r.content_hash) AS content_hash
+        FROM page_registry r FULL JOIN ({sql_ingested(_UNSKIPPED, _DAY)}) t ON t.url = r.url""", "newest", "page_registry",
+)
+def ingest_session_registry(spark, folder):
+    after = _session(spark, folder).registry_after(inputs.page_registry(spark, folder))
+    return after.select("url", "title", "file_path", "category", "telegram_message_id", "content_hash")
+
+
+@query(sql_results("SELECT url FROM page_registry WHERE category = 'other'", _SQL_TODAY), "page_registry")
+def reprocess_failed_results(spark, folder):
+    done = jobs.reprocess_failed(
+        inputs.page_registry(spark, folder), inputs.notes(spark, folder), _fetched(spark, folder), VAULT,
+        now=_now(), rules=PROSE_RULES,
+    )
+    return _results(done)
+
+
+# --- Streams ------------------------------------------------------------------
+
+def _run(spark, stream: DataFrame, batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
+    """Run a stream over all its files; returns the folder it wrote to."""
+    place = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    writer = writer.foreachBatch(batch) if batch else writer.format("parquet").option("path", f"{place}/rows")
+    writer.start().awaitTermination()
+    return place
+
+
+def _rows(spark, stream: DataFrame) -> DataFrame:
+    schema = stream.schema
+    return spark.read.schema(schema).parquet(f"{_run(spark, stream)}/rows")
+
+
+@query("SELECT message_id, pos, url FROM links", "links")
+def stream_links(spark, folder):
+    return _rows(spark, streams.link_stream(inputs.message_stream(spark, folder)).select("message_id", "pos", "url"))
+
+
+@query("SELECT DISTINCT url FROM links", "links")
+def stream_first_links(spark, folder):
+    return _rows(spark, streams.first_links(streams.link_stream(inputs.message_stream(spark, folder))).select("url"))
+
+
+@query("SELECT DISTINCT url FROM links", "links")
+def stream_first_links_bounded(spark, folder):
+    links = streams.link_stream(inputs.message_stream(spark, folder))
+    return _rows(spark, streams.first_links(links, "90 days").select("url"))
+
+
+@query(
+    f"""SELECT {sql_routes(f"lower({SQL_HOST})", HOST_ROUTES)} AS source_type, count(*) AS n FROM links GROUP BY 1""", "links",
+)
+def stream_counts(spark, folder):
+    counts = streams.running_counts(
+        streams.link_stream(inputs.message_stream(spark, folder)), urls.source_type(F.col("url"), HOST_ROUTES)
+    )
+    place = f"{shared_folder(spark).rstrip('/')}/counts-{uuid.uuid4().hex}"
+    _run(spark, counts, lambda rows, _: rows.write.mode("overwrite").parquet(place), "complete")
+    return spark.read.schema(counts.schema).parquet(place)
+
+
+@query(
+    f"""SELECT url, title, target_path AS file_path, category, item_type, message_id AS telegram_message_id
+        FROM ({sql_ingested("SELECT * FROM newest", _DAY)})""", "newest",
+)
+def stream_ingested_registry(spark, folder):
+    vault = Vault.at(spark, f"{shared_folder(spark).rstrip('/')}/vault-{uuid.uuid4().hex}")
+    work = streams.ingest_batch(vault, lambda: _fetched(spark, folder), VAULT, now=_now(), rules=PROSE_RULES)
+    _run(spark, inputs.message_stream(spark, folder), work)
+    return vault.registry.read().select("url", "title", "file_path", "category", "item_type", "telegram_message_id")
