@@ -89,10 +89,10 @@ def resolve_paths(
     placed = join_unique(placed.join(by_address, "url", "left"), by_name, "_name", "url", counted=known)
 
     moved = F.when(F.col("_stored").isNotNull(), F.coalesce("moved_path", "named_path"))
-    decided = placed.select(
+    decided = materialize(placed.select(
         "url",
         F.when(F.col("_at_stored"), F.col("_stored"))
         .otherwise(F.coalesce(moved, F.col("_default"))).alias("target_path"),
         (F.coalesce("_at_stored", "_at_default", F.lit(False)) | moved.isNotNull()).alias("is_overwrite"),
-    )
+    ), "paths")
     return items.join(decided, "url")

@@ -20,7 +20,7 @@ from linkcurate.operators.links import message_links, one_per_url
 from linkcurate.rules import TAXONOMY
 from linkcurate.schemas import TILE
 from linkcurate.sources.messages import message_stream as stream_files
-from linkcurate.sources.tables import balanced, stored
+from linkcurate.sources.tables import balanced, materialize
 
 VAULT = "/vault"
 NOTE_DAY = "2025-09-20"
@@ -129,7 +129,7 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
         path.alias("file_path"), file_name(path).alias("file_name"), "category",
         note_markdown().alias("content"), "doc_id", "lang", "quality", "url", "title", "original_text",
     )
-    return stored(files, "notes")
+    return materialize(files, "notes")
 
 
 @cache

@@ -84,7 +84,7 @@ def captures(todo: DataFrame, fetched: Fetched, *, force_visual: bool = False) -
 
 @dataclass(frozen=True)
 class Ingested:
-    """Result of an ingestion; `items` is stored once, the rest derives from it."""
+    """Result of an ingestion. Triage rows and paths are stored once; the frames join them by link."""
 
     items: DataFrame      # triage columns, message_id, date, target_path, is_overwrite
     results: DataFrame    # url, title, category, type, target_path, is_overwrite, visual_tiles
@@ -125,16 +125,14 @@ def _work_on(
     force_visual: bool,
     mode: str,
 ) -> Ingested:
-    todo = materialize(todo.select("url", "message_id", "date", "pos"))
+    todo = materialize(todo.select("url", "message_id", "date", "pos"), "todo")
     scraped = captures(todo, fetched, force_visual=force_visual)
     triaged = triage(
         scraped.withColumn("_day", note_date(F.col("date"), now)), F.col("_day"),
         model=model, fallback=fallback, rules=rules,
     )
-    placed = resolve_paths(
-        materialize(triaged), registry, files, vault, mode
-    ).join(todo, "url").withColumn("processed_at", now)
-    items = materialize(placed)
+    placed = resolve_paths(materialize(triaged, "triaged"), registry, files, vault, mode)
+    items = placed.join(todo, "url").withColumn("processed_at", now)
     results = items.select(
         "url", "title", "category", F.col("item_type").alias("type"), "target_path", "is_overwrite",
         F.transform("visual_tiles", lambda t: t["path"]).alias("visual_tiles"),
@@ -175,7 +173,7 @@ def ingest(
     """
     hits = message_links(message_scan(messages, since, limit))
     redo = reprocess or not session
-    links = materialize(one_per_url(hits, "oldest" if redo else "newest"))
+    links = materialize(one_per_url(hits, "oldest" if redo else "newest"), "links")
     todo = links if redo else skip_processed(links, registry, files)
     return _work_on(
         todo, links, registry, files, fetched, vault, F.current_timestamp() if now is None else now,

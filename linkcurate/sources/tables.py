@@ -35,16 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(frame: DataFrame) -> DataFrame:
-    """Write a frame to the checkpoint folder once and read it from there; survives lost executors."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(frame.sparkSession))
-    return frame.checkpoint()
+def materialize(frame: DataFrame, name: str = "step") -> DataFrame:
+    """Write a frame once as a table in the checkpoint folder and read that.
 
-
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a table in the checkpoint folder and read that, column by column."""
+    The lineage ends there, so lost executors cost nothing that was done; later
+    steps read only the columns they need, and the optimizer knows the size.
+    """
     spark = frame.sparkSession
     place = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(place)

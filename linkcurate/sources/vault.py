@@ -43,9 +43,22 @@ def export_notes(notes: DataFrame) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        stores = {}
+
+        def located(path: str) -> tuple[fs.FileSystem, str]:
+            scheme, mark, rest = path.partition("://")
+            if not mark:
+                return fs.LocalFileSystem(), path
+            host, _, tail = rest.partition("/")
+            root = f"{scheme}://{host}/"
+            if root not in stores:
+                stores[root] = fs.FileSystem.from_uri(root)
+            store, base = stores[root]
+            return store, f"{base.rstrip('/')}/{tail}"
+
         for batch in batches:
             for path, content in zip(batch["file_path"], batch["content"], strict=True):
-                store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                store, place = located(path)
                 store.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 draft = f"{place}.writing"
                 with store.open_output_stream(draft) as out:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from linkcurate.functions.urls import source_type
 from linkcurate.operators.links import message_links
 from linkcurate.plans.jobs import Fetched, Ingested, ingest
+from linkcurate.sources.messages import message_stream as stream_files  # noqa: F401
 from linkcurate.sources.vault import Vault
 
 
