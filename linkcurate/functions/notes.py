@@ -12,7 +12,7 @@ from linkcurate.rules import CORPUS_HEAD, EXCERPT_HEAD, HEAD_LINES
 _S = f"[{SPACE_CLASS}]"
 HEADING = rf"(?mdU)^#{_S}+.+$"
 SOURCE_LINK = rf"(?dU)\*\*Source URL\*\*:{_S}*\[.*?\]\((https?://[^)]+)\)"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TAG = r"#([a-zA-Z0-9_\-/]+)"
 FRONT_FIELD = r"""(?md)^%s: ["']?(.*?)["']?$"""
 CONTINUED = "\n... [Source content continued in individual note] ..."

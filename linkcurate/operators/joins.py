@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkcurate.sources.tables import input_bytes
+
 HOT_SHARE = 200      # a key with 1/200 of all rows is hot, so there are at most 200 of them
 HOT_ROWS = 100_000   # keys below this many rows are never worth splitting
 SALTS = 64
@@ -12,12 +14,6 @@ SMALL_ROWS = 100_000
 SMALL_BYTES = 64 << 20  # no key of a side made from less is worth splitting
 
 
-def input_bytes(rows: DataFrame) -> int:
-    """Bytes of the tables a frame reads, by the optimizer's statistics; huge when unknown."""
-    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
 def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
     """The keys that hold at least 1/`share` of all rows: never more than `share` rows.
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from linkcurate.functions.urls import extract_urls
 
 
-def message_links(messages: DataFrame) -> DataFrame:
-    """One row per distinct link of each message: `message_id, date, pos, url`."""
+def message_links(messages: DataFrame, *keep: str) -> DataFrame:
+    """One row per distinct link of each message: `message_id, date, pos, url` and the columns to keep."""
     return messages.select(
-        "message_id", "date", F.posexplode(extract_urls(F.col("text"))).alias("pos", "url")
+        "message_id", "date", *keep, F.posexplode(extract_urls(F.col("text"))).alias("pos", "url")
     )
 
 

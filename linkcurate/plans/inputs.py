@@ -140,8 +140,7 @@ def page_registry(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_updates(spark: SparkSession, folder: str) -> DataFrame:
     """An update for every hit of a link to a .net or .com host; errors carry no message id."""
-    hits = messages(spark, folder)
-    found = message_links(hits).join(hits.select("message_id", "event_type"), "message_id")
+    found = message_links(messages(spark, folder), "event_type")
     return _rows(_of_hosts(found, [".net", ".com"]), "tools", F.col("event_type") != "error")
 
 

@@ -13,12 +13,7 @@ COMPENDIUM_PREFIX = "NOTEBOOKLM"
 
 def read_notes(spark: SparkSession, vault: str) -> DataFrame:
     """Every `*.md` below `vault`, one row per file."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
-        .text(vault)
-    )
+    files = spark.read.text(vault, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     raw = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
     path = F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
     return files.select(path.alias("file_path"), F.col("value").alias("content")).select(

@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +20,23 @@ from pyspark.sql.types import StructType
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+@cache
+def _test_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="linkcurate-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints, named by the session as `spark.checkpoint.dir`.
+    """The folder for stored steps, named by the session as `spark.checkpoint.dir`.
 
-    A local session without one gets a temporary folder; a cluster must name a
-    shared one.
+    A local session without one gets a temporary folder, the same for as long as
+    it lives; a cluster must name a shared one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="linkcurate-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _test_folder(spark.sparkContext.applicationId)
 
 
 def materialize(frame: DataFrame, name: str = "step") -> DataFrame:
@@ -47,10 +51,21 @@ def materialize(frame: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(place)
 
 
-def balanced(frame: DataFrame) -> DataFrame:
-    """Spread a scan of fewer splits than cores; a scan with enough splits is left alone."""
+def input_bytes(rows: DataFrame) -> int:
+    """Bytes of the tables a frame reads, by the optimizer's statistics; huge when unknown."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def balanced(frame: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Spread a small table whose files make fewer splits than there are cores.
+
+    Tables of ordinary size are never shuffled by this.
+    """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= 2 * cores else frame.repartition(cores)
+    if input_bytes(frame) > max_bytes or frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores)
 
 
 class BatchTable:
