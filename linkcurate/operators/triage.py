@@ -14,7 +14,7 @@ from linkcurate.functions.feeds import parse_answer
 from linkcurate.functions.quality import has_visuals
 from linkcurate.functions.render import model_request
 from linkcurate.functions.text import head
-from linkcurate.rules import CATEGORY_PATTERNS, CORPUS_HEAD, TAXONOMY
+from linkcurate.rules import CATEGORY_PATTERNS, CORPUS_HEAD, MODEL_TILES, TAXONOMY
 from linkcurate.schemas import MODEL_ANSWER, TRIAGE
 
 # --- Fixed values: placeholder texts of the triage step.
@@ -29,7 +29,8 @@ FAILED_REASON_DEFAULT = "Short text / login wall"
 JOB_ADDRESS = "linkedin.com/jobs"
 
 COLUMNS = TRIAGE.fieldNames()
-Model = Callable[[str], str | None]
+# A model gets the request text and the paths of the first images.
+Model = Callable[[str, list[str]], str | None]
 _ANSWERED = T.StructType([
     T.StructField("provider", T.StringType()),
     T.StructField("response", T.StringType()),
@@ -66,28 +67,38 @@ def failed_items(scraped: DataFrame, date_str: Column) -> DataFrame:
     )
 
 
-def ask_model(request: Column, primary: Model, fallback: Model | None = None, name: str = "primary") -> Column:
+def model_images(tiles: Column, count: int = MODEL_TILES) -> Column:
+    """Paths of the tiles a model is shown."""
+    return F.coalesce(
+        F.transform(F.slice(tiles, 1, count), lambda t: t["path"]), F.array().cast("array<string>")
+    )
+
+
+def ask_model(
+    request: Column, images: Column, primary: Model, fallback: Model | None = None, name: str = "primary"
+) -> Column:
     """`struct(provider, response, error)` of a user's model for each request.
 
     The fallback is asked once, only when the primary raises. One failing
-    request never stops the job. Only the request column travels to Python.
+    request never stops the job. Only these two columns travel to Python.
     """
-    def answer(text: str) -> tuple[str | None, str | None, str | None]:
+    def answer(text: str, paths: list[str]) -> tuple[str | None, str | None, str | None]:
         error = None
         for provider, model in ((name, primary), ("fallback", fallback)):
             if model is None:
                 continue
             try:
-                return provider, model(text), error
+                return provider, model(text, paths), error
             except Exception as e:  # a user's model may raise anything
                 error = f"{type(e).__name__}: {e}"
         return None, None, error
 
     @F.pandas_udf(_ANSWERED)
-    def run(requests: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([answer(r) for r in requests], columns=_ANSWERED.fieldNames())
+    def run(requests: pd.Series, shown: pd.Series) -> pd.DataFrame:
+        rows = [answer(text, list(paths)) for text, paths in zip(requests, shown, strict=True)]
+        return pd.DataFrame(rows, columns=_ANSWERED.fieldNames())
 
-    return run(request)
+    return run(request, images)
 
 
 def first_answer(answers: Mapping[str, Column]) -> Column:
@@ -122,7 +133,7 @@ def _filled(values: Column, default: Column) -> Column:
 
 
 def normalise(
-    scraped: DataFrame, answer: Column, date_str: Column, taxonomy: Mapping[str, str] = TAXONOMY
+    scraped: DataFrame, answer: Column, date_str: Column, taxonomy: Mapping[str, str] = TAXONOMY, *keep: str
 ) -> DataFrame:
     """Triage rows from captures and parsed answers; empty answers count as missing.
 
@@ -147,6 +158,7 @@ def normalise(
         F.col("text").alias("original_text"),
         "visual_tiles",
         date_str.alias("date_str"),
+        *keep,
     )
 
 
@@ -159,12 +171,18 @@ def triage(
     rules: Mapping[str, list[str]] = CATEGORY_PATTERNS,
     taxonomy: Mapping[str, str] = TAXONOMY,
 ) -> DataFrame:
-    """Triage captures: guarded ones by the fixed row, the others by model or rules."""
+    """Triage captures: guarded ones by the fixed row, the others by model or rules.
+
+    Adds to the triage columns the `error` of a capture that no model answered.
+    """
     failed = failed_items(scraped, date_str)
     open_ = scraped.filter(~is_guarded(F.col("failed_scrape"), F.col("visual_tiles")))
     if model is None:
-        answered = normalise(open_, rule_answer(rules), date_str, taxonomy)
+        open_ = open_.withColumn("_a", rule_answer(rules)).withColumn("error", F.lit(None).cast("string"))
     else:
-        asked = open_.withColumn("_r", ask_model(model_request(), model, fallback))
-        answered = normalise(asked, parse_answer(F.col("_r.response")), date_str, taxonomy)
-    return failed.select(*COLUMNS).unionByName(answered.select(*COLUMNS))
+        images = model_images(F.col("visual_tiles"))
+        asked = open_.withColumn("_r", ask_model(model_request(), images, model, fallback))
+        unanswered = F.when(F.col("_r.provider").isNull(), F.col("_r.error"))
+        open_ = asked.withColumn("_a", parse_answer(F.col("_r.response"))).withColumn("error", unanswered)
+    answered = normalise(open_, F.col("_a"), date_str, taxonomy, "error")
+    return failed.select(*COLUMNS, F.lit(None).cast("string").alias("error")).unionByName(answered)

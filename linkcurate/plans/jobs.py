@@ -91,7 +91,8 @@ class Ingested:
     notes: DataFrame      # schemas.NOTE_FILES
     updates: DataFrame    # schemas.REGISTRY rows to upsert
     reminders: DataFrame
-    outcomes: DataFrame   # processed, skipped
+    errors: DataFrame     # url, error of links that no model answered; they are processed by default values
+    outcomes: DataFrame   # processed, skipped, failed
 
     def registry_after(self, registry: DataFrame) -> DataFrame:
         return upsert(registry, self.updates)
@@ -142,9 +143,9 @@ def _work_on(
         F.col("message_id").alias("telegram_message_id"), "processed_at",
         F.sha2(F.coalesce("original_text", F.lit("")), 256).alias("content_hash"),
     )
-    return Ingested(
-        items, results, note_files(items), updates, job_reminders(items, now), session_outcomes(todo, links)
-    )
+    errors = items.filter(F.col("error").isNotNull()).select("url", "error")
+    outcomes = session_outcomes(todo, links).withColumn("failed", errors.select(F.count("*")).scalar())
+    return Ingested(items, results, note_files(items), updates, job_reminders(items, now), errors, outcomes)
 
 
 def ingest(

@@ -1045,14 +1045,14 @@ def answers_triaged(spark, folder):
     return _flat(failed.unionByName(answered))
 
 
-def _echo_model(request: str) -> str:
-    """A stand-in for a user's model; it refuses requests that mention `Doc 1`-something twice."""
+def _echo_model(request: str, images: list[str]) -> str:
+    """A stand-in for a user's model that is down for job links."""
     if "linkedin.com" in request:
         raise ConnectionError("primary is down")
     return '{"title": "%s", "category": "tools"}' % request.split("\n")[2].removeprefix("Title: ")
 
 
-def _fallback_model(request: str) -> str:
+def _fallback_model(request: str, images: list[str]) -> str:
     return '{"title": "second opinion", "category": "agents"}'
 
 
@@ -1186,7 +1186,8 @@ def ingest_session_results(spark, folder):
 
 @query(
     f"""SELECT count(*) FILTER ({SQL_HOST} NOT LIKE '%.org') AS processed,
-               CAST(sum(hits) AS BIGINT) - count(*) FILTER ({SQL_HOST} NOT LIKE '%.org') AS skipped FROM newest""", "newest",
+               CAST(sum(hits) AS BIGINT) - count(*) FILTER ({SQL_HOST} NOT LIKE '%.org') AS skipped,
+               CAST(0 AS BIGINT) AS failed FROM newest""", "newest",
 )
 def ingest_session_outcomes(spark, folder):
     return _session(spark, folder).outcomes

@@ -75,8 +75,9 @@ class BatchTable:
     snapshot.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, fold: Fold):
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, fold: Fold, partition: str | None = None):
         self.spark, self.root, self.schema, self.fold = spark, root.rstrip("/"), schema, fold
+        self.partition = partition  # column whose values get folders of their own in a snapshot
 
     def _numbers(self, folder: str) -> list[int]:
         """Numbers of the complete `name=N` folders."""
@@ -104,7 +105,7 @@ class BatchTable:
         snapshot = (
             self._empty(self.schema) if base is None
             else self.spark.read.schema(self.schema).parquet(f"{self.root}/base/v={base}")
-        )
+        ).select(*self.schema.fieldNames())
         if not log:
             return snapshot
         rows = (
@@ -120,7 +121,10 @@ class BatchTable:
         """Write the folded table as the snapshot of the latest batch; older files stay."""
         log = self._numbers("log")
         if log and log[-1] not in self._numbers("base"):
-            self.read().write.mode("overwrite").parquet(f"{self.root}/base/v={log[-1]}")
+            writer = self.read().write.mode("overwrite")
+            if self.partition:
+                writer = writer.partitionBy(self.partition)
+            writer.parquet(f"{self.root}/base/v={log[-1]}")
 
     def batch(self, number: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/log/batch={number}")

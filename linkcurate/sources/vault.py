@@ -90,7 +90,7 @@ class Vault:
     def at(cls, spark: SparkSession, root: str) -> Vault:
         root = root.rstrip("/")
         return cls(
-            BatchTable(spark, f"{root}/notes", NOTE_FILES, last_by("file_path")),
+            BatchTable(spark, f"{root}/notes", NOTE_FILES, last_by("file_path"), "category"),
             BatchTable(spark, f"{root}/registry", REGISTRY, _fold_registry),
             BatchTable(spark, f"{root}/checkpoints", CHECKPOINTS, _fold_checkpoints),
         )

@@ -130,7 +130,7 @@ ANSWER = {"title": "T", "category": "agents", "type": "knowledge", "summary": "S
 
 def answered(spark, answer, **fields):
     raw = answer if isinstance(answer, str) else json.dumps(answer)
-    return triage.triage(scraped(spark, **fields), F.lit("2025-09-20"), model=lambda request: raw).first()
+    return triage.triage(scraped(spark, **fields), F.lit("2025-09-20"), model=lambda request, images: raw).first()
 
 
 def test_model_answers(spark):
@@ -148,14 +148,21 @@ def test_model_answers(spark):
 
 
 def test_model_fallback(spark):
-    def down(request):
+    def down(request, images):
         raise TimeoutError("down")
 
-    frame = spark.createDataFrame([("r",)], "request string")
-    both = frame.select(triage.ask_model(F.col("request"), down, lambda r: "second").alias("a")).first().a
-    assert (both.provider, both.response, both.error) == ("fallback", "second", "TimeoutError: down")
-    none = frame.select(triage.ask_model(F.col("request"), down).alias("a")).first().a
-    assert (none.provider, none.response) == (None, None) and "down" in none.error
+    frame = spark.createDataFrame([("r", ["a", "b", "c", "d"])], "request string, paths array<string>")
+    tiles = F.transform("paths", lambda p: F.struct(p.alias("path")))
+
+    def ask(*models):
+        return frame.select(triage.ask_model(F.col("request"), triage.model_images(tiles), *models).alias("a")).first().a
+
+    both = ask(down, lambda request, images: f"{request}:{','.join(images)}")
+    assert (both.provider, both.response, both.error) == ("fallback", "r:a,b,c", "TimeoutError: down")
+    none = ask(down)
+    assert (none.provider, none.response, none.error) == (None, None, "TimeoutError: down")
+    row = triage.triage(scraped(spark), F.lit("d"), model=down).first()
+    assert (row.category, row.error) == ("other", "TimeoutError: down")
 
 
 def test_request_and_block(spark):

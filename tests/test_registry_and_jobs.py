@@ -184,6 +184,26 @@ def test_text_parts(spark):
     assert {r.k: r.text for r in assemble.whole_texts(parts, ["k"]).collect()} == {"v": "b c d e", "w": "x"}
 
 
+def test_thread_separator(one):
+    links = ["https://x.com/a", "https://h.org/?from=twitter.com", "https://linkedin.com/feed", "https://h.org"]
+    assert one(assemble.thread_separator, *links) == ["\n\n---\n\n", "\n\n---\n\n", "\n\n", None]
+
+
+def test_model_errors_are_counted(spark):
+    def picky(request, images):
+        if "https://a.org/x" in request:
+            raise ValueError("no")
+        return '{"category": "tools"}'
+
+    feed = messages(spark, (1, at(10), "https://a.org/x https://c.org/z"))
+    done = run(
+        spark, feed, records(spark), files(spark), material(spark, "https://a.org/x", "https://c.org/z"), model=picky
+    )
+    assert tuple(done.outcomes.first()) == (2, 0, 1)
+    assert [tuple(r) for r in done.errors.collect()] == [("https://a.org/x", "ValueError: no")]
+    assert {r.category for r in done.results.collect()} == {"other", "tools"}
+
+
 def test_tracks_and_candidates(spark):
     tracks = spark.createDataFrame([("v", "fr", 0), ("v", "uk", 1), ("w", "ja", 4), ("w", "ko", 2)], "video_id string, lang string, pos int")
     assert {r.video_id: r.lang for r in assemble.preferred_tracks(tracks).collect()} == {"v": "uk", "w": "ko"}
@@ -213,7 +233,7 @@ def test_batch_ingest(spark):
     assert by_url(done.updates)["https://a.org/x"].telegram_message_id == 101
     note = {r.file_path: r.content for r in done.notes.collect()}["/v/ML/x.md"]
     assert "date: 2025-09-10\ncategory: ML" in note and "Llama and qwen: x." in note
-    assert tuple(done.outcomes.first()) == (2, 1) and done.reminders.count() == 0
+    assert tuple(done.outcomes.first()) == (2, 1, 0) and done.reminders.count() == 0
     assert {r.key: r.value for r in done.checkpoint_updates().collect()} == {
         "last_processed_message_id": "101", "last_processed_url": "https://b.org/y",
     }
@@ -226,7 +246,7 @@ def test_second_session_has_nothing_to_do(spark):
     assert by_url(first.updates)["https://a.org/x"].telegram_message_id == 2
     table, vault = first.registry_after(records(spark)), first.notes
     second = run(spark, feed, table, vault, fetched, session=True)
-    assert second.results.count() == 0 and tuple(second.outcomes.first()) == (0, 3)
+    assert second.results.count() == 0 and tuple(second.outcomes.first()) == (0, 3, 0)
     lost = run(spark, feed, table, vault.filter("file_path like '%x.md'"), fetched, session=True)
     assert [r.url for r in lost.results.collect()] == ["https://c.org/z"]
     redo = run(spark, feed, table, vault, fetched, session=True, reprocess=True)
@@ -288,7 +308,7 @@ def test_stream_equals_batch(spark, tmp_path):
     urls = {r.url for r in link_ops.distinct_urls(link_ops.message_links(feed)).collect()}
     table = vault.registry.read()
     assert {r.url for r in table.collect()} == urls and table.count() == len(urls)
-    assert len(counted) == 3 and sum(p for p, _ in counted) == len(urls) and sum(p + s for p, s in counted) == 120
+    assert len(counted) == 3 and sum(c[0] for c in counted) == len(urls) and sum(c[0] + c[1] for c in counted) == 120
     batch = by_url(run(spark, feed, records(spark), files(spark), fetched, session=True).results)
     assert {r.url: r.category for r in table.collect()} == {u: r.category for u, r in batch.items()}
 
