@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1148,6 +1149,7 @@ _DAY = "strftime(date, '%Y-%m-%d')"
 _SQL_TODAY = f"'{GENERATED[:10]}'"
 
 
+@cache
 def _batch(spark, folder) -> jobs.Ingested:
     return jobs.ingest(
         inputs.messages(spark, folder), inputs.page_registry(spark, folder), inputs.notes(spark, folder),
@@ -1169,6 +1171,7 @@ def ingest_batch_notes(spark, folder):
     return _batch(spark, folder).notes.select("file_path", "content")
 
 
+@cache
 def _session(spark, folder) -> jobs.Ingested:
     return jobs.ingest(
         inputs.messages(spark, folder), inputs.page_registry(spark, folder), inputs.page_files(spark, folder),

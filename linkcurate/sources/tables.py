@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
+PATCH_BYTES = 16 << 20  # changes made from less than this are broadcast to the table they change
 
 
 @cache
@@ -130,13 +131,21 @@ class BatchTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/log/batch={number}")
 
 
-def last_by(key: str) -> Fold:
-    """Fold that keeps the row of the latest batch per key."""
+def last_by(key: str, small_bytes: int = PATCH_BYTES) -> Fold:
+    """Fold that keeps the row of the latest batch per key.
+
+    Only the log is shuffled when it is small: its keys are broadcast to the
+    snapshot, whose other rows stay where they are.
+    """
+    def last(rows: DataFrame, names: list[str]) -> DataFrame:
+        row = F.struct("batch", *[c for c in names if c != key])
+        found = rows.groupBy(key).agg(F.max_by(row, "batch").alias("r"))
+        return found.select(*[F.col(key) if c == key else F.col(f"r.{c}") for c in names])
+
     def fold(base: DataFrame, log: DataFrame) -> DataFrame:
-        columns = [c for c in base.columns if c != key]
-        row = F.struct("batch", *columns)
-        both = log.unionByName(base.withColumn("batch", F.lit(-1)))
-        last = both.groupBy(key).agg(F.max_by(row, "batch").alias("r"))
-        return last.select(*[F.col(key) if c == key else F.col(f"r.{c}") for c in base.columns])
+        if input_bytes(log) > small_bytes:
+            return last(log.unionByName(base.withColumn("batch", F.lit(-1))), base.columns)
+        kept = base.join(F.broadcast(log.select(key).distinct()), key, "left_anti")
+        return kept.select(*base.columns).unionByName(last(log, base.columns))
 
     return fold

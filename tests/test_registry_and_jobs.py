@@ -8,7 +8,7 @@ from linkcurate.plans import jobs
 from linkcurate.schemas import CHECKPOINTS, MESSAGES, NOTE_FILES, REGISTRY
 from linkcurate.sources.messages import cutoff, message_scan
 from linkcurate.sources.notes import note_scan, read_notes
-from linkcurate.sources.tables import shared_folder
+from linkcurate.sources.tables import last_by, shared_folder
 from linkcurate.sources.vault import Vault, export_notes
 from linkcurate.streaming import ingest as streams
 
@@ -65,21 +65,32 @@ def test_one_link_across_messages(spark):
         link_ops.one_per_url(hits, "any")
 
 
-def test_upsert(spark):
+@pytest.mark.parametrize("small_bytes", [-1, 2**70])
+def test_upsert(spark, small_bytes):
     old = records(spark, record("u1", message=7), record("u2", message=8))
     new = records(
         spark, record("u1", "/v/ML/n.md", "ML", "New", message=None, when=at(3)), record("u3", message=9, when=at(2)),
         record("u3", "/v/ML/z.md", "ML", "Later", message=None, when=at(4)),
     )
-    got = by_url(registry.upsert(old, new))
+    got = by_url(registry.upsert(old, new, small_bytes=small_bytes))
     assert len(got) == 3 and got["u2"].telegram_message_id == 8
     assert (got["u1"].telegram_message_id, got["u1"].title, got["u1"].category) == (7, "New", "ML")
     assert (got["u3"].telegram_message_id, got["u3"].title) == (9, "Later")
     assert got["u1"].content_hash == ""
-    again = registry.upsert(registry.upsert(old, new), new)
+    again = registry.upsert(registry.upsert(old, new, small_bytes=small_bytes), new, small_bytes=small_bytes)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in got.values()}
 
 
+@pytest.mark.parametrize("small_bytes", [-1, 2**70])
+def test_last_by_fold(spark, small_bytes):
+    base = files(spark, ("/v/a/1.md", "old"), ("/v/a/2.md", "kept"))
+    log = files(spark, ("/v/a/1.md", "b1"), ("/v/a/3.md", "b1")).withColumn("batch", F.lit(1)).unionByName(
+        files(spark, ("/v/a/1.md", "b2")).withColumn("batch", F.lit(2))
+    )
+    got = {r.file_path[-4]: r.content for r in last_by("file_path", small_bytes)(base, log).collect()}
+    assert got == {"1": "b2", "2": "kept", "3": "b1"}
+
+
 def test_lookup_and_report(spark):
     table = records(spark, record("u1", category="agents"), record("u2", category="jobs", kind="job"))
     urls = spark.createDataFrame([("u1",), ("u1",), ("x",)], "url string")
