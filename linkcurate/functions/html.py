@@ -38,9 +38,8 @@ def unescape(text: Column) -> Column:
     """Decode numeric references and the common named ones."""
     def numbers(given: Column) -> Column:
         pieces = F.split(given, "&#")
-        decoded = F.concat(
-            pieces[0], F.array_join(F.transform(F.slice(pieces, 2, 2**31 - 1), _code_point), "")
-        )
+        later = F.slice(pieces, F.lit(2), F.size(pieces) - 1)
+        decoded = F.concat(pieces[0], F.array_join(F.transform(later, _code_point), ""))
         return F.when(given.contains("&#"), decoded).otherwise(given)
 
     text = let(text, numbers)
