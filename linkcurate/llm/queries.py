@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcurate.llm import packing, token_counts, token_files
+from linkcurate.llm import decontaminate, packing, token_counts, token_files
 from linkcurate.llm.common import fresh_path, table
 
 
@@ -24,5 +24,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_token_files, op10_best_fit_packing)}
-SQL: dict[str, str] = {}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op6_token_files, op9_decontamination, op10_best_fit_packing)}
+SQL: dict[str, str] = {"op9_decontamination": decontaminate.SQL_TWIN}
