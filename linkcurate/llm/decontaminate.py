@@ -16,59 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+from linkcurate.llm.hashing import hashed_words, window_hashes
+
+#: Words of this operator: digits, ASCII letters and everything beyond ASCII.
 _WORD = np.ones(256, bool)
 _WORD[0x00:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _PART = 8 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
-    lowered = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-    starts, ends = _word_edges(lowered)
-    return [lowered[a:b].tobytes() for a, b in zip(starts, ends)]
-
-
-def _word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _WORD[data]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), base, np.uint64), dtype=np.uint64)])
-
-
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial in the bytes of each word, modulo 2**64, mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    held = np.zeros(len(starts), np.uint64)
-    # One pass per position in a word; the passes get shorter as fewer words reach so far. Long words are few and go one by one.
-    order = np.argsort(-lengths, kind="stable")
-    order = order[np.count_nonzero(lengths > 64) :]
-    counts = np.searchsorted(-lengths[order], -np.arange(int(lengths[order[0]]) if len(order) else 0), "left")
-    for i, n in enumerate(counts):
-        some = order[:n]
-        held[some] = held[some] * _BASE + (data[starts[some] + i].astype(np.uint64) + np.uint64(1))
-    for k in np.flatnonzero(lengths > 64):
-        word = data[starts[k] : ends[k]].astype(np.uint64) + np.uint64(1)
-        held[k] = (word * _powers(_BASE, len(word))[::-1]).sum(dtype=np.uint64)
-    return (held ^ (held >> np.uint64(29))) * _BASE
-
-
-def _window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Of every `n` words in a row."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    held = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        held *= _STEP
-        held += words[i : i + len(held)]
-    return held ^ (held >> np.uint64(31))
+    data, starts, ends, _, _ = hashed_words([(text or "").encode("utf-8", "surrogatepass")], _WORD)
+    return [data[a:b].tobytes() for a, b in zip(starts, ends)]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -99,8 +57,7 @@ class WindowSet:
                     windows[tuple(words[i : i + size])].add(item)
         found: dict[tuple[int, int], list[tuple[bytes, list[int]]]] = defaultdict(list)
         for words, ids in windows.items():
-            data = np.frombuffer(b" ".join(words), np.uint8)
-            key = int(_window_hashes(_word_hashes(data, *_word_edges(data)), len(words))[0])
+            key = int(window_hashes(hashed_words([b" ".join(words)], _WORD)[3], len(words))[0])
             found[len(words), key].append((b" ".join(words), sorted(ids)))
         hashes = {k: np.array(sorted(h for m, h in found if m == k), np.uint64) for k in {m for m, _ in found}}
         return WindowSet(hashes, dict(found))
@@ -108,7 +65,7 @@ class WindowSet:
     def _candidates(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
         out = []
         for n, known in self.hashes.items():
-            windows = _window_hashes(hashes, n)
+            windows = window_hashes(hashes, n)
             at = np.searchsorted(known, windows)
             at[at == len(known)] = 0
             out += [(int(i), n, int(windows[i])) for i in np.flatnonzero(known[at] == windows)]
@@ -138,11 +95,7 @@ class WindowSet:
         return out + list(self._scan(part) if part else [])
 
     def _scan(self, part: list[bytes]):
-        data = _LOWER[np.frombuffer(b"\n".join(part), np.uint8)]
-        starts, ends = _word_edges(data)
-        edges = np.cumsum([0] + [len(x) + 1 for x in part])
-        first = np.searchsorted(starts, edges)
-        hashes = _word_hashes(data, starts, ends)
+        data, starts, ends, hashes, first = hashed_words(part, _WORD)
         mine: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for i, n, key in self._candidates(hashes):
             k = int(np.searchsorted(first, i, "right")) - 1
