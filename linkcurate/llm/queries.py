@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcurate.llm import decontaminate, minhash, packing, personal_data, token_counts, token_files
+from linkcurate.llm import decontaminate, minhash, neighbours, packing, personal_data, token_counts, token_files
 from linkcurate.llm.common import fresh_path, table
 
 
@@ -32,9 +32,13 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.find(table(spark, sf_dir, "documents")))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash_duplicates, op6_token_files, op7_personal_data, op9_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash_duplicates, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing)}
 SQL: dict[str, str] = {"op9_decontamination": decontaminate.SQL_TWIN}
