@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcurate.llm import decontaminate, minhash, neighbours, packing, personal_data, token_counts, token_files
+from linkcurate.llm import decontaminate, minhash, neighbours, packing, page_text, personal_data, token_counts, token_files
 from linkcurate.llm.common import fresh_path, table
 
 
@@ -18,6 +18,10 @@ def op3_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "token-files")
     manifest = token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
@@ -40,5 +44,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash_duplicates, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash_duplicates, op4_page_text, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing)}
 SQL: dict[str, str] = {"op9_decontamination": decontaminate.SQL_TWIN}
