@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcurate.llm import decontaminate, minhash, neighbours, packing, page_text, personal_data, token_counts, token_files
+from linkcurate.llm import decontaminate, language, minhash, neighbours, packing, page_text, personal_data, token_counts, token_files
 from linkcurate.llm.common import fresh_path, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared language is `lang`, the host `source`; pages, with markup and address, are in `page_languages`."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text", "lang", "source"), language.fit_text_model(docs))
+    return found.select("doc_id", F.col("lang").alias("declared"), "language", F.round("posterior", 6).alias("posterior"), F.col("identified").alias("kept"))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, the language its markup declares, its address suffix and its host."""
+    pages = language.page_evidence(table(spark, sf_dir, "pages")).select("page_id", "text", "lang", "host")
+    found = language.identify(pages, language.fit_text_model(pages, key="page_id"), host="host")
+    return found.select("page_id", F.col("lang").alias("declared"), "language", F.round("posterior", 6).alias("posterior"), F.col("identified").alias("kept"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,5 +60,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash_duplicates, op4_page_text, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, page_languages, op2_token_counts, op3_minhash_duplicates, op4_page_text, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing)}
 SQL: dict[str, str] = {"op9_decontamination": decontaminate.SQL_TWIN}
