@@ -61,7 +61,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def _bands(signature: np.ndarray, bands: int) -> np.ndarray:
+def bands_of(signature: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key per band, different bands apart."""
     parts = signature.reshape(len(signature), bands, -1)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
@@ -84,7 +84,7 @@ def near_duplicates(
     signed = stored(held.mapInArrow(lambda b: _signed(b, words, bands, rows), "key long, at long, n long, class binary, bands array<long>"), "signatures")
     classes = signed.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("at", "n", "bands")).alias("x"))
     classes = classes.select("class", "x.at", "x.n", "x.bands")
-    links = _links(classes.select("at", "n", "bands"), held.select("at", "text"), words, percent)
+    links = links_of(classes.select("at", "n", "bands"), held.select("at", "text"), words, percent)
     found = components(links)
     of_class = classes.select("class", "at").join(found.withColumnRenamed("node", "at"), "at", "left")
     of_class = of_class.select("class", F.coalesce("component", "at").alias("component"))
@@ -103,7 +103,7 @@ def near_duplicates(
 def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(batch.column("text").to_pylist(), words)
-        keys = _bands(signatures(sets, bands * rows), bands)
+        keys = bands_of(signatures(sets, bands * rows), bands)
         names = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
         offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
         yield pa.record_batch(
@@ -113,7 +113,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int
         )
 
 
-def _links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect whatever candidate pairs can connect."""
     members = classes.select("at", "n", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("k"), F.min(F.struct("at", "n")).alias("low"), F.max(F.struct("at", "n")).alias("high"))

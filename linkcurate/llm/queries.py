@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcurate.llm import decontaminate, language, minhash, neighbours, packing, page_text, personal_data, token_counts, token_files
+from linkcurate.llm import decontaminate, language, minhash, neighbours, packing, page_text, passages, personal_data, token_counts, token_files
 from linkcurate.llm.common import fresh_path, table
 
 
@@ -38,6 +38,10 @@ def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(passages.repeated_passages(table(spark, sf_dir, "documents")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "token-files")
     manifest = token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
@@ -60,5 +64,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, page_languages, op2_token_counts, op3_minhash_duplicates, op4_page_text, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, page_languages, op2_token_counts, op3_minhash_duplicates, op4_page_text, op5_repeated_passages, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing)}
 SQL: dict[str, str] = {"op9_decontamination": decontaminate.SQL_TWIN}
