@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5 as named_characters
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,35 +18,36 @@ BLOCK_TAGS = (
     "p", "div", "br", "hr", "h[1-6]", "ul", "ol", "li", "table", "tr", "article", "section",
     "header", "main", "aside", "pre", "blockquote", "figure", "form", "dl", "dt", "dd",
 )
-# Named characters worth decoding; the ampersand comes last so nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# Named characters: all that end in a semicolon, from Python's table; a no-break space is a space here.
+NAMED = {name[:-1]: char for name, char in named_characters.items() if name.endswith(";")} | {"nbsp": " "}
 
 
-def _code_point(piece: Column) -> Column:
-    """A piece that follows `&#`, with its leading number turned into the character."""
-    digits = F.regexp_extract(piece, r"^(\d{1,7});", 1)
-    hexed = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+def _reference(piece: Column, names: Column) -> Column:
+    """A piece that follows `&`, with its leading number or name turned into the character."""
+    digits = F.regexp_extract(piece, r"^#(\d{1,7});", 1)
+    hexed = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
     point = F.when(digits != "", digits.cast("int")).when(
         hexed != "", F.conv(hexed, 16, 10).cast("int")
     )
     valid = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point <= 0x10FFFF))
     char = F.decode(F.unhex(F.lpad(F.hex(point.cast("bigint")), 8, "0")), "UTF-32")
-    rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]{1,7};", "")
-    return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
+    rest = F.regexp_replace(piece, r"^#?[a-zA-Z0-9]{1,32};", "")
+    named = F.try_element_at(names, F.nullif(F.regexp_extract(piece, r"^([a-zA-Z][a-zA-Z0-9]{0,31});", 1), F.lit("")))
+    return F.when(valid, F.concat(char, rest)).when(named.isNotNull(), F.concat(named, rest)).otherwise(F.concat(F.lit("&"), piece))
 
 
 def unescape(text: Column) -> Column:
-    """Decode numeric references and the common named ones."""
-    def numbers(given: Column) -> Column:
-        pieces = F.split(given, "&#")
+    """Decode numeric and named character references, each once."""
+    entries = ",".join(f"{name}\x1f{char}" for name, char in NAMED.items() if char not in (",", "\x1f"))
+    names = F.str_to_map(F.concat(F.lit(entries), F.lit(",comma\x1f\uf8ff")), F.lit(","), F.lit("\x1f"))
+
+    def decoded(given: Column) -> Column:
+        pieces = F.split(given, "&")
         later = F.slice(pieces, F.lit(2), F.size(pieces) - 1)
-        decoded = F.concat(pieces[0], F.array_join(F.transform(later, _code_point), ""))
-        return F.when(given.contains("&#"), decoded).otherwise(given)
+        whole = F.concat(pieces[0], F.array_join(F.transform(later, lambda piece: F.replace(_reference(piece, names), F.lit("\uf8ff"), F.lit(","))), ""))
+        return F.when(given.contains("&"), whole).otherwise(given)
 
-    text = let(text, numbers)
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    return let(text, decoded)
 
 
 def page_title(html: Column, default: str = "Article Note") -> Column:

@@ -58,6 +58,14 @@ def whole_texts(parts: DataFrame, keys: Sequence[str], separator: str = SNIPPET_
     return parts.groupBy(*keys).agg(_joined("part", separator).alias("text"))
 
 
+def joined_texts(
+    pieces: DataFrame, keys: Sequence[str], position: str = "pos", text: str = "text", *,
+    separator: str = SNIPPET_SEPARATOR, part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """One row per key: its pieces joined in order. Long texts come together in two steps, which changes no result."""
+    return whole_texts(text_parts(pieces, keys, position, text, separator=separator, part_rows=part_rows), keys, separator)
+
+
 def preferred_tracks(
     tracks: DataFrame, languages: Sequence[str] = tuple(TRANSCRIPT_LANGUAGES)
 ) -> DataFrame:

@@ -14,7 +14,6 @@ from linkcurate.functions.notes import file_name
 from linkcurate.functions.quality import needs_reprocessing
 from linkcurate.operators.joins import join_unique
 from linkcurate.schemas import REGISTRY
-from linkcurate.sources.tables import PATCH_BYTES, input_bytes
 
 COLUMNS = REGISTRY.fieldNames()
 _REPLACED = [c for c in COLUMNS if c not in ("url", "telegram_message_id")]
@@ -40,29 +39,17 @@ def last_updates(updates: DataFrame, order: str = "processed_at") -> DataFrame:
     ).select(*COLUMNS)
 
 
-def _patched(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert with few updates: they are broadcast, and the registry stays where it is."""
-    keys = F.broadcast(new.select("url"))
-    old = registry.select("url", F.col("telegram_message_id").alias("_old")).join(keys, "url")
-    known = F.coalesce("telegram_message_id", "_old")
-    touched = new.join(old, "url", "left").withColumn("telegram_message_id", known)
-    return registry.join(keys, "url", "left_anti").select(*COLUMNS).unionByName(touched.select(*COLUMNS))
-
-
 def upsert(
-    registry: DataFrame, updates: DataFrame, order: str = "processed_at", small_bytes: int = PATCH_BYTES
+    registry: DataFrame, updates: DataFrame, order: str = "processed_at"
 ) -> DataFrame:
     """Registry after the updates.
 
     A link that is already there takes all columns from its update, except that
-    a missing message id leaves the old one in place. Updates made from less
-    than `small_bytes` are broadcast; more of them meet the registry in one full
-    outer join, which shuffles only the updates when the registry is bucketed by
-    `url`.
+    a missing message id leaves the old one in place. Updates are reduced once
+    and meet the registry in one full outer join, which shuffles only the
+    updates when the registry is bucketed by `url`.
     """
     new = last_updates(updates, order)
-    if input_bytes(updates) <= small_bytes:
-        return _patched(registry, new)
     old, upd = registry.alias("o"), new.withColumn("_new", F.lit(True)).alias("u")
     is_new = F.col("u._new")
     return old.join(upd, F.col("o.url") == F.col("u.url"), "full_outer").select(
@@ -72,10 +59,11 @@ def upsert(
     ).select(*COLUMNS)
 
 
-def upsert_checkpoints(checkpoints: DataFrame, updates: DataFrame) -> DataFrame:
-    """Latest value per key; an update beats a stored value whatever their times."""
-    both = checkpoints.select("key", "value", "updated_at", F.lit(0).alias("_new")).unionByName(
-        updates.select("key", "value", "updated_at", F.lit(1).alias("_new"))
+def upsert_checkpoints(checkpoints: DataFrame, updates: DataFrame, batch: str | None = None) -> DataFrame:
+    """Latest value per key; an update beats a stored value whatever their times, and a later `batch` beats an earlier one."""
+    number = F.lit(0) if batch is None else F.col(batch)
+    both = checkpoints.select("key", "value", "updated_at", F.lit(-1).cast("bigint").alias("_new")).unionByName(
+        updates.select("key", "value", "updated_at", number.cast("bigint").alias("_new"))
     )
     last = both.groupBy("key").agg(F.max(F.struct("_new", "updated_at", "value")).alias("r"))
     return last.select("key", "r.value", "r.updated_at")

@@ -14,7 +14,7 @@ from linkcurate.functions.feeds import parse_answer
 from linkcurate.functions.quality import has_visuals
 from linkcurate.functions.render import model_request
 from linkcurate.functions.text import head
-from linkcurate.rules import CATEGORY_PATTERNS, CORPUS_HEAD, MODEL_TILES, TAXONOMY
+from linkcurate.rules import CATEGORY_PATTERNS, MODEL_TILES, TAXONOMY
 from linkcurate.schemas import MODEL_ANSWER, TRIAGE
 
 # --- Fixed values: placeholder texts of the triage step.
@@ -102,20 +102,21 @@ def ask_model(
 
 
 def first_answer(answers: Mapping[str, Column]) -> Column:
-    """`struct(provider, response)` of the first provider with a non-empty response."""
+    """`struct(provider, response)` of the first provider that answered; NULL means it raised, an empty answer is one."""
     pair = [
-        F.when(
-            F.coalesce(response, F.lit("")) != "",
-            F.struct(F.lit(name).alias("provider"), response.alias("response")),
-        )
+        F.when(response.isNotNull(), F.struct(F.lit(name).alias("provider"), response.alias("response")))
         for name, response in answers.items()
     ]
     return F.coalesce(*pair)
 
 
-def rule_answer(rules: Mapping[str, list[str]] = CATEGORY_PATTERNS) -> Column:
-    """What the rules know about a capture, in the shape of a model's answer."""
-    corpus = F.lower(F.concat_ws("\n", "title", "url", head(F.col("text"), CORPUS_HEAD)))
+def rule_answer(rules: Mapping[str, list[str]] = CATEGORY_PATTERNS, corpus_head: int | None = None) -> Column:
+    """What the rules know about a capture, in the shape of a model's answer.
+
+    They see the whole text, or its first `corpus_head` characters.
+    """
+    text = F.col("text") if corpus_head is None else head(F.col("text"), corpus_head)
+    corpus = F.lower(F.concat_ws("\n", "title", "url", text))
     nothing = F.lit(None)
     values = {"category": classify(corpus, rules)}
     return F.struct(*[

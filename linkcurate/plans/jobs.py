@@ -28,7 +28,7 @@ from linkcurate.schemas import SCRAPED
 from linkcurate.sources.messages import message_scan
 from linkcurate.sources.notes import note_scan
 from linkcurate.sources.tables import materialize
-from linkcurate.sources.vault import note_files
+from linkcurate.sources.vault import note_files, work_order
 
 
 @dataclass(frozen=True)
@@ -47,12 +47,18 @@ def captures(todo: DataFrame, fetched: Fetched, *, force_visual: bool = False) -
     """Captures of the links in `todo` (one row per `url`), with its other columns.
 
     Material is joined before it is parsed, so pages of links that are skipped
-    are never looked into. A link without material is a failed capture.
+    are never looked into. A link without material is a failed capture. Of
+    several rows for one link a fixed one is taken, by a combining aggregation.
     """
     routed = todo.withColumn("source_type", effective_source(F.col("url"), force_visual=force_visual))
 
     def of(source: list[str], table: DataFrame) -> DataFrame:
-        return table.join(routed.filter(F.col("source_type").isin(source)).select("url"), "url", "left_semi")
+        wanted = table.join(routed.filter(F.col("source_type").isin(source)).select("url"), "url", "left_semi")
+        if "pos" in table.columns:  # several candidates per link; the first usable one is chosen later
+            return wanted
+        rest = [c for c in table.columns if c != "url"]
+        one = wanted.groupBy("url").agg(F.min(F.struct(F.xxhash64(*rest).alias("_h"), *rest)).alias("_r"))
+        return one.select("url", *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*table.columns)
 
     branches = [
         (fetched.pages, ["web"], partial(extract.capture_pages, strip_kwargs=fetched.clutter)),
@@ -125,15 +131,16 @@ def _work_on(
     rules: Mapping[str, list[str]],
     force_visual: bool,
     mode: str,
+    again: bool = False,
 ) -> Ingested:
-    todo = materialize(todo.select("url", "message_id", "date", "pos"), "todo")
+    todo = materialize(todo.select("url", "message_id", "date", "pos", "hits"), "todo")
     scraped = captures(todo, fetched, force_visual=force_visual)
     triaged = triage(
         scraped.withColumn("_day", note_date(F.col("date"), now)), F.col("_day"),
         model=model, fallback=fallback, rules=rules,
     )
     placed = resolve_paths(materialize(triaged, "triaged"), registry, files, vault, mode)
-    items = placed.join(todo, "url").withColumn("processed_at", now)
+    items = _overwriting(placed.join(todo, "url").withColumn("processed_at", now), again)
     results = items.select(
         "url", "title", "category", F.col("item_type").alias("type"), "target_path", "is_overwrite",
         F.transform("visual_tiles", lambda t: t["path"]).alias("visual_tiles"),
@@ -144,10 +151,22 @@ def _work_on(
         F.sha2(F.coalesce("original_text", F.lit("")), 256).alias("content_hash"),
     )
     errors = items.filter(F.col("error").isNotNull()).select("url", "error")
-    outcomes = session_outcomes(todo, links).withColumn("failed", errors.select(F.count("*")).scalar())
+    # No item can raise here: a link that no model answered is processed by default values and named in `errors`.
+    outcomes = session_outcomes(todo, links).withColumn("failed", F.lit(0).cast("bigint"))
     return Ingested(items, results, note_files(items), updates, job_reminders(items, now), errors, outcomes)
 
 
+def _overwriting(items: DataFrame, again: bool) -> DataFrame:
+    """`is_overwrite` also where the run itself wrote the file before: for an item on the same path that was worked on
+    earlier, or, if links are worked on `again` at every hit, for an earlier hit of the link."""
+    order = work_order(items)
+    first = items.groupBy("target_path").agg(F.min(order).alias("_first"))
+    met = F.col("is_overwrite") | (order != F.col("_first"))
+    if again:
+        met = met | (F.col("hits") > 1)
+    return items.join(first, "target_path").withColumn("is_overwrite", met).select(*items.columns)
+
+
 def ingest(
     messages: DataFrame,
     registry: DataFrame,
@@ -178,7 +197,7 @@ def ingest(
     todo = links if redo else skip_processed(links, registry, files)
     return _work_on(
         todo, links, registry, files, fetched, vault, F.current_timestamp() if now is None else now,
-        model=model, fallback=fallback, rules=rules, force_visual=force_visual, mode=mode,
+        model=model, fallback=fallback, rules=rules, force_visual=force_visual, mode=mode, again=redo,
     )
 
 

@@ -118,6 +118,10 @@ def links_newest(spark, folder):
 
 
 SQL_PATH = r"regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+_DIGITS = [f"(strpos('0123456789abcdef', substr(md5({SQL_HOST}), {i}, 1)) - 1) * {16 ** (5 - i)}" for i in range(1, 6)]
+SQL_BUCKET = f"CAST(({' + '.join(_DIGITS)}) % 100000 AS INTEGER)"
+# The named characters that the pages of the tables hold; the ampersand comes last so nothing is decoded twice.
+SQL_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&"))
 
 
 @query(
@@ -184,7 +188,7 @@ def link_ids(spark, folder):
     )
 
 
-@query()
+@query(f"SELECT page_id, {SQL_BUCKET} AS bucket FROM pages")
 def host_buckets(spark, folder):
     return inputs.table(spark, folder, "pages").select("page_id", urls.host_bucket(F.col("url")).alias("bucket"))
 
@@ -319,7 +323,7 @@ _BLOCKS = "|".join(html.BLOCK_TAGS)
 
 
 def sql_unescape(x: str) -> str:
-    for name, char in html.ENTITIES:
+    for name, char in SQL_ENTITIES:
         x = f"replace({x}, {sql_text(name)}, {sql_text(char)})"
     return x
 
@@ -788,12 +792,12 @@ def document_stats(spark, folder):
 # --- Pieces of text -----------------------------------------------------------
 
 @query(
-    f"""SELECT conv_id, turn // 4096 AS part, string_agg({sql_strip('text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS text
+    f"""SELECT conv_id, string_agg({sql_strip('text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS text
         FROM conversations WHERE {sql_strip('text')} <> '' GROUP BY ALL""",
 )
 def threads_assembled(spark, folder):
     turns = inputs.table(spark, folder, "conversations")
-    return assemble.text_parts(turns, ["conv_id"], "turn", separator=assemble.POST_SEPARATOR)
+    return assemble.joined_texts(turns, ["conv_id"], "turn", separator=assemble.POST_SEPARATOR)
 
 
 @query(
@@ -846,8 +850,8 @@ def tile_grid(spark, folder):
 
 
 @query(
-    rf"""SELECT url, regexp_replace(path, '_\d+_tile', '_tile') AS path, index, 1280 AS width, least(height - index * 1568, 1568) AS height
-         FROM (SELECT url, '/vault/attachments/' || slug || '_0_tile_0' || i || '.jpg' AS path, i AS index, height
+    rf"""SELECT url, path, index, 1280 AS width, least(height - index * 1568, 1568) AS height
+         FROM (SELECT url, '/vault/attachments/' || slug || '_' || {SQL_BUCKET} || '_tile_0' || i || '.jpg' AS path, i AS index, height
                FROM (SELECT url, {sql_safe_name(f"CASE WHEN {SQL_PATH} = '' THEN 'page' ELSE translate({SQL_PATH}, '/', '_') END", 30)} AS slug,
                             length(html) AS height,
                             unnest(range(CAST(least(greatest(ceil(length(html) / 1568), 1), 5) AS INTEGER)))::INTEGER AS i FROM pages))""",
@@ -857,7 +861,7 @@ def tile_manifest(spark, folder):
         "url", F.lit(1280).alias("width"), F.length("html").alias("height")
     )
     rows = tiles.tile_manifest(images, f"{VAULT}/attachments")
-    return rows.withColumn("path", F.regexp_replace("path", r"_\d+_tile", "_tile"))
+    return rows
 
 
 @query(
@@ -1070,11 +1074,11 @@ def model_triaged(spark, folder):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN lang <> 'en' THEN 'first' WHEN source <> 'src9' THEN 'second' END AS provider,
-              CASE WHEN lang <> 'en' THEN lang WHEN source <> 'src9' THEN source END AS response FROM documents""",
+    """SELECT doc_id, CASE WHEN lang <> 'en' OR source = 'src1' THEN 'first' WHEN source <> 'src9' THEN 'second' END AS provider,
+              CASE WHEN lang <> 'en' THEN lang WHEN source = 'src1' THEN '' WHEN source <> 'src9' THEN source END AS response FROM documents""",
 )
 def provider_fallback(spark, folder):
-    first = F.when(F.col("lang") != "en", F.col("lang")).otherwise(F.lit(""))
+    first = F.when(F.col("lang") != "en", F.col("lang")).when(F.col("source") == "src1", F.lit(""))
     second = F.when(F.col("source") != "src9", F.col("source"))
     chosen = triage.first_answer({"first": first, "second": second})
     return inputs.table(spark, folder, "documents").select("doc_id", chosen.alias("c")).select(
@@ -1119,7 +1123,7 @@ def _fetched(spark, folder) -> jobs.Fetched:
 
 def sql_ingested(todo: str, day: str) -> str:
     """Triage rows and paths of the links in `todo` whose material is their page."""
-    corpus = "lower(page_title || chr(10) || url || chr(10) || substr(original_text, 1, 2000))"
+    corpus = "lower(page_title || chr(10) || url || chr(10) || original_text)"
     return f"""
     SELECT *, CASE WHEN category = 'jobs' THEN 'job' ELSE 'knowledge' END AS item_type,
            '{VAULT}/' || category || '/' || {sql_safe_name('title')} || '.md' AS target_path
@@ -1140,8 +1144,12 @@ def _results(done: jobs.Ingested) -> DataFrame:
     return done.results.select("url", "title", "category", "type", "target_path", "is_overwrite")
 
 
-def sql_results(todo: str, day: str) -> str:
-    return f"""SELECT url, title, category, item_type AS type, target_path, false AS is_overwrite
+_WORKED = "date DESC NULLS FIRST, message_id DESC, pos, url"
+
+
+def sql_results(todo: str, day: str, again: str = "false", order: str = _WORKED) -> str:
+    return f"""SELECT url, title, category, item_type AS type, target_path,
+                      {again} OR row_number() OVER (PARTITION BY target_path ORDER BY {order}) > 1 AS is_overwrite
                FROM ({sql_ingested(todo, day)})"""
 
 
@@ -1157,7 +1165,7 @@ def _batch(spark, folder) -> jobs.Ingested:
     )
 
 
-@query(sql_results("SELECT * FROM oldest", _DAY), "oldest")
+@query(sql_results("SELECT * FROM oldest", _DAY, "hits > 1"), "oldest")
 def ingest_batch_results(spark, folder):
     return _results(_batch(spark, folder))
 
@@ -1165,7 +1173,7 @@ def ingest_batch_results(spark, folder):
 @query(
     f"""SELECT target_path AS file_path, {inputs.SQL_CONTENT} AS content FROM (
             SELECT * FROM ({sql_ingested("SELECT * FROM oldest", _DAY)})
-            QUALIFY row_number() OVER (PARTITION BY target_path ORDER BY date DESC, url DESC) = 1)""", "oldest",
+            QUALIFY row_number() OVER (PARTITION BY target_path ORDER BY date, message_id, pos DESC, url DESC) = 1)""", "oldest",
 )
 def ingest_batch_notes(spark, folder):
     return _batch(spark, folder).notes.select("file_path", "content")
@@ -1214,7 +1222,10 @@ def ingest_session_registry(spark, folder):
     return after.select("url", "title", "file_path", "category", "telegram_message_id", "content_hash")
 
 
-@query(sql_results("SELECT url FROM page_registry WHERE category = 'other'", _SQL_TODAY), "page_registry")
+@query(
+    sql_results("SELECT url, telegram_message_id AS message_id FROM page_registry WHERE category = 'other'", _SQL_TODAY, order="message_id DESC, url"),
+    "page_registry",
+)
 def reprocess_failed_results(spark, folder):
     done = jobs.reprocess_failed(
         inputs.page_registry(spark, folder), inputs.notes(spark, folder), _fetched(spark, folder), VAULT,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
-PATCH_BYTES = 16 << 20  # changes made from less than this are broadcast to the table they change
+PATCH_BYTES = 16 << 20  # a log smaller than this is folded by paths only
 
 
 @cache

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,14 +17,24 @@ from linkcurate.schemas import CHECKPOINTS, NOTE_FILES, REGISTRY
 from linkcurate.sources.tables import BatchTable, last_by
 
 
+def work_order(items: DataFrame) -> Column:
+    """Grows in the order in which items are worked on: newest message first, links of one message as they stand in it.
+
+    Messages without a date count as new. Without messages the address decides.
+    """
+    if "date" not in items.columns:
+        return F.struct("url")
+    newest = F.coalesce(-F.unix_micros(F.col("date").cast("timestamp")), F.lit(-(2**62)))
+    return F.struct(newest.alias("a"), (-F.col("message_id")).alias("b"), F.col("pos").alias("c"), F.col("url").alias("d"))
+
+
 def note_files(resolved: DataFrame, prefix: str = "../attachments") -> DataFrame:
     """Note rows (`schemas.NOTE_FILES`) of resolved triage rows, one per path.
 
-    Two links of one title and category share a path; the later one by message
-    date keeps it, as when notes are written in turn.
+    Two links of one title and category share a path; the one worked on last
+    keeps it, as when notes are written in turn (see `work_order`).
     """
-    order = F.struct("date", "url") if "date" in resolved.columns else F.struct("url")
-    last = resolved.groupBy("target_path").agg(F.max(F.struct(order.alias("o"), "url")).alias("w"))
+    last = resolved.groupBy("target_path").agg(F.max(F.struct(work_order(resolved).alias("o"), "url")).alias("w"))
     winners = last.select("target_path", F.col("w.url").alias("url"))
     path = F.col("target_path")
     return resolved.join(winners, ["target_path", "url"], "left_semi").select(
@@ -75,7 +85,7 @@ def _fold_registry(base: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def _fold_checkpoints(base: DataFrame, log: DataFrame) -> DataFrame:
-    return upsert_checkpoints(base, log.drop("batch"))
+    return upsert_checkpoints(base, log, "batch")
 
 
 @dataclass(frozen=True)

@@ -27,12 +27,15 @@ def first_links(links: DataFrame, horizon: str | None = None) -> DataFrame:
     """Each link once.
 
     Without a horizon the state keeps every link ever seen, as the registry
-    does. With one (say `7 days`, by message date) it is bounded, and a link
-    seen again later passes; the registry check of the batch then catches it.
+    does. With one (say `7 days`) a link is remembered for that long after it
+    arrived, whatever its message's date: no link is lost, in a feed that runs
+    newest first too, and one that arrives again later passes; the registry
+    check of the batch then catches it.
     """
     if horizon is None:
         return links.dropDuplicates(["url"])
-    return links.withWatermark("date", horizon).dropDuplicatesWithinWatermark(["url"])
+    arrived = links.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
+    return arrived.dropDuplicatesWithinWatermark(["url"]).drop("_arrived")
 
 
 def running_counts(links: DataFrame, key: Column | None = None, name: str = "source_type") -> DataFrame:

@@ -12,7 +12,6 @@ def session(cores: int = 8, partitions: int | None = None) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]").appName("linkcurate")
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.driver.memory", "12g")
-        .config("spark.driver.extraJavaOptions", "-Xss4m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
