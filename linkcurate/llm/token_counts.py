@@ -31,11 +31,10 @@ def count_tokens(
     """
     blocks = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
         lambda batches: _postings(batches, tokenizer, block_chars), "word string, block long, docs binary, times binary"
-    ).repartition("word")
-    words = blocks.where("word IS NOT NULL").select("word").distinct()
-    pieces = words.mapInArrow(lambda batches: _pieces(batches, tokenizer), "word string, pieces int")
-    sums = blocks.join(pieces, "word", "left").select("block", "docs", "times", "pieces").mapInArrow(
-        _partial_sums, "block long, docs binary, sums binary"
+    )
+    # Postings of a word meet in one place, ordered, so its pieces are counted once; nothing but sums leaves the task.
+    sums = blocks.repartition("word").sortWithinPartitions("word").mapInArrow(
+        lambda batches: _partial_sums(_counted(batches, tokenizer)), "block long, docs binary, sums binary"
     )
     counted = sums.groupBy("block").applyInArrow(_totals, "key long, n_bytes long, n_tokens long")
     return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
@@ -130,14 +129,19 @@ def _batch(words: list, number: int, docs: pa.Array, times: pa.Array) -> pa.Reco
     )
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encoder, special = _splitter(path)
+def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Postings with the number of pieces of their pre-token; rows are ordered by pre-token, and each is counted once."""
+    encoder, _ = _splitter(path)
     count, specials = encoder.model.tokenize, set(encoder.specials)
+    last: tuple[str | None, int] = (None, 0)
     for batch in batches:
-        words = batch.column("word").to_pylist()
-        yield pa.record_batch(
-            [batch.column("word"), pa.array([1 if x in specials else len(count(x)) for x in words], pa.int32())], ["word", "pieces"]
-        )
+        words = batch.column("word").dictionary_encode()
+        known = words.dictionary.to_pylist()
+        pieces = [last[1] if x == last[0] else 1 if x in specials else len(count(x)) for x in known]
+        if known:
+            last = known[-1], pieces[-1]
+        found = pa.array(pieces, pa.int32()).take(words.indices)
+        yield pa.record_batch([batch.column("block"), batch.column("docs"), batch.column("times"), found], ["block", "docs", "times", "pieces"])
 
 
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
