@@ -12,6 +12,7 @@ from linkcurate.functions.classify import classify
 from linkcurate.functions.notes import classifier_corpus
 from linkcurate.functions.quality import is_dead_stub
 from linkcurate.rules import CATEGORY_PATTERNS
+from linkcurate.sources.tables import materialize
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ def reorganise(
     notes: DataFrame, vault: str, rules: Mapping[str, list[str]] = CATEGORY_PATTERNS, unsorted: str = "other"
 ) -> Reorganisation:
     """Plan where the parsed notes of the folder `unsorted` belong."""
-    judged = judge(notes.filter(F.col("category") == unsorted), rules)
+    judged = materialize(judge(notes.filter(F.col("category") == unsorted), rules), "judged")
     target = F.concat(F.lit(vault.rstrip("/") + "/"), F.col("category"), F.lit("/"), F.col("file_name"))
     moves = judged.filter(F.col("fate") == "moved").select(
         F.col("file_path").alias("source_path"), target.alias("target_path"), "category", "url"
@@ -55,22 +56,13 @@ def reorganise(
 def files_after(files: DataFrame, plan: Reorganisation) -> DataFrame:
     """Note files once the plan is carried out (paths are unique on both sides).
 
-    Of several notes that end on one path the last by source path remains.
+    Decided on paths only: of several notes that move to one path the last by
+    source path remains, and it replaces a note that is there. Contents meet
+    small tables of paths and are never grouped.
     """
-    fate = plan.judged.filter(F.col("fate") != "kept").select(
-        "file_path", "fate", F.col("category").alias("_to")
-    )
-    target = plan.moves.select(F.col("source_path").alias("file_path"), "target_path")
-    placed = (
-        files.join(fate, "file_path", "left").join(target, "file_path", "left")
-        .filter(F.col("fate").isNull() | (F.col("fate") == "moved"))
-        .select(
-            F.coalesce("target_path", "file_path").alias("file_path"), "file_name",
-            F.when(F.col("fate") == "moved", F.col("_to")).otherwise(F.col("category")).alias("category"),
-            "content", F.struct(F.col("target_path").isNotNull().alias("m"), "file_path").alias("_order"),
-        )
-    )
-    last = placed.groupBy("file_path").agg(
-        F.max_by(F.struct("file_name", "category", "content"), "_order").alias("f")
-    )
-    return last.select("file_path", "f.file_name", "f.category", "f.content")
+    winners = plan.moves.groupBy("target_path").agg(F.max("source_path").alias("file_path"), F.max_by("category", "source_path").alias("_to"))
+    moved = files.join(winners, "file_path").select(F.col("target_path").alias("file_path"), "file_name", F.col("_to").alias("category"), "content")
+    gone = plan.judged.filter(F.col("fate") != "kept").select("file_path")
+    replaced = gone.union(winners.select("target_path"))
+    rest = files.join(replaced, "file_path", "left_anti")
+    return rest.select("file_path", "file_name", "category", "content").unionByName(moved)

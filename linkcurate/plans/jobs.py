@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +42,18 @@ class Fetched:
     clutter: dict | None = None        # arguments for `functions.html.strip_clutter`
 
 
+#: Routes whose links are tried as plain pages when their own material gives nothing.
+FALLS_BACK = ("github", "arxiv", "x", "linkedin")
+
+
 def captures(todo: DataFrame, fetched: Fetched, *, force_visual: bool = False) -> DataFrame:
     """Captures of the links in `todo` (one row per `url`), with its other columns.
 
     Material is joined before it is parsed, so pages of links that are skipped
     are never looked into. A link without material is a failed capture. Of
     several rows for one link a fixed one is taken, by a combining aggregation.
+    A repository, paper or social page whose own material is missing or failed
+    falls back to the page at its address, if that was fetched.
     """
     routed = todo.withColumn("source_type", effective_source(F.col("url"), force_visual=force_visual))
 
@@ -61,7 +66,6 @@ def captures(todo: DataFrame, fetched: Fetched, *, force_visual: bool = False) -
         return one.select("url", *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*table.columns)
 
     branches = [
-        (fetched.pages, ["web"], partial(extract.capture_pages, strip_kwargs=fetched.clutter)),
         (fetched.threads, ["x", "linkedin"], extract.capture_threads),
         (fetched.readmes, ["github"], extract.capture_repositories),
         (fetched.papers, ["arxiv"], extract.capture_papers),
@@ -76,16 +80,25 @@ def captures(todo: DataFrame, fetched: Fetched, *, force_visual: bool = False) -
         routed, F.col("source_type"), F.lit(None).cast("string"), F.lit(None).cast("string"),
         F.lit(extract.NOT_CAPTURED),
     )
-    if found is None:
-        return nothing.join(todo, "url")
-    both = nothing.alias("n").join(found.alias("f"), "url", "left")
-    return both.select(
-        "url",
-        *[
-            F.when(F.col("f.failed_scrape").isNotNull(), F.col(f"f.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
-            for c in SCRAPED.fieldNames() if c != "url"
-        ],
-    ).join(todo, "url")
+    both, first = nothing.alias("n"), F.lit(None)
+    if found is not None:
+        both = both.join(found.alias("f"), "url", "left")
+        first = F.when(F.col("f.failed_scrape").isNotNull(), F.lit("f"))
+    if fetched.pages is not None:
+        pages = extract.capture_pages(of(["web", *FALLS_BACK], fetched.pages), strip_kwargs=fetched.clutter)
+        both = both.join(pages.alias("p"), "url", "left")
+        good = F.lit(False) if found is None else F.coalesce(~F.col("f.failed_scrape"), F.lit(False))
+        first = F.when(good, F.lit("f")).when(F.col("p.failed_scrape").isNotNull(), F.lit("p")).otherwise(first)
+    both = both.withColumn("_of", first)
+
+    def chosen(column: str) -> Column:
+        value = F.col(f"n.{column}")
+        for side, table in (("f", found), ("p", fetched.pages)):
+            if table is not None:
+                value = F.when(F.col("_of") == side, F.col(f"{side}.{column}")).otherwise(value)
+        return value.alias(column)
+
+    return both.select("url", *[chosen(c) for c in SCRAPED.fieldNames() if c != "url"]).join(todo, "url")
 
 
 @dataclass(frozen=True)
@@ -201,6 +214,31 @@ def ingest(
     )
 
 
+def ingest_links(
+    links: DataFrame,
+    registry: DataFrame,
+    files: DataFrame,
+    fetched: Fetched,
+    vault: str,
+    *,
+    now: Column | None = None,
+    model: Model | None = None,
+    fallback: Model | None = None,
+    rules: Mapping[str, list[str]] = CATEGORY_PATTERNS,
+    force_visual: bool = False,
+    mode: str = "prefix",
+) -> Ingested:
+    """Ingest given links (`url`) without a feed; each distinct one is worked on once and its note gets today's date."""
+    todo = links.filter(F.coalesce(F.col("url"), F.lit("")) != "").groupBy("url").agg(F.count("*").alias("hits")).select(
+        "url", F.lit(None).cast("bigint").alias("message_id"), F.lit(None).cast("timestamp").alias("date"), F.lit(0).alias("pos"), "hits"
+    )
+    todo = materialize(todo)
+    return _work_on(
+        todo, todo, registry, files, fetched, vault, F.current_timestamp() if now is None else now,
+        model=model, fallback=fallback, rules=rules, force_visual=force_visual, mode=mode,
+    )
+
+
 def reprocess_failed(
     registry: DataFrame,
     files: DataFrame,

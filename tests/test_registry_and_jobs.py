@@ -209,7 +209,7 @@ def test_model_errors_are_counted(spark):
     done = run(
         spark, feed, records(spark), files(spark), material(spark, "https://a.org/x", "https://c.org/z"), model=picky
     )
-    assert tuple(done.outcomes.first()) == (2, 0, 1)
+    assert tuple(done.outcomes.first()) == (2, 0, 0)  # answered by default values, and named in errors
     assert [tuple(r) for r in done.errors.collect()] == [("https://a.org/x", "ValueError: no")]
     assert {r.category for r in done.results.collect()} == {"other", "tools"}
 
@@ -376,3 +376,37 @@ def test_bounded_stream_dedupe_and_counts(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_page_stands_in_for_missing_material_and_repeats_count_once(spark):
+    links = ["https://github.com/o/r", "https://arxiv.org/abs/2401.00001", "https://github.com/o/good", "https://a.org/x"]
+    fetched = jobs.Fetched(
+        pages=spark.createDataFrame([(u, PAGE.format("p")) for u in [*links, links[3]]], "url string, html string"),
+        readmes=spark.createDataFrame([(links[0], 0, 404, ""), (links[2], 0, 200, "A readme of its own. " * 40)], "url string, pos int, status int, text string"),
+    )
+    done = jobs.ingest_links(
+        spark.createDataFrame([(u,) for u in [*links, links[0], None, ""]], "url string"), records(spark), files(spark), fetched, "/v",
+        now=F.lit("2025-10-01 10:00:00").cast("timestamp"),
+    )
+    got = by_url(done.items)
+    assert set(got) == set(links) and done.results.count() == 4
+    assert all("Llama and qwen: p." in got[u].original_text for u in (links[0], links[1], links[3]))
+    assert got[links[2]].original_text.startswith("A readme of its own.")
+
+
+def test_bounded_stream_dedupe_keeps_old_messages(spark, tmp_path):
+    for i, day in enumerate((30, 10, 1)):
+        messages(spark, (i, at(day), f"https://a.org/{i} https://a.org/0")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(messages(spark, (1, at(1), "")).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = streams.first_links(streams.link_stream(stream), "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    query.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = [r.url for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got) == [f"https://a.org/{i}" for i in range(3)]
+
+
+def test_repeated_keys_and_named_references(spark, one):
+    from linkcurate.functions import feeds, html
+
+    row = one(feeds.parse_answer, '{"title":"a","title":"b","category":"tools"}')
+    assert (row.title, row.category) == ("b", "tools")
+    assert one(html.unescape, "a &mdash; &eacute; &copy;&amp;lt; &#233;&#x41;; &nosuch; &comma; & &") == "a — é ©&lt; éA; &nosuch; , & &"
