@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _ONCE: dict[Any, Any] = {}
@@ -52,3 +53,10 @@ def task_number() -> int:
 
     context = TaskContext.get()
     return context.partitionId() if context else 0
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that a worker holds the texts of few rows as Python strings."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkcurate.llm.common import small
 from linkcurate.llm.hashing import hashed_words, window_hashes
 
 #: Words of this operator: digits, ASCII letters and everything beyond ASCII.
 _WORD = np.ones(256, bool)
 _WORD[0x00:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
-_PART = 8 << 20
+_PART = 2 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -82,7 +83,7 @@ class WindowSet:
         return merged(ranges), items
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
-        """Per text its number of words, hit ranges of words (end exclusive, ascending) and items. Hashed in parts of about 8 MB."""
+        """Per text its number of words, hit ranges of words (end exclusive, ascending) and items. Hashed in parts of about 2 MB."""
         out: list[tuple[int, list[tuple[int, int]], set[int]]] = []
         part: list[bytes] = []
         size = 0
@@ -131,7 +132,7 @@ def _scan_lot(rows: DataFrame, text: str, items: DataFrame, n: int) -> DataFrame
     known = rows.sparkSession.sparkContext.broadcast(WindowSet.of([tuple(r) for r in items.toLocalIterator()], n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = known.value.scan(batch.column(text).to_pylist())
             ranges, hit_items = [x[1] for x in found], [x[2] for x in found]
             for i, (old, older) in enumerate(zip(batch.column("__ranges").to_pylist(), batch.column("__items").to_pylist())):

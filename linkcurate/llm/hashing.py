@@ -73,7 +73,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
         if len(out) + len(part) < len(texts):
             part.append((text or "").encode("utf-8", "surrogatepass"))
             size += len(part[-1])
-        if part and (size > 4 << 20 or len(out) + len(part) == len(texts)):
+        if part and (size > 1 << 20 or len(out) + len(part) == len(texts)):
             _, _, _, words, first = hashed_words(part, NOT_BLANK)
             windows = window_hashes(words, n)
             for a, b in zip(first[:-1], first[1:]):

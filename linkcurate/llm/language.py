@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructType
 
-from linkcurate.llm.common import stored
+from linkcurate.llm.common import small, stored
 from linkcurate.llm.hashing import LOWER
 
 _BITS = 15
@@ -50,7 +50,7 @@ class TextModel:
             if i < len(texts):
                 part.append(text)
                 held += len(text or "")
-            if part and (held > 2 << 20 or i == len(texts)):
+            if part and (held > 1 << 18 or i == len(texts)):
                 codes, first = trigrams(part)
                 total = np.zeros((len(codes) + 1, len(self.languages)))
                 np.cumsum(self.table[codes], axis=0, out=total[1:])
@@ -69,6 +69,8 @@ def fit_text_model(labelled: DataFrame, *, key: str = "doc_id", text: str = "tex
     """
     known = labelled.where(F.col(lang).isNotNull() & (F.col(lang) != "")).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()
     names = sorted(r[0] for r in known)
+    if not names:
+        return TextModel([], np.zeros((1 << _BITS, 0)))
     order = Window.partitionBy("l").orderBy("h", "k")
     some = labelled.where(F.col(lang).isin(names)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(key).alias("h"))
     some = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_language).select("k", "l").distinct()
@@ -76,7 +78,7 @@ def fit_text_model(labelled: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), 1 << _BITS), np.int64)
-        for batch in batches:
+        for batch in small(batches, 50):
             of = np.array([names.index(x) for x in batch.column("l").to_pylist()], np.int64)
             codes, first = trigrams(batch.column("text").to_pylist())
             which = np.repeat(of, np.diff(first)) << _BITS | codes
@@ -152,7 +154,7 @@ def _scored(rows: DataFrame, model: TextModel, text: str, evidence: int) -> Data
     schema = StructType(list(rows.schema.fields)).add("__text", ArrayType(DoubleType())).add("__letters", BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sums, sizes = model.likelihoods(batch.column(text).to_pylist())
             sums *= (np.minimum(sizes, evidence) / np.maximum(sizes, 1))[:, None]
             offsets = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * len(model.languages))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkcurate.llm.chunks import Encoder
-from linkcurate.llm.common import stored
+from linkcurate.llm.common import small, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,7 +41,7 @@ def tokenized_pieces(
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, end = Encoder.of(path), end_id.to_bytes(4, "little")
-    for batch in batches:
+    for batch in small(batches):
         rows: list[tuple] = []
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             ids = encoder.ids(text.as_py()) + end
