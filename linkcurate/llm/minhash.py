@@ -5,8 +5,10 @@ shifted by k, gives coordinate k as the least value over a document's shingles.
 share a band are candidates, and links are confirmed by exact Jaccard similarity of the full shingle sets.
 
 Documents with equal sets form a class, and only its first row goes on, so groups of copies cost one aggregation. In a band,
-members are compared with the band's first and last member; links are joined into components; then only pairs of different
-components in one band are left to compare, which is every pair that could still join two components.
+members are compared with the band's first and last member, then, where a band still holds several components, with a few
+more. What is left are pairs of different components in one band. Blocks of members meet there, and pairs whose signatures
+agree as far as a link's do (5 standard deviations below its mean) are compared in full; most of a large band is in one
+component by then and is met by the others only.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkcurate.llm.common import stored
+from linkcurate.llm.common import small, stored
 from linkcurate.llm.components import components
 from linkcurate.llm.hashing import shingle_sets
 
@@ -81,10 +83,10 @@ def near_duplicates(
     alone without one; a key that repeats keeps a row each. Other columns play no part.
     """
     held = stored(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("at")), "texts")
-    signed = stored(held.mapInArrow(lambda b: _signed(b, words, bands, rows), "key long, at long, n long, class binary, bands array<long>"), "signatures")
-    classes = signed.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("at", "n", "bands")).alias("x"))
-    classes = classes.select("class", "x.at", "x.n", "x.bands")
-    links = links_of(classes.select("at", "n", "bands"), held.select("at", "text"), words, percent)
+    signed = stored(held.mapInArrow(lambda b: _signed(b, words, bands, rows), "key long, at long, n long, class binary, bands array<long>, low binary"), "signatures")
+    classes = signed.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("at", "n", "bands", "low")).alias("x"))
+    classes = classes.select("class", "x.at", "x.n", "x.bands", "x.low")
+    links = links_of(classes.select("at", "n", "bands", "low"), held.select("at", "text"), words, percent)
     found = components(links)
     of_class = classes.select("class", "at").join(found.withColumnRenamed("node", "at"), "at", "left")
     of_class = of_class.select("class", F.coalesce("component", "at").alias("component"))
@@ -101,40 +103,94 @@ def near_duplicates(
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         sets = shingle_sets(batch.column("text").to_pylist(), words)
-        keys = bands_of(signatures(sets, bands * rows), bands)
+        signed = signatures(sets, bands * rows)
+        keys = bands_of(signed, bands)
         names = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
         offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
         yield pa.record_batch(
             [batch.column("key"), batch.column("at"), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.binary()),
-             pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
-            ["key", "at", "n", "class", "bands"],
+             pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), low_bytes(signed)],
+            ["key", "at", "n", "class", "bands", "low"],
         )
 
 
-def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect whatever candidate pairs can connect."""
+def low_bytes(signed: np.ndarray) -> pa.Array:
+    """The lowest byte of every coordinate, a string of bytes per row."""
+    low = np.ascontiguousarray(signed.astype(np.uint8))
+    offsets = np.arange(len(low) + 1, dtype=np.int32) * low.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(low.tobytes())])
+
+
+def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, more: int = 4, block: int = 400) -> DataFrame:
+    """Confirmed links (a, b) that connect whatever candidate pairs can connect.
+
+    `classes` has at (unique), n (size of the set), bands and low (lowest bytes of the signature).
+    """
     members = classes.select("at", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("k"), F.min(F.struct("at", "n")).alias("low"), F.max(F.struct("at", "n")).alias("high"))
-    shared = shared.where("k > 1").select("band", "low", "high")
-    members = stored(members.join(shared, "band"), "members")
-    ends = members.select("at", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("end"))
-    alike = 100 * F.least("n", F.col("end.n")) >= percent * F.greatest("n", F.col("end.n"))
-    pairs = ends.where(F.col("at") != F.col("end.at")).where(alike)
-    pairs = pairs.select(F.least("at", "end.at").alias("a"), F.greatest("at", "end.at").alias("b")).distinct()
+    one = F.struct("at", "n")
+    shared = members.groupBy("band").agg(F.count("*").alias("k"), F.min(one).alias("low"), F.max(one).alias("high")).where("k > 1")
+    members = stored(members.join(shared.select("band", F.array("low", "high").alias("ends")), "band"), "members")
+    pairs = _star(members, percent)
     first = stored(_confirmed(pairs, texts, words, percent), "confirmed")
-    group = components(first)
-    # What is left: pairs of one band in different components.
-    named = members.select("band", "at", "n").join(group.withColumnRenamed("node", "at"), "at", "left")
+    mixed = _mixed(members.select("band", "at", "n"), components(first))
+    # A few members of each band that still holds several components, by the least of as many hashes.
+    ends = [F.min(F.struct(F.xxhash64("at", F.lit(i)).alias("h"), "at", "n")).alias(f"e{i}") for i in range(more)]
+    some = mixed.groupBy("band").agg(*ends).select("band", F.array(*[F.struct(f"e{i}.at", f"e{i}.n") for i in range(more)]).alias("ends"))
+    tried = _star(mixed.join(some, "band"), percent).join(pairs, ["a", "b"], "left_anti")
+    second = stored(first.union(_confirmed(tried, texts, words, percent)), "confirmed")
+    mixed = _mixed(mixed.select("band", "at", "n"), components(second))
+    rest = _likely(mixed, classes.select("at", "low"), percent, block).distinct().join(pairs, ["a", "b"], "left_anti")
+    return second.union(_confirmed(rest, texts, words, percent))
+
+
+def _star(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of a band's `ends` and its members, as far as their sizes allow a link."""
+    pairs = members.select("at", "n", F.explode(F.array_distinct("ends")).alias("end")).where(F.col("at") != F.col("end.at"))
+    pairs = pairs.where(100 * F.least("n", F.col("end.n")) >= percent * F.greatest("n", F.col("end.n")))
+    return pairs.select(F.least("at", "end.at").alias("a"), F.greatest("at", "end.at").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, group: DataFrame) -> DataFrame:
+    """Members (with their component) of bands that hold more than one component."""
+    named = members.join(group.withColumnRenamed("node", "at"), "at", "left")
     named = named.select("band", "at", "n", F.coalesce("component", "at").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    named = stored(named.join(mixed, "band"), "mixed")
-    other = named.select("band", F.col("at").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-    rest = named.join(other, "band").where((F.col("at") < F.col("b")) & (F.col("component") != F.col("c")))
-    rest = rest.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("at").alias("a"), "b").distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    return first.union(_confirmed(rest, texts, words, percent))
+    bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    return stored(named.join(bands, "band"), "mixed")
+
+
+def _likely(mixed: DataFrame, signed: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) of different components in a band whose signatures agree as those of a link do."""
+    sizes = mixed.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("k"))
+    rows = mixed.join(signed, "at").join(sizes, "band").withColumn("block", F.expr(f"pmod(xxhash64(at), ceil(k / {block}))"))
+
+    def packed(which: DataFrame, name: str) -> DataFrame:
+        return which.groupBy("band", "block").agg(F.collect_list(F.struct("at", "n", "component", "low")).alias(name)).drop("block")
+
+    met = packed(rows.where("component <> main"), "x").join(packed(rows, "y"), "band")
+    return met.select("x", "y").mapInArrow(lambda batches: _agreeing(batches, percent), "a long, b long")
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches, 100):
+        found = [np.zeros((0, 2), np.int64)]
+        for i in range(len(batch)):
+            x, y = batch.column("x")[i].values, batch.column("y")[i].values
+            (at, n, group, low), (at2, n2, group2, low2) = (
+                (*(v.field(c).to_numpy() for c in ("at", "n", "component")), np.frombuffer(b"".join(v.field("low").to_pylist()), np.uint8).reshape(len(v), -1)) for v in (x, y)
+            )
+            share = percent / 100
+            least = low.shape[1] * share - 5 * np.sqrt(low.shape[1] * share * (1 - share))
+            for j in range(0, len(at), 32):
+                k = slice(j, j + 32)
+                alike = (low[k, None, :] == low2[None, :, :]).sum(axis=2) >= least
+                alike &= group[k, None] != group2[None, :]
+                alike &= 100 * np.minimum(n[k, None], n2[None, :]) >= percent * np.maximum(n[k, None], n2[None, :])
+                a, b = np.nonzero(alike)
+                found.append(np.stack([np.minimum(at[k][a], at2[b]), np.maximum(at[k][a], at2[b])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -146,7 +202,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
 def _compared(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     last, kept = None, None
-    for batch in batches:
+    for batch in small(batches, 100):
         a = batch.column("a").to_pylist()
         new = [i for i in range(len(a)) if a[i] != (a[i - 1] if i else last)]
         left = iter(shingle_sets([batch.column("text_a")[i].as_py() for i in new], words))

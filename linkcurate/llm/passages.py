@@ -16,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkcurate.llm.common import stored
+from linkcurate.llm.common import small, stored
 from linkcurate.llm.components import components
 from linkcurate.llm.hashing import NOT_BLANK, hashed_words, shingle_sets
-from linkcurate.llm.minhash import bands_of, links_of, signatures
+from linkcurate.llm.minhash import bands_of, links_of, low_bytes, signatures
 
 _PARAGRAPH = re.compile(r"[^\s][^.!?\n]*(?:[.!?]++(?!\s|\Z)[^.!?\n]*)*[.!?]*")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = (
     "at long, key long, hashes array<long>, starts array<int>, ends array<int>, sizes array<int>, "
-    "class long, n long, text string, bands array<long>"
+    "class long, n long, text string, bands array<long>, low binary"
 )
 
 
@@ -54,9 +54,9 @@ def repeated_passages(
     numbered = docs.select(F.monotonically_increasing_id().alias("at"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     cut = stored(numbered.mapInArrow(lambda b: _cut(b, shingle, near_words, bands, rows), _SCHEMA), "paragraphs")
     whole = cut.where("hashes IS NOT NULL")
-    longer = cut.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("n", "bands", "text")).alias("x"))
-    longer = stored(longer.select(F.col("class").alias("at"), "x.n", "x.bands", "x.text"), "longer")
-    group = components(links_of(longer.select("at", "n", "bands"), longer.select("at", "text"), shingle, percent))
+    longer = cut.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("n", "bands", "low", "text")).alias("x"))
+    longer = stored(longer.select(F.col("class").alias("at"), "x.n", "x.bands", "x.low", "x.text"), "longer")
+    group = components(links_of(longer.select("at", "n", "bands", "low"), longer.select("at", "text"), shingle, percent))
     seen = whole.where("key IS NOT NULL").select("at", "key", F.explode(F.array_distinct("hashes")).alias("hash"))
     # Only paragraphs in a component of several classes need a new name; they are few, all others are their own component.
     owned = seen.join(group.withColumnRenamed("node", "hash"), "hash", "left").withColumn("class", F.coalesce("component", "hash"))
@@ -69,7 +69,7 @@ def repeated_passages(
 
 def _cut(batches: Iterator[pa.RecordBatch], shingle: int, near_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     known: set[int] = set()
-    for batch in batches:
+    for batch in small(batches):
         ats, keys, texts = (batch.column(x).to_pylist() for x in ("at", "key", "text"))
         for i, j in _parts(texts):
             places = [paragraphs(x) for x in texts[i:j]]
@@ -90,12 +90,13 @@ def _cut(batches: Iterator[pa.RecordBatch], shingle: int, near_words: int, bands
                 known.update(int(hashes[k]) for k in long)
             if long:
                 sets = shingle_sets([units[k] for k in long], shingle)
-                banded = bands_of(signatures(sets, bands * rows), bands)
+                signed = signatures(sets, bands * rows)
+                banded = bands_of(signed, bands)
                 offsets = pa.array(np.arange(len(long) + 1, dtype=np.int32) * bands)
-                yield _rows(**{"class": pa.array(hashes[long])}, n=pa.array([len(x) for x in sets], pa.int64()), text=pa.array([units[k] for k in long], pa.string()), bands=pa.ListArray.from_arrays(offsets, pa.array(banded.reshape(-1))))
+                yield _rows(**{"class": pa.array(hashes[long])}, n=pa.array([len(x) for x in sets], pa.int64()), text=pa.array([units[k] for k in long], pa.string()), bands=pa.ListArray.from_arrays(offsets, pa.array(banded.reshape(-1))), low=low_bytes(signed))
 
 
-def _parts(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text or "")
@@ -117,13 +118,13 @@ def _sequence_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _rows(**columns: pa.Array) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     kinds = {"at": pa.int64(), "key": pa.int64(), "hashes": pa.list_(pa.int64()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32()),
-             "class": pa.int64(), "n": pa.int64(), "text": pa.string(), "bands": pa.list_(pa.int64())}
+             "class": pa.int64(), "n": pa.int64(), "text": pa.string(), "bands": pa.list_(pa.int64()), "low": pa.binary()}
     return pa.record_batch([columns.get(k, pa.nulls(n, v)) for k, v in kinds.items()], list(kinds))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in small(batches):
         spans, words = [], []
         for hashes, starts, ends, sizes, repeated in zip(*(batch.column(x) for x in ("hashes", "starts", "ends", "sizes", "repeated"))):
             own, total = [], 0
