@@ -262,7 +262,7 @@ class Labeller:
         return once(("labeller", pages, epochs, seed), make)
 
 
-_TEXT, _REST = "", ""
+_TEXT, _REST = "\ue000", "\ue001"
 
 
 def labelled(page: str) -> tuple[list[tuple], np.ndarray]:

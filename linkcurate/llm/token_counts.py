@@ -7,6 +7,7 @@ one that stands in every document is no hot key. Sums per document then leave ev
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +42,11 @@ def count_tokens(
 
 
 def _splitter(path: str):
-    """Pre-tokens of a chunk, special tokens standing for themselves."""
+    """The worker's encoder, and a pattern of its special tokens, which stand for themselves."""
 
     def make():
         encoder = Encoder(path)
-        return encoder, __import__("re").compile("|".join(map(__import__("re").escape, sorted(encoder.specials, key=len, reverse=True))) or "(?!)")
+        return encoder, re.compile("|".join(map(re.escape, sorted(encoder.specials, key=len, reverse=True))) or "(?!)")
 
     return once(("splitter", path), make)
 
