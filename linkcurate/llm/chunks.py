@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 
@@ -20,6 +21,8 @@ from linkcurate.llm.common import once
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _BORDER = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
+#: Characters at which str.split cuts though they are not White_Space.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _WINDOW = 1 << 20
 
 
@@ -53,7 +56,7 @@ class Encoder:
     `keep` bounds the distinct chunks in memory: the newest `keep` and the `keep` before them. It changes no result.
     """
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 350_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,13 +82,21 @@ class Encoder:
         if self.has_special(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(text) > _WINDOW:
-            return b"".join(self._joined(CHUNK.findall(x)) for x in windows(text))
-        return self._joined(CHUNK.findall(text))
+            return b"".join(self._joined(self.cut(x)) for x in windows(text))
+        return self._joined(self.cut(text))
+
+    def cut(self, text: str) -> list[str]:
+        """Chunks; without their white space where the tokenizer drops it, and in lower case where it lower-cases ASCII."""
+        if self.ascii and self.ascii[0] and not _SEPARATORS.search(text):
+            return (text.lower() if text.isascii() else text).split()
+        return CHUNK.findall(text)
 
     def _joined(self, chunks: list[str]) -> bytes:
         if len(self.known) > self.keep:
             self.known, self.older = _Known(self._chunk), dict(self.known)
-        return b"".join(map(self.known.__getitem__, chunks))
+        if len(chunks) < 2:
+            return self.known[chunks[0]] if chunks else b""
+        return b"".join(itemgetter(*chunks)(self.known))
 
     def pre_tokens(self, chunk: str) -> list[str]:
         """What the library's normalizer and pre-tokenizer make of a chunk, in the letters its model reads."""

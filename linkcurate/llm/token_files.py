@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkcurate.llm.chunks import Encoder
-from linkcurate.llm.common import stored
+from linkcurate.llm.common import small, stored
 
 MAGIC = b"RANKVB01"
 _WIDTHS = np.array([[(control >> 2 * i & 3) + 1 for i in range(4)] for control in range(256)], np.uint8)
@@ -57,7 +57,7 @@ def token_ids(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), end_id.to_bytes(4, "little")
         width = _width(len(encoder.four))
-        for batch in batches:
+        for batch in small(batches):
             ids = [np.frombuffer(encoder.ids(x.as_py()) + end, "<u4").astype(width).tobytes() for x in batch.column("text")]
             yield pa.record_batch([batch.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
@@ -68,7 +68,7 @@ def _width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def write_files(docs: DataFrame, tokenizer: str, folder: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, file_ids: int = 4 << 20) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, folder: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, file_ids: int = 2 << 20) -> DataFrame:
     """Write all documents in ascending key order (null keys first) and return the stored manifest: file, part, n_docs, n_ids.
 
     Texts are tokenized once and the ids stored; counts by id (as many as the vocabulary has) give the ranks. `file_ids` is the
@@ -78,6 +78,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, *, key: str = "doc
     spark = docs.sparkSession
     ids = stored(token_ids(docs, tokenizer, key=key, text=text, end_id=end_id), "ids")
     width = _width(len(Encoder.of(tokenizer).four))
+    size = np.dtype(width).itemsize
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -97,32 +98,29 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, *, key: str = "doc
     with store.open_output_stream(f"{root}/ranks.bin") as out:
         out.write(by_rank.tobytes())
     n_ids = ids.agg(F.sum(F.length("ids"))).first()[0] or 0
-    parts = max(1, -(-n_ids // (np.dtype(width).itemsize * file_ids)))
+    parts = max(1, -(-n_ids // (size * file_ids)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        keys, nulls, lengths, control, data = [], [], [], [], []
+        keys, nulls, lengths, held = [], [], [], []
         for batch in batches:
             for k, x in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist()):
-                ranks = rank_of[np.frombuffer(x, width)]
                 keys.append(k or 0)
                 nulls.append(k is None)
-                lengths.append(len(ranks))
-                held = encode(ranks)  # every document starts on a control byte of its own
-                control.append(held[0])
-                data.append(held[1])
+                lengths.append(len(x) // size)
+                held.append(x)
         if not keys:
             return
         part = TaskContext.get().partitionId()
         name = f"part-{part:08d}.rvb"
         store, root = fs.FileSystem.from_uri(folder)
-        body = b"".join(data)
+        control, body = encode(rank_of[np.frombuffer(b"".join(held), width)])
         index = np.stack([np.array(keys, "<i8").view("<u8"), np.array(nulls, "<u8"), np.array(lengths, "<u8")], axis=1)
         head = np.array([len(keys), sum(lengths), len(body)], "<u8")
         own = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
         with store.open_output_stream(own) as out:
-            for x in (MAGIC, head.tobytes(), index.tobytes(), b"".join(control), body):
+            for x in (MAGIC, head.tobytes(), index.tobytes(), control, body):
                 out.write(x)
         store.move(own, f"{root}/{name}")
         yield pa.record_batch([[name], [part], [len(keys)], [sum(lengths)]], ["file", "part", "n_docs", "n_ids"])
@@ -160,24 +158,15 @@ def _documents(content, start: int, by_rank: np.ndarray, rows: int = 2000) -> It
     raw = np.frombuffer(content, np.uint8)
     if raw[:8].tobytes() != MAGIC:
         raise ValueError("not a file of token ids")
-    n_docs, _, n_data = (int(x) for x in raw[8:32].view("<u8"))
+    n_docs, n_ids, n_data = (int(x) for x in raw[8:32].view("<u8"))
     index = raw[32 : 32 + 24 * n_docs].view("<u8").reshape(-1, 3)
-    lengths = index[:, 2].astype(np.int64)
-    controls = -(-lengths // 4)
-    control, data = raw[32 + 24 * n_docs : len(raw) - n_data], raw[len(raw) - n_data :]
-    at, used = 0, 0
+    ids = by_rank[decode(raw[32 + 24 * n_docs : len(raw) - n_data], raw[len(raw) - n_data :], n_ids)]
+    edges = np.concatenate([[0], np.cumsum(index[:, 2].astype(np.int64))])
     for i in range(0, n_docs, rows):
-        keys, begins, sizes, crcs, out = [], [], [], [], []
-        for key, null, n, k in zip(index[i : i + rows, 0].view("<i8").tolist(), index[i : i + rows, 1].tolist(), lengths[i : i + rows].tolist(), controls[i : i + rows].tolist()):
-            own = control[at : at + k]
-            size = int(_WIDTHS[own].reshape(-1)[:n].sum())
-            ids = by_rank[decode(own, data[used : used + size], n)].tobytes()
-            at, used = at + k, used + size
-            keys.append(None if null else key)
-            begins.append(start)
-            sizes.append(n)
-            crcs.append(zlib.crc32(ids))
-            out.append(ids)
-            start += n
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        yield pa.record_batch([pa.array(x, k) for x, k in zip((keys, begins, sizes, crcs, out), kinds)], ["key", "start", "n_tokens", "ids_crc32", "ids"])
+        part = edges[i : i + rows + 1]
+        each = [ids[a:b].tobytes() for a, b in zip(part, part[1:])]
+        keys = pa.array(index[i : i + rows, 0].view("<i8"), mask=index[i : i + rows, 1].astype(bool))
+        crcs = pa.array(map(zlib.crc32, each), pa.int64())
+        yield pa.record_batch(
+            [keys, pa.array(start + part[:-1]), pa.array(np.diff(part)), crcs, pa.array(each, pa.binary())], ["key", "start", "n_tokens", "ids_crc32", "ids"]
+        )
