@@ -1,9 +1,16 @@
-"""Passages that repeat across documents, found by MinHash banding of paragraphs.
+"""Passages that repeat across documents, found by MinHash banding of paragraphs and by windows of words.
 
-A paragraph is the smallest unit a text is cut into here: a line, or a sentence of one, because copied passages often start
-or end inside a line. Equal paragraphs (same words, A-Z as a-z) form a class. Longer classes are banded, those that collide
-are compared by exact Jaccard similarity of their word shingles, and links make components. A paragraph is repeated if its
-component stands in a document with a smaller key; a run of repeated paragraphs of at least `min_words` words is removed.
+A paragraph is a line, or a sentence of one. Equal paragraphs (same words, A-Z as a-z) form a class. Longer classes are banded,
+those that collide are compared by exact Jaccard similarity of their word shingles, and links make components. A paragraph is
+repeated if its component stands in a document with a smaller key; of a line of several sentences, from the first to the last
+that holds a repeated word.
+
+Copies that start and end anywhere are found by windows of words: of as many windows in a row as a window has words, the one with
+the least hash is kept, so two texts that share a run of twice that length keep a window in common. Shared windows next to
+each other leave no word out; where such a row ends it is extended word by word, as long as a document with a smaller key goes
+on equally. Rows of windows that first stand in one document are joined over the words between them if at most one word in
+five of the whole was edited. A run of words that lie in repeated paragraphs, windows or joins is removed if it has at least
+`min_words` words.
 """
 
 from __future__ import annotations
@@ -13,31 +20,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkcurate.llm.common import small, stored
+from linkcurate.llm.common import once, small, stored
 from linkcurate.llm.components import components
-from linkcurate.llm.hashing import NOT_BLANK, hashed_words, shingle_sets
+from linkcurate.llm.hashing import LOWER, NOT_BLANK, shingle_sets, word_edges, word_hashes
 from linkcurate.llm.minhash import bands_of, links_of, low_bytes, signatures
 
-_PARAGRAPH = re.compile(r"[^\s][^.!?\n]*(?:[.!?]++(?!\s|\Z)[^.!?\n]*)*[.!?]*")
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_SCHEMA = (
-    "at long, key long, hashes array<long>, starts array<int>, ends array<int>, sizes array<int>, "
-    "class long, n long, text string, bands array<long>, low binary"
-)
-
-
-def paragraphs(text: str | None) -> list[tuple[int, int]]:
-    """Start and end (code points) of the lines, and sentences of lines, without white space around them."""
-    out = []
-    for found in _PARAGRAPH.finditer(text or ""):
-        start, end = found.span()
-        while text[end - 1].isspace():
-            end -= 1
-        out.append((start, end))
-    return out
+_BLANK = " \t\n\r\x0b\x0c"
+_PARAGRAPH = re.compile(r"[^\s][^.!?\n]*(?:[.!?]++(?!\s|\Z)[^.!?\n]*)*[.!?]*", re.ASCII)
+_LINE = re.compile(r"[^\s][^\n]*", re.ASCII)
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+_SCHEMA = "at long, key long, hashes array<long>, prints array<long>, places array<int>, class long, n long, text string, bands array<long>, low binary"
+_RUNS = "at long, spans array<struct<start:int,end:int>>, n_words long"
+
+
+def paragraphs(text: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Start and end (code points) of the sentences of lines, and of lines of several, without white space around them."""
+    text = text or ""
+    cut = lambda form: [(a, a + len(text[a:b].rstrip(_BLANK))) for a, b in (x.span() for x in form.finditer(text))]
+    sentences = cut(_PARAGRAPH)
+    known = set(sentences)
+    return sentences, [x for x in cut(_LINE) if x not in known]
 
 
 def repeated_passages(
@@ -46,54 +52,134 @@ def repeated_passages(
 ) -> DataFrame:
     """Per row of `docs`: key, spans (array of start, end in code points, ascending) to remove, and n_words in them.
 
-    The document with the smallest key keeps a passage; repeats inside one document are left alone. Paragraphs of fewer than
-    `near_words` words count as repeated only if equal; 12 bands of 3 rows find longer ones at 80 % with probability 0.9998.
+    The document with the smallest key keeps a passage; repeats inside one document are left alone. Every word of a run of at
+    least `min_words` words that a document with a smaller key holds word for word is removed. Paragraphs of fewer than
+    `near_words` words count as repeated only if equal; 12 bands of 3 rows find longer ones at 80 % with probability 0.9998. An
+    edited passage that is no paragraph is joined only where its windows first stand in the same row.
     Null, empty and blank texts have no spans; rows with a null key are compared with nothing; rows with equal keys are one
     document to each other. Other columns play no part.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("at"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    cut = stored(numbered.mapInArrow(lambda b: _cut(b, shingle, near_words, bands, rows), _SCHEMA), "paragraphs")
-    whole = cut.where("hashes IS NOT NULL")
+    size = max(1, min(14, (min_words + 1) // 2))
+    held = stored(docs.select(F.monotonically_increasing_id().alias("at"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")), "texts")
+    cut = stored(held.mapInArrow(lambda b: _cut(b, shingle, near_words, bands, rows, size), _SCHEMA), "paragraphs")
+    whole = cut.where("hashes IS NOT NULL AND key IS NOT NULL")
     longer = cut.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("n", "bands", "low", "text")).alias("x"))
     longer = stored(longer.select(F.col("class").alias("at"), "x.n", "x.bands", "x.low", "x.text"), "longer")
     group = components(links_of(longer.select("at", "n", "bands", "low"), longer.select("at", "text"), shingle, percent))
-    seen = whole.where("key IS NOT NULL").select("at", "key", F.explode(F.array_distinct("hashes")).alias("hash"))
+    seen = whole.select("at", "key", F.explode(F.array_distinct("hashes")).alias("hash"))
     # Only paragraphs in a component of several classes need a new name; they are few, all others are their own component.
     owned = seen.join(group.withColumnRenamed("node", "hash"), "hash", "left").withColumn("class", F.coalesce("component", "hash"))
     first = owned.groupBy("class").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("class", "low")
     repeated = owned.join(first, "class").where("key > low").groupBy("at").agg(F.collect_set("hash").alias("repeated"))
-    joined = whole.select("at", "key", "hashes", "starts", "ends", "sizes").join(repeated, "at", "left")
-    found = joined.drop("at").mapInArrow(lambda b: _runs(b, min_words), "key long, spans array<struct<start:int,end:int>>, n_words long")
-    return found.withColumnRenamed("key", key)
+
+    prints = whole.select("at", "key", F.explode(F.arrays_zip("prints", "places")).alias("x")).select("at", "key", F.col("x.prints").alias("hash"), F.col("x.places").alias("pos"))
+    lows = prints.groupBy("hash").agg(F.min(F.struct("key", "at", "pos")).alias("low"), F.max("key").alias("high")).where("low.key < high")
+    shared = prints.join(lows.select("hash", "low"), "hash").where("key > low.key")
+    shared = stored(shared.select("at", "hash", "pos", F.col("low.at").alias("from_at"), F.col("low.pos").alias("from_pos")), "shared")
+    order = Window.partitionBy("at").orderBy("pos")
+    edges = shared.select("hash", (F.col("pos") - F.lag("pos").over(order)).alias("before"), (F.lead("pos").over(order) - F.col("pos")).alias("after"))
+    asked = edges.where((F.coalesce("before", F.lit(size + 1)) > size) | (F.coalesce("after", F.lit(size + 1)) > size)).select("hash").distinct()
+    asked = prints.join(asked, "hash").groupBy("at").agg(F.collect_list("pos").alias("asked"))
+    own = shared.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("pos", "from_at", "from_pos"))).alias("prints"))
+    marks = repeated.join(own, "at", "full").join(asked, "at", "full")
+    hits = stored(held.join(marks, "at"), "hits")
+    further = hits.where("asked IS NOT NULL").select("at", "key", "text", "asked").mapInArrow(lambda b: _extended(b, size), "at long, key long, pos int, step int, hash long")
+    further = stored(further, "further")
+    first = further.groupBy("hash").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("hash", "low")
+    reach = further.join(first, "hash").where("key > low").groupBy("at", "pos").agg(F.max("step").alias("right"), F.min("step").alias("left"))
+    reach = reach.groupBy("at").agg(F.collect_list(F.struct("pos", "left", "right")).alias("reach"))
+    marked = hits.where("repeated IS NOT NULL OR prints IS NOT NULL").select("at", "text", "repeated", "prints").join(reach, "at", "left")
+    runs = marked.mapInArrow(lambda b: _runs(b, size, min_words, percent), _RUNS)
+    found = held.select("at", "key").join(runs, "at", "left")
+    return found.select(F.col("key").alias(key), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"))
+
+
+class _Words:
+    """The words of one text: code points of starts and ends, and hashes of any words in a row from sums over the text."""
+
+    def __init__(self, text: str | None) -> None:
+        data = LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
+        starts, ends = word_edges(data, NOT_BLANK)
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        self.starts, self.ends = points[starts], points[ends]
+        self.n = len(starts)
+        self._back = _powers(_BACK, self.n)
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(data, starts, ends) * _powers(_STEP, self.n), dtype=np.uint64)])
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the words from `first` up to before `last`, which must hold one at least."""
+        sums = (self._sums[last] - self._sums[first]) * self._back[first] + (last - first).astype(np.uint64)
+        return ((sums ^ (sums >> np.uint64(31))) * np.uint64(_STEP)).view(np.int64)
+
+    def units(self, text: str | None) -> tuple[list[tuple[int, int]], int, np.ndarray, np.ndarray]:
+        """Paragraphs, how many are sentences (these stand first), and the first word of each and the one after its last."""
+        sentences, lines = paragraphs(text)
+        edges = np.array(sentences + lines, np.int64).reshape(-1, 2)
+        return sentences + lines, len(sentences), np.searchsorted(self.starts, edges[:, 0]), np.searchsorted(self.starts, edges[:, 1])
+
+    def prints(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and first words of the windows that are least among `size` in a row."""
+        at = np.arange(max(0, self.n - size + 1))
+        hashes = self.hashes(at, at + size)
+        if len(at) < size:
+            return hashes[:0], at[:0]
+        least = _sliding(hashes, size, np.minimum)
+        # A window is the least of some row exactly if the largest of the least values of the rows around it is its own.
+        edge = np.full(size - 1, np.iinfo(np.int64).min)
+        chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), size, np.maximum) == hashes)
+        return hashes[chosen], chosen
+
+
+def _powers(of: int, n: int) -> np.ndarray:
+    """The first `n` powers modulo 2**64; they are kept for later texts."""
+    held = once(("powers", of), lambda: [np.ones(1, np.uint64)])
+    if len(held[0]) < n:
+        factors = np.full(max(n, 1 << 15), np.uint64(of), np.uint64)
+        factors[0] = 1
+        held[0] = np.cumprod(factors, dtype=np.uint64)
+    return held[0][:n]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], shingle: int, near_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _sliding(values: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """`of` (minimum or maximum) over every `n` values in a row."""
+    held, width = values, 1
+    while width < n:
+        step = min(width, n - width)
+        held = of(held[:-step], held[step:])
+        width += step
+    return held
+
+
+def _cut(batches: Iterator[pa.RecordBatch], shingle: int, near_words: int, bands: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     known: set[int] = set()
     for batch in small(batches):
         ats, keys, texts = (batch.column(x).to_pylist() for x in ("at", "key", "text"))
         for i, j in _parts(texts):
-            places = [paragraphs(x) for x in texts[i:j]]
-            units = [t[a:b] for t, own in zip(texts[i:j], places) for a, b in own]
-            _, _, _, words, first = hashed_words([x.encode("utf-8", "surrogatepass") for x in units], NOT_BLANK)
-            sizes = np.diff(first)
-            hashes = _sequence_hashes(words, first)
-            edges = pa.array(np.cumsum([0] + [len(x) for x in places]), pa.int32())
-            spans = np.array([x for own in places for x in own], np.int32).reshape(-1, 2)
-            yield _rows(
-                at=pa.array(ats[i:j], pa.int64()), key=pa.array(keys[i:j], pa.int64()), hashes=pa.ListArray.from_arrays(edges, pa.array(hashes)),
-                starts=pa.ListArray.from_arrays(edges, pa.array(spans[:, 0])), ends=pa.ListArray.from_arrays(edges, pa.array(spans[:, 1])),
-                sizes=pa.ListArray.from_arrays(edges, pa.array(sizes.astype(np.int32))),
-            )
-            long = [k for k in np.flatnonzero(sizes >= near_words) if int(hashes[k]) not in known]
-            long = list({int(hashes[k]): k for k in long}.values())
+            hashes, prints, places, units = [], [], [], {}
+            for text in texts[i:j]:
+                words = _Words(text)
+                spans, _, first, last = words.units(text)
+                own = words.hashes(first, last)
+                hashes.append(own)
+                for (a, b), h, n in zip(spans, own.tolist(), (last - first).tolist()):
+                    if n >= near_words and h not in known:
+                        units.setdefault(h, text[a:b])
+                marks, at = words.prints(size)
+                prints.append(marks)
+                places.append(at.astype(np.int32))
+            yield _rows(at=pa.array(ats[i:j], pa.int64()), key=pa.array(keys[i:j], pa.int64()), hashes=_lists(hashes), prints=_lists(prints), places=_lists(places))
             if len(known) < 1_000_000:
-                known.update(int(hashes[k]) for k in long)
-            if long:
-                sets = shingle_sets([units[k] for k in long], shingle)
+                known.update(units)
+            if units:
+                sets = shingle_sets(list(units.values()), shingle)
                 signed = signatures(sets, bands * rows)
                 banded = bands_of(signed, bands)
-                offsets = pa.array(np.arange(len(long) + 1, dtype=np.int32) * bands)
-                yield _rows(**{"class": pa.array(hashes[long])}, n=pa.array([len(x) for x in sets], pa.int64()), text=pa.array([units[k] for k in long], pa.string()), bands=pa.ListArray.from_arrays(offsets, pa.array(banded.reshape(-1))), low=low_bytes(signed))
+                offsets = pa.array(np.arange(len(units) + 1, dtype=np.int32) * bands)
+                yield _rows(**{"class": pa.array(list(units), pa.int64())}, n=pa.array([len(x) for x in sets], pa.int64()), text=pa.array(list(units.values()), pa.string()), bands=pa.ListArray.from_arrays(offsets, pa.array(banded.reshape(-1))), low=low_bytes(signed))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in arrays]), pa.int32()), pa.array(np.concatenate(arrays)))
 
 
 def _parts(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -105,40 +191,79 @@ def _parts(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
             start, held = i + 1, 0
 
 
-def _sequence_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One hash per paragraph of its words in order; every paragraph has a word."""
-    sizes = np.diff(first)
-    if not len(sizes):
-        return np.zeros(0, np.int64)
-    powers = np.cumprod(np.full(int(sizes.max()), _STEP, np.uint64), dtype=np.uint64)
-    sums = np.add.reduceat(words * powers[np.arange(len(words)) - np.repeat(first[:-1], sizes)], first[:-1])
-    return ((sums ^ (sums >> np.uint64(31))) * _STEP).view(np.int64)
-
-
 def _rows(**columns: pa.Array) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    kinds = {"at": pa.int64(), "key": pa.int64(), "hashes": pa.list_(pa.int64()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32()),
+    kinds = {"at": pa.int64(), "key": pa.int64(), "hashes": pa.list_(pa.int64()), "prints": pa.list_(pa.int64()), "places": pa.list_(pa.int32()),
              "class": pa.int64(), "n": pa.int64(), "text": pa.string(), "bands": pa.list_(pa.int64()), "low": pa.binary()}
     return pa.record_batch([columns.get(k, pa.nulls(n, v)) for k, v in kinds.items()], list(kinds))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+def _extended(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of every asked window with 1 to `size` - 1 words more after it (step above 0) or before it (below)."""
+    for batch in small(batches, 50):
+        for at, key, text, asked in zip(*(batch.column(x).to_pylist() for x in ("at", "key", "text", "asked"))):
+            words = _Words(text)
+            pos, step = (x.reshape(-1) for x in np.meshgrid(np.array(asked, np.int64), np.array([x for x in range(1 - size, size) if x], np.int64), indexing="ij"))
+            first, last = pos + np.minimum(step, 0), pos + size + np.maximum(step, 0)
+            inside = (first >= 0) & (last <= words.n)
+            hashes = words.hashes(first[inside], last[inside])
+            # A side's own hashes are apart: a window extended before it never meets one extended after it.
+            hashes = np.where(step[inside] > 0, hashes, ~hashes)
+            n = len(hashes)
+            yield pa.record_batch([pa.array(np.full(n, at)), pa.array(np.full(n, key)), pa.array(pos[inside].astype(np.int32)), pa.array(step[inside].astype(np.int32)), pa.array(hashes)], ["at", "key", "pos", "step", "hash"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], size: int, min_words: int, percent: int) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in small(batches):
-        spans, words = [], []
-        for hashes, starts, ends, sizes, repeated in zip(*(batch.column(x) for x in ("hashes", "starts", "ends", "sizes", "repeated"))):
-            own, total = [], 0
-            if repeated.is_valid:
-                hit = np.isin(hashes.values.to_numpy(), repeated.values.to_numpy())
-                edge = np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8))
-                counts = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])
-                for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                    if counts[b] - counts[a] >= min_words:
-                        own.append({"start": starts.values[a].as_py(), "end": ends.values[b - 1].as_py()})
-                        total += int(counts[b] - counts[a])
-            spans.append(own)
-            words.append(total)
-        yield pa.record_batch([batch.column("key"), pa.array(spans, kind), pa.array(words, pa.int64())], ["key", "spans", "n_words"])
+    for batch in small(batches, 50):
+        spans, total = [], []
+        for text, repeated, prints, reach in zip(*(batch.column(x).to_pylist() for x in ("text", "repeated", "prints", "reach"))):
+            words = _Words(text)
+            held = np.zeros(words.n, bool)
+            for a, b in _joined(prints or [], {x["pos"]: (x["left"], x["right"]) for x in reach or []}, size, percent):
+                held[a:b] = True
+            if repeated:
+                _, n, first, last = words.units(text)
+                hit = np.isin(words.hashes(first, last), np.array(repeated, np.int64))
+                for i in np.flatnonzero(hit[:n]):
+                    held[first[i] : last[i]] = True
+                # A line like another may still begin or end with sentences of its own: those without any repeated word stay.
+                for i in n + np.flatnonzero(hit[n:]):
+                    own = np.searchsorted(first[:n], [first[i], last[i]])
+                    some = [k for k in range(*own) if held[first[k] : last[k]].any()]
+                    if some:
+                        held[first[some[0]] : last[some[-1]]] = True
+            runs = np.diff(np.concatenate([[False], held, [False]]).astype(np.int8))
+            runs = [(a, b) for a, b in zip(np.flatnonzero(runs == 1), np.flatnonzero(runs == -1)) if b - a >= min_words]
+            spans.append([{"start": int(words.starts[a]), "end": int(words.ends[b - 1])} for a, b in runs])
+            total.append(int(sum(b - a for a, b in runs)))
+        yield pa.record_batch([batch.column("at"), pa.array(spans, kind), pa.array(total, pa.int64())], ["at", "spans", "n_words"])
+
+
+def _joined(prints: list[dict], reach: dict[int, tuple[int, int]], size: int, percent: int) -> list[list[int]]:
+    """First word and the one after the last of extended rows of windows, joined where the words between them are an edit."""
+    rows: list[list] = []
+    for x in prints:
+        left, right = reach.get(x["pos"], (0, 0))
+        a, b = x["pos"] + min(left, 0), x["pos"] + size + max(right, 0)
+        if rows and a <= rows[-1][1]:
+            rows[-1][1] = max(rows[-1][1], b)
+            rows[-1][3] = x
+        else:
+            rows.append([a, b, x, x])
+    out: list[list[int]] = []
+    edits, last = 0, None
+    for a, b, first, end in rows:
+        if out and first["from_at"] == last["from_at"] and first["from_pos"] > last["from_pos"]:
+            gap = a - out[-1][1]
+            other = gap + (first["from_pos"] - last["from_pos"]) - (first["pos"] - last["pos"])
+            cost = edits + max(gap, other)
+            if other >= 0 and 100 * cost <= (100 - percent) * (b - out[-1][0]):
+                out[-1][1], edits, last = b, cost, end
+                continue
+        out.append([a, b])
+        edits, last = 0, end
+    return out
 
 
 def without_passages(docs: DataFrame, found: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

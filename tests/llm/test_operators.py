@@ -258,6 +258,26 @@ def test_passages(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_inside_sentences(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghé") for _ in range(5))
+    words = lambda n: [word() for _ in range(n)]
+    inside, short, long = words(51), words(49), words(70)
+    tail = [w + "." if i % 8 == 7 else w for i, w in enumerate(words(64))]  # one line of short sentences
+    changed = [*tail[:20], "other", *tail[21:]]
+    edited = [*long[:33], "new", *long[34:]]
+    made = [
+        (0, words(9) + inside + words(9)), (1, words(6) + long + words(20)), (2, tail), (3, words(30) + short + words(5)),
+        (4, words(7) + inside + words(12)), (5, words(3) + edited + words(4)), (6, changed), (7, words(8) + short + words(8)), (8, inside[:25] + words(1) + inside[40:]),
+    ]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in made], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
+    texts = {k: " ".join(t) for k, t in made}
+    got = {k: [texts[k][a:b] for a, b in r.spans] for k, r in found.items() if r.spans}
+    assert got == {4: [" ".join(inside)], 5: [" ".join(edited)], 6: [" ".join(changed)]}
+    assert {k: found[k].n_words for k in got} == {4: 51, 5: 70, 6: 64}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((30, 16))
