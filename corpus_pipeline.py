@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkcurate.llm import decontaminate, language, minhash, packing, personal_data
 from linkcurate.llm.common import stored, table
@@ -21,9 +22,12 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; documents without words all stay."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near-duplicates: of the smallest id (null ids last), then the first; rows without words all stay."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows.select("__row", "text"), key="__row").select("__row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    kept = rows.select("__row", "doc_id").join(found, "__row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

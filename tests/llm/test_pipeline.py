@@ -49,6 +49,18 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == want - bad
 
 
+def test_null_and_repeated_ids(spark):
+    base, other, alone = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in ("ab", "cd", "ef"))
+    near = base.replace("ab81 ", "changed ", 1)
+    rows = [(7, base, "copy"), (7, base, "copy"), (3, near, "first"), (None, base, "copy"), (None, alone, "alone"), (3, other, "second"), (None, other, "copy"),
+            (None, "", "blank"), (None, None, "none"), (5, "", "blank"), (5, " ", "blank"), (9, other, "copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = corpus_pipeline.keep_one_of_duplicates(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    want = [r for r in rows if r[2] != "copy"]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
 def test_decontamination_equals_sql(spark):
     got = driver.queries()["op9_decontamination"](spark, FOLDER).toPandas()
     assert difference(got, connect(FOLDER).execute(driver.oracle_sql()["op9_decontamination"]).df()) is None
