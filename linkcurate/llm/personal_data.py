@@ -57,21 +57,25 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _starts(lengths: Column) -> Column:
-    """Sums of all entries before each, in two levels of square-root size, so that long arrays stay cheap."""
+def _before(values: Column, joined: Callable[[Column, Column], Column]) -> Column:
+    """All entries before each (not negative) joined, 0 before the first, in two levels of square-root size, so that long arrays stay cheap."""
     def level(x: Column, part: Callable[[Column], Column]) -> Column:
-        done = F.aggregate(x, F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("all")), lambda a, v: F.struct(
-            (a["sum"] + part(v)).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all")
+        done = F.aggregate(x, F.struct(F.lit(0).alias("held"), F.expr("cast(array() as array<int>)").alias("all")), lambda a, v: F.struct(
+            joined(a["held"], part(v)).alias("held"), F.concat(a["all"], F.array(a["held"])).alias("all")
         ))
         return done["all"]
 
     def run(x: Column) -> Column:
         step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
         cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(x) / step).cast("int") - 1)), lambda i: F.slice(x, i * step + 1, step))
-        total = lambda v: F.aggregate(v, F.lit(0), lambda a, b: a + b)
-        return _bound(cut, lambda parts: F.flatten(F.zip_with(parts, level(parts, total), lambda part, start: F.transform(level(part, lambda v: v), lambda s: s + start))))
+        total = lambda v: F.aggregate(v, F.lit(0), joined)
+        return _bound(cut, lambda parts: F.flatten(F.zip_with(parts, level(parts, total), lambda part, start: F.transform(level(part, lambda v: v), lambda s: joined(s, start)))))
+
+    return _bound(values, run)
 
-    return _bound(lengths, run)
+
+def _starts(lengths: Column) -> Column:
+    return _before(lengths, lambda a, b: a + b)
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -281,7 +285,9 @@ def redact(docs: DataFrame, *, text: str = "text", train_rows: int = 8000, trees
 
     def rebuilt(spans: Column) -> Column:
         # Before span i stands the text from the furthest end so far; the last entry is the rest.
-        ends = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.when(i == 0, 0).otherwise(F.array_max(F.transform(F.slice(spans, F.greatest(F.lit(1), i - 7), F.least(i, F.lit(8))), lambda s: s["end"]))))
+        return _bound(_before(F.concat(F.transform(spans, lambda s: s["end"]), F.array(F.lit(0))), lambda a, b: F.greatest(a, b)), lambda ends: joined(spans, ends))
+
+    def joined(spans: Column, ends: Column) -> Column:
         parts = F.zip_with(spans, F.slice(ends, 1, F.size(spans)), lambda s, done: F.concat(
             F.substr(content, done + 1, F.greatest(F.lit(0), s["start"] - done)), F.when(s["start"] >= done, F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
         ))

@@ -239,6 +239,13 @@ def test_personal_data(spark):
     assert "[phone]" in text[6] and not plain_spans(text[8])
 
 
+def test_redact_many_spans_inside_one(spark):
+    ips = "1.2.3.4." * 20
+    rows = [(0, f"to a@{ips}secret-host.example.org or 10.0.0.1"), (1, f"to a@{ips}x.example.org, b@{ips}y.example.org"), (2, "10.0.0.1 " * 100)]
+    got = {r.doc_id: r.text for r in personal_data.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "to [email] or [ip]", 1: "to [email], [email]", 2: "[ip] " * 100}
+
+
 def test_passages(spark, empty):
     rng = random.Random(9)
     sentence = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)).capitalize() + "."
