@@ -15,8 +15,13 @@ from linkcurate.llm.common import stored, table
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without letters, or with no language above one half, go."""
+    """Documents whose language is identified; those without letters, or with no language above one half, go.
+
+    If no document has a label, no language can be told, and those with letters stay.
+    """
     model = language.fit_text_model(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
     found = language.identify(docs, model)
     return found.where("identified").select(*docs.columns)
 

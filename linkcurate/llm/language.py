@@ -52,9 +52,13 @@ class TextModel:
                 held += len(text or "")
             if part and (held > 1 << 18 or i == len(texts)):
                 codes, first = trigrams(part)
-                total = np.zeros((len(codes) + 1, len(self.languages)))
-                np.cumsum(self.table[codes], axis=0, out=total[1:])
-                sums.append(total[first[1:]] - total[first[:-1]])
+                own = []
+                for k in range(0, len(self.languages), 8):  # a few languages at a time: memory does not grow with their number
+                    table = self.table[:, k : k + 8]
+                    total = np.zeros((len(codes) + 1, table.shape[1]))
+                    np.cumsum(table[codes], axis=0, out=total[1:])
+                    own.append(total[first[1:]] - total[first[:-1]])
+                sums.append(np.concatenate(own, axis=1))
                 sizes.append(np.diff(first))
                 part, held = [], 0
         if not sums:
@@ -62,29 +66,27 @@ class TextModel:
         return np.concatenate(sums), np.concatenate(sizes)
 
 
-def fit_text_model(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 300, languages: int = 50) -> TextModel:
-    """Trigram counts of at most `rows_per_language` whole texts for each of the `languages` most frequent labels.
+def fit_text_model(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 300, languages: int | None = None) -> TextModel:
+    """Trigram counts of at most `rows_per_language` whole texts for each label (None: all; else the `languages` most frequent).
 
     Rows are taken by the least hash of their key; the first look reads keys and labels only.
     """
-    known = labelled.where(F.col(lang).isNotNull() & (F.col(lang) != "")).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()
-    names = sorted(r[0] for r in known)
+    known = labelled.where(F.col(lang).isNotNull() & (F.col(lang) != "")).groupBy(lang).count().orderBy(F.desc("count"), lang)
+    names = sorted(r[0] for r in (known if languages is None else known.limit(languages)).collect())
     if not names:
         return TextModel([], np.zeros((1 << _BITS, 0)))
     order = Window.partitionBy("l").orderBy("h", "k")
-    some = labelled.where(F.col(lang).isin(names)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(key).alias("h"))
+    some = labelled.where(F.col(lang).isin(names) if languages else F.col(lang) != "").select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(key).alias("h"))
     some = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_language).select("k", "l").distinct()
     rows = labelled.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), ["k", "l"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), 1 << _BITS), np.int64)
+        place = {x: i for i, x in enumerate(names)}
         for batch in small(batches, 50):
-            of = np.array([names.index(x) for x in batch.column("l").to_pylist()], np.int64)
+            of = np.array([place[x] for x in batch.column("l").to_pylist()], np.int64)
             codes, first = trigrams(batch.column("text").to_pylist())
-            which = np.repeat(of, np.diff(first)) << _BITS | codes
-            total += np.bincount(which, minlength=total.size).reshape(total.shape)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total.reshape(-1)[at])], ["at", "n"])
+            at, n = np.unique(np.repeat(of, np.diff(first)) << _BITS | codes, return_counts=True)
+            yield pa.record_batch([pa.array(at), pa.array(n)], ["at", "n"])
 
     counts = np.zeros(len(names) << _BITS)
     for r in rows.select("l", "text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
@@ -117,12 +119,11 @@ def identify(
     rows = rows.drop("language", "posterior", "identified")
     scored = _scored(rows, model, text, evidence)
     n = len(names)
-    share = _softmax(F.col("__text"))
-    sums = [F.sum(F.when(F.col("__letters"), share[i])).alias(f"s{i}") for i in range(n)]
+    sums = [F.sum(F.when(F.col("__letters"), F.col("__share")[i])).alias(f"s{i}") for i in range(n)]
     hosts = F.lower(F.coalesce(F.col(host).cast("string"), F.lit("")))
     value = F.when(F.col(declared).isin(names), F.col(declared)).otherwise("")
     # One pass over all texts; copies and popular hosts meet in the combining aggregation.
-    seen = scored.select(hosts.alias("host"), value.alias("declared"), "__text", "__letters").groupBy("host", "declared").agg(*sums)
+    seen = scored.select(hosts.alias("host"), value.alias("declared"), _softmax(F.col("__text")).alias("__share"), "__letters").groupBy("host", "declared").agg(*sums)
     seen = stored(seen, "language-counts").fillna(0.0)
     total = seen.groupBy("declared").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]).collect()
     by_value = {r.declared: np.array([r[f"s{i}"] for i in range(n)], float) for r in total}
@@ -133,10 +134,10 @@ def identify(
     priors = _priors(seen, base, strength, n)
     if priors.count() <= broadcast_rows:
         priors = F.broadcast(priors)
-    log_declared = F.create_map(*[x for k, v in says.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    none = F.array(*[F.lit(0.0)] * n)
-    joined = scored.withColumn("__host", hosts).join(priors, "__host", "left")
-    fused = F.zip_with(F.zip_with("__text", F.coalesce(F.try_element_at(log_declared, F.coalesce(F.col(declared), F.lit(""))), none), lambda a, b: a + b), "__prior", lambda a, b: a + F.log(b))
+    log_declared = rows.sparkSession.createDataFrame(list(says.items()), "__declared string, __says array<double>")
+    none = F.array_repeat(F.lit(0.0), n)
+    joined = scored.withColumn("__host", hosts).join(priors, "__host", "left").join(F.broadcast(log_declared), F.col(declared) == F.col("__declared"), "left")
+    fused = F.zip_with(F.zip_with("__text", F.coalesce("__says", none), lambda a, b: a + b), "__prior", lambda a, b: a + F.log(b))
     best = F.array_max(F.zip_with(_softmax(F.col("__fused")), F.array(*map(F.lit, names)), lambda p, x: F.struct(p.alias("p"), x.alias("x"))))
     done = joined.withColumn("__fused", fused).withColumn("__best", best)
     return done.select(
@@ -146,8 +147,11 @@ def identify(
 
 
 def _softmax(x: Column) -> Column:
-    powers = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(powers, lambda v: v / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    """Largest value, powers and their sum are computed once."""
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    total = lambda powers: F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
+    powers = once(F.array_max(x), lambda most: F.transform(x, lambda v: F.exp(v - most)))
+    return once(powers, lambda p: once(total(p), lambda s: F.transform(p, lambda v: v / s)))
 
 
 def _scored(rows: DataFrame, model: TextModel, text: str, evidence: int) -> DataFrame:

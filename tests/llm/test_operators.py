@@ -285,6 +285,18 @@ def test_passages_inside_sentences(spark):
     assert {k: found[k].n_words for k in got} == {4: 51, 5: 70, 6: 64}
 
 
+def test_more_than_fifty_languages(spark):
+    rng = random.Random(5)
+    names = [f"l{i:02}" for i in range(60)]
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for x in names}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(30)), x, "one.host") for i, x in enumerate([*names[:50] * 3, *names[50:] * 2])]
+    docs = spark.createDataFrame([*rows, (900, " ".join(words["l59"]), None, "one.host")], "doc_id long, text string, lang string, source string")
+    model = language.fit_text_model(docs)
+    assert model.languages == names
+    got = {r.doc_id: r.language for r in language.identify(docs, model).collect()}
+    assert got == {**{r[0]: r[2] for r in rows}, 900: "l59"}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((30, 16))

@@ -49,6 +49,12 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == want - bad
 
 
+def test_no_labels(spark):
+    rows = [(1, "some words here", None), (2, "12 !!", None), (3, "日本", ""), (4, None, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in corpus_pipeline.keep_identified(spark, docs, FOLDER).collect()} == {1, 3}
+
+
 def test_null_and_repeated_ids(spark):
     base, other, alone = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in ("ab", "cd", "ef"))
     near = base.replace("ab81 ", "changed ", 1)
