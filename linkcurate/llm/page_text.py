@@ -29,7 +29,7 @@ _BLOCKS = frozenset(
     "header hr li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNREAD = frozenset("script style template noscript textarea svg math iframe object canvas noembed noframes".split())
+_UNREAD = frozenset("script style template textarea".split())
 #: A new one of these ends an open one of the same kind in the nearest container.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CONTAINERS = frozenset("article aside blockquote body dl div fieldset figure footer form header main nav ol section table ul tr".split())
@@ -41,13 +41,15 @@ _PATH, _WORDS, _FORM, _HIDDEN = 192, 12, 7, 16
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float, int]]:
     """Path, text, share of text in links, and level of every block that has text, in page order.
 
-    Character references are decoded, white space is one space; scripts, styles and the like, and comments, hold no text.
+    Character references are decoded, white space is one space; scripts, styles, templates, text fields
+    and comments hold no text. A template or field that is not closed is read like any other element.
     """
     page = page or ""
     out: list[tuple[tuple[str, ...], str, float, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked = at = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -88,9 +90,14 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float, int]]:
                     break
             continue
         if name in _UNREAD:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and name not in unclosed:
                 close = _closing(name).search(page, at)
-                at = close.end() if close else len(page)
+                if close:
+                    at = close.end()
+                elif name in ("script", "style"):
+                    at = len(page)
+                else:
+                    unclosed.add(name)
             continue
         if name == "br":
             text.append(" ")

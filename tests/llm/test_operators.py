@@ -285,6 +285,14 @@ def test_passages_inside_sentences(spark):
     assert {k: found[k].n_words for k in got} == {4: 51, 5: 70, 6: 64}
 
 
+def test_page_text_of_embedded_elements():
+    page = "<p>area <math><mi>a</mi><mo>=</mo><mn>7</mn></math> holds<object>plain words</object></p><noscript><p>fallback</p></noscript><svg><text>drawn</text></svg><textarea>typed</textarea><p>next<template>x</template>"
+    assert [x[1] for x in page_text.blocks(page)] == ["area a=7 holdsplain words", "fallback", "drawn", "next"]
+    for tag in ("iframe", "object", "canvas", "svg", "math", "noscript", "textarea", "template"):
+        assert [x[1] for x in page_text.blocks(f"<p>one</p><{tag}><p>two</p>")] == ["one", "two"], tag
+    assert [x[1] for x in page_text.blocks("<p>one</p><script><p>two</p>")] == ["one"]
+
+
 def test_more_than_fifty_languages(spark):
     rng = random.Random(5)
     names = [f"l{i:02}" for i in range(60)]
