@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcurate.llm import decontaminate, language, merkle, minhash, neighbours, packing, page_text, passages, personal_data, token_counts, token_files
+from linkcurate.llm import decontaminate, hard_negatives, language, merkle, minhash, neighbours, packing, page_text, passages, personal_data, token_counts, token_files
 from linkcurate.llm.common import fresh_path, table
 
 
@@ -64,9 +64,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(hard_negatives.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select("vec_id", label.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("v"))
+    return hard_negatives.mine(whole, F.col("vec_id") % 100 == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, page_languages, op2_token_counts, op3_minhash_duplicates, op4_page_text, op5_repeated_passages, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing, op12_merkle_manifest)}
-SQL: dict[str, str] = {"op9_decontamination": decontaminate.SQL_TWIN, "op12_merkle_manifest": merkle.SQL_TWIN}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, page_languages, op2_token_counts, op3_minhash_duplicates, op4_page_text, op5_repeated_passages, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing, op11_hard_negatives, op12_merkle_manifest)}
+SQL: dict[str, str] = {"op9_decontamination": decontaminate.SQL_TWIN, "op11_hard_negatives": hard_negatives.SQL_TWIN, "op12_merkle_manifest": merkle.SQL_TWIN}
