@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcurate.llm import decontaminate, hard_negatives, language, merkle, minhash, neighbours, packing, page_text, passages, personal_data, token_counts, token_files
+from linkcurate.llm import decontaminate, hard_negatives, language, merkle, minhash, neighbours, packing, page_text, passages, personal_data, quality, token_counts, token_files
 from linkcurate.llm.common import fresh_path, table
 
 
@@ -75,5 +75,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, page_languages, op2_token_counts, op3_minhash_duplicates, op4_page_text, op5_repeated_passages, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing, op11_hard_negatives, op12_merkle_manifest)}
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, page_languages, op2_token_counts, op3_minhash_duplicates, op4_page_text, op5_repeated_passages, op6_token_files, op7_personal_data, op8_neighbours, op9_decontamination, op10_best_fit_packing, op11_hard_negatives, op12_merkle_manifest, op13_quality)}
 SQL: dict[str, str] = {"op9_decontamination": decontaminate.SQL_TWIN, "op11_hard_negatives": hard_negatives.SQL_TWIN, "op12_merkle_manifest": merkle.SQL_TWIN}
