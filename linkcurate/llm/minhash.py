@@ -4,11 +4,12 @@ Two permutations of the 32-bit numbers serve for the whole signature: the first
 shifted by k, gives coordinate k as the least value over a document's shingles. Coordinates are banded; documents that
 share a band are candidates, and links are confirmed by exact Jaccard similarity of the full shingle sets.
 
-Documents with equal sets form a class, and only its first row goes on, so groups of copies cost one aggregation. In a band,
-members are compared with the band's first and last member, then, where a band still holds several components, with a few
-more. What is left are pairs of different components in one band. Blocks of members meet there, and pairs whose signatures
-agree as far as a link's do (5 standard deviations below its mean) are compared in full; most of a large band is in one
-component by then and is met by the others only.
+Documents with equal sets form a class, and only its first row goes on, so groups of copies cost one aggregation. Links are
+sought in rounds that each make a row or two per document and band, never the pairs of a band: members are compared with the
+band's first and last member, then, where a band still holds several components, every member outside the largest one with
+the member of another component whose signature is likest. What is left, mostly documents that are linked with nothing, meets
+in blocks with its shingles: rows that share too few of them with all others are put aside, and pairs that sizes and
+signatures (5 standard deviations below a link's mean) leave open are compared in place; only one link of two components goes out.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def low_bytes(signed: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(low.tobytes())])
 
 
-def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, more: int = 4, block: int = 400) -> DataFrame:
+def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, rounds: int = 1) -> DataFrame:
     """Confirmed links (a, b) that connect whatever candidate pairs can connect.
 
     `classes` has at (unique), n (size of the set), bands and low (lowest bytes of the signature).
@@ -131,18 +132,37 @@ def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, mor
     members = classes.select("at", "n", F.explode("bands").alias("band"))
     one = F.struct("at", "n")
     shared = members.groupBy("band").agg(F.count("*").alias("k"), F.min(one).alias("low"), F.max(one).alias("high")).where("k > 1")
-    members = stored(members.join(shared.select("band", F.array("low", "high").alias("ends")), "band"), "members")
-    pairs = _star(members, percent)
-    first = stored(_confirmed(pairs, texts, words, percent), "confirmed")
-    mixed = _mixed(members.select("band", "at", "n"), components(first))
-    # A few members of each band that still holds several components, by the least of as many hashes.
-    ends = [F.min(F.struct(F.xxhash64("at", F.lit(i)).alias("h"), "at", "n")).alias(f"e{i}") for i in range(more)]
-    some = mixed.groupBy("band").agg(*ends).select("band", F.array(*[F.struct(f"e{i}.at", f"e{i}.n") for i in range(more)]).alias("ends"))
-    tried = _star(mixed.join(some, "band"), percent).join(pairs, ["a", "b"], "left_anti")
-    second = stored(first.union(_confirmed(tried, texts, words, percent)), "confirmed")
-    mixed = _mixed(mixed.select("band", "at", "n"), components(second))
-    rest = _likely(mixed, classes.select("at", "low"), percent, block).distinct().join(pairs, ["a", "b"], "left_anti")
-    return second.union(_confirmed(rest, texts, words, percent))
+    shared = stored(shared.select("band", "k", F.array("low", "high").alias("ends")), "bands")
+    members = stored(_in_bands(members, shared), "members")
+    pairs = stored(_star(members, percent), "pairs")
+    links = stored(_confirmed(pairs, texts, words, percent), "confirmed")
+    tried, mixed = pairs, _mixed(members.select("band", "at", "n"), components(links))
+    for _ in range(rounds):
+        met = _met(mixed, classes.select("at", "low"))
+        best = met.mapInArrow(lambda batches: _best_partners(batches, percent), "a long, b long, alike int")
+        best = best.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
+        some = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        some = stored(some, "pairs")
+        tried = tried.union(some)
+        links = stored(links.union(_confirmed(some, texts, words, percent)), "confirmed")
+        mixed = _mixed(mixed.select("band", "at", "n"), components(links))
+    # What is left meets in full.
+    met = _met(mixed, classes.select("at", "low").join(_open_sets(mixed.select("at").distinct(), texts, words, percent), "at"))
+    rest = met.mapInArrow(lambda batches: _possible(batches, percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    return links.union(_confirmed(rest, texts, words, percent))
+
+
+def _in_bands(members: DataFrame, shared: DataFrame, rows: int = 500, share: int = 200) -> DataFrame:
+    """Members of the bands in `shared` with the band's ends. A band with 1/`share` of all members or more is dealt over lots.
+
+    Such bands number at most `share`, so that their list can be broadcast.
+    """
+    total = shared.agg(F.sum("k")).first()[0] or 0
+    hot = shared.where(F.expr(f"k > {rows} AND k * {share}L >= {total}L")).select("band", F.expr(f"k div {rows} + 1").alias("lots"))
+    hot = F.broadcast(hot)
+    dealt = members.join(hot, "band", "left").withColumn("lot", F.coalesce(F.expr("pmod(xxhash64(at), lots)"), F.lit(0))).drop("lots")
+    ends = shared.join(hot, "band", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("lots") - 1, F.lit(0)))))
+    return dealt.join(ends.select("band", "lot", "ends"), ["band", "lot"]).select("at", "n", "band", "ends")
 
 
 def _star(members: DataFrame, percent: int) -> DataFrame:
@@ -155,42 +175,148 @@ def _star(members: DataFrame, percent: int) -> DataFrame:
 def _mixed(members: DataFrame, group: DataFrame) -> DataFrame:
     """Members (with their component) of bands that hold more than one component."""
     named = members.join(group.withColumnRenamed("node", "at"), "at", "left")
-    named = named.select("band", "at", "n", F.coalesce("component", "at").alias("component"))
-    bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    return stored(named.join(bands, "band"), "mixed")
+    named = stored(named.select("band", "at", "n", F.coalesce("component", "at").alias("component")), "named")
+    bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y")
+    bands = stored(bands.select("band", "k", F.lit(0).alias("ends")), "bands")
+    return stored(_in_bands(named.withColumn("n", F.struct("n", "component")), bands).select("band", "at", "n.n", "n.component"), "mixed")
+
+
+def _met(mixed: DataFrame, about: DataFrame, wide: int = 2000, block: int = 400) -> DataFrame:
+    """Blocks of a band's members outside its largest component (x) with blocks of all its members (y), sorted by band and block of x."""
+    counts = mixed.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("k"), F.max("count").alias("most"))
+    sizes = counts.select("band", "k", F.col("main").alias("ends"), F.expr(f"ceil(k / {block})").alias("ys"), F.expr(f"ceil((k - most) / {wide})").alias("xs"))
+    sizes = stored(sizes.select("band", "k", F.struct("ends", "ys", "xs").alias("ends")), "sizes")
+    rows = _in_bands(mixed.withColumn("n", F.struct("n", "component")), sizes).select("band", "at", "n.n", "n.component", "ends.*").withColumnRenamed("ends", "main")
+    rows = rows.join(about, "at")
+    columns = F.struct("at", "n", "component", *[x for x in about.columns if x != "at"])
+
+    def packed(which: DataFrame, blocks: str, name: str) -> DataFrame:
+        return which.groupBy("band", "xs", F.expr(f"pmod(xxhash64(at), {blocks})").alias("block")).agg(F.collect_list(columns).alias(name))
+
+    x = packed(rows.where("component <> main"), "xs", "x").drop("xs")
+    y = packed(rows, "ys", "y").withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)))
+    return x.join(y.drop("xs").hint("merge"), ["band", "block"]).sortWithinPartitions("band", "block").select("band", "block", "x", "y")
+
+
+class _Block:
+    def __init__(self, rows: pa.StructArray) -> None:
+        self.at, self.n, self.group = (rows.field(c).to_numpy() for c in ("at", "n", "component"))
+        self.low = np.frombuffer(b"".join(rows.field("low").to_pylist()), np.uint8).reshape(len(rows), -1)
+        self.rows = rows
+
+    def tokens(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of the given rows, and the place of each one's row among them."""
+        column = self.rows.field("tokens")
+        each = [np.frombuffer(column[int(i)].as_py(), np.uint32) for i in some]
+        return np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+
+
+def _overlap(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], part: int = 2048) -> np.ndarray:
+    """Common shingles of every row of x with every row of y."""
+    both, out = np.intersect1d(x[0], y[0]), np.zeros(shape, np.float32)
+    for i in range(0, len(both), part):
+        token, sides = both[i : i + part], []
+        for (values, owner), n in zip((x, y), shape):
+            there = np.zeros((n, len(token)), np.float32)
+            at = np.minimum(np.searchsorted(token, values), len(token) - 1)
+            hit = token[at] == values
+            there[owner[hit], at[hit]] = 1
+            sides.append(there)
+        out += sides[0] @ sides[1].T
+    return out
 
 
-def _likely(mixed: DataFrame, signed: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different components in a band whose signatures agree as those of a link do."""
-    sizes = mixed.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("k"))
-    rows = mixed.join(signed, "at").join(sizes, "band").withColumn("block", F.expr(f"pmod(xxhash64(at), ceil(k / {block}))"))
+def _alike(x: _Block, y: _Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many coordinates agree, and where a link of different components is possible by sizes and signatures."""
+    size, share = x.low.shape[1], percent / 100
+    agree = np.zeros((len(x.at), len(y.at)), np.int16)
+    for i in range(0, len(x.at), 32):
+        agree[i : i + 32] = (x.low[i : i + 32, None, :] == y.low[None, :, :]).sum(axis=2)
+    open_ = (agree >= size * share - 5 * np.sqrt(size * share * (1 - share))) & (x.group[:, None] != y.group[None, :])
+    open_ &= 100 * np.minimum(x.n[:, None], y.n[None, :]) >= percent * np.maximum(x.n[:, None], y.n[None, :])
+    return agree, open_
 
-    def packed(which: DataFrame, name: str) -> DataFrame:
-        return which.groupBy("band", "block").agg(F.collect_list(F.struct("at", "n", "component", "low")).alias(name)).drop("block")
 
-    met = packed(rows.where("component <> main"), "x").join(packed(rows, "y"), "band")
-    return met.select("x", "y").mapInArrow(lambda batches: _agreeing(batches, percent), "a long, b long")
+def _best_partners(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """One row (a, b, alike) at most per member of x and band: the member of another component with the likest signature."""
+    key, x, best, partner = None, None, None, None
 
+    def found() -> pa.RecordBatch:
+        some = best > 0
+        return pa.record_batch([pa.array(x.at[some]), pa.array(partner[some]), pa.array(best[some].astype(np.int32))], ["a", "b", "alike"])
 
-def _agreeing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in small(batches, 100):
-        found = [np.zeros((0, 2), np.int64)]
         for i in range(len(batch)):
-            x, y = batch.column("x")[i].values, batch.column("y")[i].values
-            (at, n, group, low), (at2, n2, group2, low2) = (
-                (*(v.field(c).to_numpy() for c in ("at", "n", "component")), np.frombuffer(b"".join(v.field("low").to_pylist()), np.uint8).reshape(len(v), -1)) for v in (x, y)
-            )
-            share = percent / 100
-            least = low.shape[1] * share - 5 * np.sqrt(low.shape[1] * share * (1 - share))
-            for j in range(0, len(at), 32):
-                k = slice(j, j + 32)
-                alike = (low[k, None, :] == low2[None, :, :]).sum(axis=2) >= least
-                alike &= group[k, None] != group2[None, :]
-                alike &= 100 * np.minimum(n[k, None], n2[None, :]) >= percent * np.maximum(n[k, None], n2[None, :])
-                a, b = np.nonzero(alike)
-                found.append(np.stack([np.minimum(at[k][a], at2[b]), np.maximum(at[k][a], at2[b])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            now = batch.column("band")[i].as_py(), batch.column("block")[i].as_py()
+            if now != key:
+                if key is not None:
+                    yield found()
+                key, x = now, _Block(batch.column("x")[i].values)
+                best, partner = np.zeros(len(x.at), np.int16), np.zeros(len(x.at), np.int64)
+            y = _Block(batch.column("y")[i].values)
+            agree, open_ = _alike(x, y, percent)
+            agree = np.where(open_, agree, 0)
+            top = agree.max(axis=1)
+            other = np.where((agree == top[:, None]) & open_, y.at[None, :], np.iinfo(np.int64).max).min(axis=1)
+            better = (top > best) | ((top == best) & (top > 0) & (other < partner))
+            best, partner = np.where(better, top, best), np.where(better, other, partner)
+    if key is not None:
+        yield found()
+
+
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For every two components in two blocks that are linked there, the likest pair (a, b) of their members, by whole sets."""
+    for batch in small(batches, 100):
+        pairs = [np.zeros((0, 2), np.int64)]
+        for i in range(len(batch)):
+            x, y = _Block(batch.column("x")[i].values), _Block(batch.column("y")[i].values)
+            _, open_ = _alike(x, y, percent)
+            rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if not len(rows):
+                continue
+            both = _overlap(x.tokens(rows), y.tokens(columns), (len(rows), len(columns)))
+            union = x.n[rows, None] + y.n[None, columns] - both
+            a, b = np.nonzero(open_[np.ix_(rows, columns)] & (100 * both >= percent * union))
+            order = np.argsort(-(both / union)[a, b], kind="stable")
+            a, b = rows[a[order]], columns[b[order]]
+            _, first = np.unique(np.stack([x.group[a], y.group[b]]), axis=1, return_index=True)
+            a, b = x.at[a[first]], y.at[b[first]]
+            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
+_BUCKETS = 1 << 20
+
+
+def _open_sets(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """at and tokens (lower halves of the hashes of its shingles) of the given rows that may still be linked.
+
+    A row is not linked with another if it shares fewer than `percent` of its shingles with all others. Shingles are counted in
+    `_BUCKETS` buckets; those alone in their bucket are shared by no other row.
+    """
+    asked = stored(texts.join(rows, "at").select("at", "text"), "open")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_BUCKETS, np.int64)
+        for batch in small(batches):
+            for x in shingle_sets(batch.column("text").to_pylist(), words):
+                np.add.at(total, (x >> np.uint64(44)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    counted = asked.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    shared = np.zeros(_BUCKETS, bool)
+    shared[counted.where("n > 1").select("bucket").toArrow()["bucket"].to_numpy()] = True
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            open_ = [100 * np.count_nonzero(shared[(x >> np.uint64(44)).astype(np.int64)]) >= percent * len(x) for x in sets]
+            tokens = [x.astype(np.uint32).tobytes() for x in sets]
+            yield pa.record_batch([batch.column("at"), pa.array(tokens, pa.binary())], ["at", "tokens"]).filter(pa.array(open_, pa.bool_()))
+
+    return stored(asked.mapInArrow(keep, "at long, tokens binary"), "open")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
