@@ -33,9 +33,109 @@ _UNREAD = frozenset("script style template textarea".split())
 #: A new one of these ends an open one of the same kind in the nearest container.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CONTAINERS = frozenset("article aside blockquote body dl div fieldset figure footer form header main nav ol section table ul tr".split())
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>")
+_START = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_BARE = re.compile(r"[^>\"']*+")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PATH, _WORDS, _FORM, _HIDDEN = 192, 12, 7, 16
+#: A block is described by this many names of its nearest elements and their classes.
+_DEPTH = 64
+
+
+class _Markup:
+    """The tags of a page from left to right, in time linear in the page whatever it holds.
+
+    A tag ends at the first `>` outside quotes, or, where a quote is never closed, at the first `>`; without one `<` is text.
+    Comments and declarations have no name; a comment that is not closed takes the rest.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.open: set[int] | None = None  # quotes from which no tag ends; None until one is met
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, name, whether it is an end tag, and attributes of the next tag."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, "", False, ""
+            if at > self.last:
+                at = page.find("<!--", at)
+                if at < 0:
+                    return None
+                continue
+            if page.startswith(("<!", "<?"), at):
+                return at, page.find(">", at) + 1, "", False, ""
+            found = _START.match(page, at)
+            if found:
+                whole = _TAG.match(page, at) if self.open is None else None
+                end = whole.end() if whole else self._end(found.end())
+                return at, end, found[2].lower(), bool(found[1]), page[found.end() : end - 1]
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int:
+        page, first, met = self.page, at, []
+        self.open = set() if self.open is None else self.open
+        while at < len(page):
+            at = _BARE.match(page, at).end()
+            if page.startswith(">", at):
+                return at + 1
+            if at in self.open or at == len(page):
+                break
+            met.append(at)
+            at = page.find(page[at], at + 1) + 1
+            if not at:
+                break
+        self.open.update(met)
+        return page.find(">", first) + 1
+
+
+class _Open:
+    """The open elements, with the places of every name, so that none is sought by walking up."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.paths: list[tuple[str, ...]] = []
+        self.places: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+
+    def push(self, name: str, path: tuple[str, ...]) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in _CONTAINERS:
+            self.containers.append(len(self.names))
+        self.names.append(name)
+        self.paths.append(path)
+
+    def cut(self, at: int) -> None:
+        while len(self.names) > at:
+            self.places[self.names.pop()].pop()
+            self.paths.pop()
+        while self.containers and self.containers[-1] >= at:
+            self.containers.pop()
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def container(self) -> int:
+        return self.containers[-1] if self.containers else -1
+
+    def end(self, name: str) -> None:
+        """An end tag closes its element; of inline ones only within the nearest container."""
+        at = self.last(name)
+        if at >= 0 and (name in _BLOCKS or self.container() <= at):
+            self.cut(at)
+
+    def begin(self, name: str) -> None:
+        """The start of a block ends its like in the nearest container, and an open paragraph."""
+        at = max(self.last(x) for x in _ENDS.get(name, set()) | {"p"})
+        if at >= 0 and at >= self.container():
+            self.cut(at)
+
+    def path(self) -> tuple[str, ...]:
+        return tuple(x for names in self.paths[-_DEPTH:] for x in names)[-_DEPTH:]
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float, int]]:
@@ -43,10 +143,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float, int]]:
 
     Character references are decoded, white space is one space; scripts, styles, templates, text fields
     and comments hold no text. A template or field that is not closed is read like any other element.
+    Time is linear in the page, with tags, quotes, elements and comments left open as well.
     """
     page = page or ""
+    markup, open_ = _Markup(page), _Open()
     out: list[tuple[tuple[str, ...], str, float, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked = at = 0
     unclosed: set[str] = set()
@@ -56,7 +157,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float, int]]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append((tuple(x for _, names in stack for x in names), whole, min(1.0, linked / len(whole)), len(stack)))
+                out.append((open_.path(), whole, min(1.0, linked / len(whole)), len(open_.names)))
         text.clear()
         linked = 0
 
@@ -65,33 +166,28 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float, int]]:
         if "&" in piece:
             piece = html.unescape(piece)
         text.append(piece)
-        if any(name == "a" for name, _ in stack[-4:]):
+        if "a" in open_.names[-4:]:
             linked += len(piece.strip())
 
     while True:
-        found = _MARKUP.search(page, at)
+        found = markup.next(at)
         if not found:
             read(page[at:])
             break
-        if found.start() > at:
-            read(page[at : found.start()])
-        at = found.end()
-        name = (found[2] or found[5] or "").lower()
+        start, end, name, ending, attributes = found
+        if start > at:
+            read(page[at:start])
+        at = end
         if not name:
             continue
-        ending, attributes = found[1] or found[4], found[3] or found[6] or ""
         if ending:
             if name in _BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name in _BLOCKS or not any(x in _CONTAINERS for x, _ in stack[i + 1 :]):
-                        del stack[i:]
-                    break
+            open_.end(name)
             continue
         if name in _UNREAD:
             if not attributes.endswith("/") and name not in unclosed:
-                close = _closing(name).search(page, at)
+                close = _closing(name).search(page, at, markup.last + 1)
                 if close:
                     at = close.end()
                 elif name in ("script", "style"):
@@ -104,26 +200,14 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float, int]]:
             continue
         if name in _BLOCKS:
             flush()
-            if name in _ENDS or name not in ("html", "head", "body"):
-                _close_open(stack, name)
+            if name not in ("html", "head", "body"):
+                open_.begin(name)
         if name not in _VOID and not (attributes.endswith("/") and name not in _BLOCKS):
-            stack.append((name, (name, *_named(attributes))))
+            open_.push(name, (name, *_named(attributes)))
     flush()
     return out
 
 
-def _close_open(stack: list[tuple[str, tuple[str, ...]]], name: str) -> None:
-    """End what the start of a block of this name ends: its like in the nearest container, and an open paragraph."""
-    ends = _ENDS.get(name, set()) | {"p"}
-    for i in range(len(stack) - 1, -1, -1):
-        tag = stack[i][0]
-        if tag in ends:
-            del stack[i:]
-            return
-        if tag in _CONTAINERS and not (tag == "tr" and name == "tr"):
-            return
-
-
 @lru_cache(64)
 def _closing(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I)
