@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkcurate.llm.chunks import Encoder
-from linkcurate.llm.common import small, stored
+from linkcurate.llm.chunks import Encoder, by_size
+from linkcurate.llm.common import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,10 +41,11 @@ def tokenized_pieces(
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, end = Encoder.of(path), end_id.to_bytes(4, "little")
-    for batch in small(batches):
+    for batch in by_size(batches, "text"):
         rows: list[tuple] = []
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            ids = encoder.ids(text.as_py()) + end
+        found, ends = encoder.batch(batch.column("text"))
+        for key, first, last in zip(batch.column("doc_id").to_pylist(), ends.tolist(), ends[1:].tolist()):
+            ids = found[first:last].tobytes() + end
             n = len(ids) // 4
             edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
             rows += [(key, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(edges, edges[1:]))]

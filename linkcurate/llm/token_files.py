@@ -20,8 +20,8 @@ import pyarrow.fs as fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkcurate.llm.chunks import Encoder
-from linkcurate.llm.common import small, stored
+from linkcurate.llm.chunks import Encoder, by_size
+from linkcurate.llm.common import stored
 
 MAGIC = b"RANKVB01"
 _WIDTHS = np.array([[(control >> 2 * i & 3) + 1 for i in range(4)] for control in range(256)], np.uint8)
@@ -55,10 +55,13 @@ def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 def token_ids(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
     """key and ids (little-endian unsigned 16-bit integers, 32-bit for larger vocabularies), the end id last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), end_id.to_bytes(4, "little")
+        encoder = Encoder.of(tokenizer)
         width = _width(len(encoder.four))
-        for batch in small(batches):
-            ids = [np.frombuffer(encoder.ids(x.as_py()) + end, "<u4").astype(width).tobytes() for x in batch.column("text")]
+        end = np.array([end_id], width).tobytes()
+        for batch in by_size(batches, "text"):
+            found, edges = encoder.batch(batch.column("text"))
+            found = found.astype(width)
+            ids = [found[a:b].tobytes() + end for a, b in zip(edges, edges[1:])]
             yield pa.record_batch([batch.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, ids binary")
