@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ONCE: dict[Any, Any] = {}
 
@@ -41,6 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """`df` with columns c0, c1, ..., so that an operator can add columns beside them; the new name of each; the columns that undo it."""
+    names = {x: f"c{i}" for i, x in enumerate(df.columns)}
+    return df.toDF(*names.values()), names, [F.col(new).alias(old) for old, new in names.items()]
+
+
 def once(key: Any, make: Callable[[], Any]) -> Any:
     """A value made once per Python process."""
     if key not in _ONCE:

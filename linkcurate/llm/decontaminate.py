@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkcurate.llm.common import small
+from linkcurate.llm.common import apart, small
 from linkcurate.llm.hashing import hashed_words, window_hashes
 
 #: Words of this operator: digits, ASCII letters and everything beyond ASCII.
@@ -42,45 +42,54 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 @dataclass
 class WindowSet:
-    """The windows of some benchmark items: hashes in ascending order per window length, and items and words by hash."""
+    """The windows of some benchmark items: per window length the hashes in ascending order, and item and first word of each window."""
 
-    hashes: dict[int, np.ndarray]
-    found: dict[tuple[int, int], list[tuple[bytes, list[int]]]]
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    ids: list[int | None]
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(items: list[tuple[int, str | None]], n: int) -> WindowSet:
-        windows: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            words = words_of(text)
-            size = min(n, len(words))
-            if size and item is not None:
-                for i in range(len(words) - size + 1):
-                    windows[tuple(words[i : i + size])].add(item)
-        found: dict[tuple[int, int], list[tuple[bytes, list[int]]]] = defaultdict(list)
-        for words, ids in windows.items():
-            key = int(window_hashes(hashed_words([b" ".join(words)], _WORD)[3], len(words))[0])
-            found[len(words), key].append((b" ".join(words), sorted(ids)))
-        hashes = {k: np.array(sorted(h for m, h in found if m == k), np.uint64) for k in {m for m, _ in found}}
-        return WindowSet(hashes, dict(found))
+    def of(items: list[tuple[int | None, str | None]], n: int) -> WindowSet:
+        data, starts, ends, hashes, first = hashed_words([(text or "").encode("utf-8", "surrogatepass") for _, text in items], _WORD)
+        counts = np.diff(first)
+        windows = {}
+        for size in {min(n, int(x)) for x in counts if x}:
+            mine = np.flatnonzero(counts >= n if size == n else counts == size)
+            each = counts[mine] - size + 1
+            at = np.repeat(first[mine] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            keys, item = window_hashes(hashes, size)[at], np.repeat(mine, each)
+            order = np.lexsort((item, keys))
+            windows[size] = keys[order], item[order].astype(np.int32), at[order]
+        return WindowSet(data, starts, ends, [i for i, _ in items], windows)
 
     def _candidates(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """Place, length and first entry of the set for every window of the text whose hash is in it."""
         out = []
-        for n, known in self.hashes.items():
+        for n, (known, _, _) in self.windows.items():
             windows = window_hashes(hashes, n)
             at = np.searchsorted(known, windows)
             at[at == len(known)] = 0
-            out += [(int(i), n, int(windows[i])) for i in np.flatnonzero(known[at] == windows)]
+            some = np.flatnonzero(known[at] == windows)
+            out += zip(some.tolist(), [n] * len(some), at[some].tolist())
         return out
 
+    def _same(self, data, starts, ends, i: int, at: int, n: int) -> bool:
+        """Whether the n words from place i on are the set's from place `at` on."""
+        return all(
+            data[starts[i + j] : ends[i + j]].tobytes() == self.data[self.starts[at + j] : self.ends[at + j]].tobytes() for j in range(n)
+        )
+
     def _verified(self, data, starts, ends, candidates) -> tuple[list[tuple[int, int]], set[int]]:
         ranges, items = [], set()
-        for i, n, key in candidates:
-            words = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + n))
-            for known, ids in self.found[n, key]:
-                if known == words:
+        for i, n, k in candidates:
+            known, item, first = self.windows[n]
+            for k in range(k, int(np.searchsorted(known, known[k], "right"))):
+                if self._same(data, starts, ends, i, int(first[k]), n):
                     ranges.append((i, i + n))
-                    items.update(ids)
-        return merged(ranges), items
+                    items.add(self.ids[item[k]])
+        return merged(ranges), items - {None}
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
         """Per text its number of words, hit ranges of words (end exclusive, ascending) and items. Hashed in parts of about 2 MB."""
@@ -113,7 +122,7 @@ _RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 def scanned(docs: DataFrame, benchmark: DataFrame, *, n: int, text: str, item: str, item_text: str, broadcast_bytes: int) -> DataFrame:
     """`docs` with `__words`, `__ranges` (hit ranges of words, end exclusive) and `__items` (ascending); no shuffle.
 
-    The set is broadcast only if the benchmark's texts take at most `broadcast_bytes`. A larger benchmark is dealt into lots of
+    The set takes some five times the bytes of its texts; it is broadcast only if these take at most `broadcast_bytes`. A larger benchmark is dealt into lots of
     about that size; the rows pass through one scan per lot, each adding what it finds.
     """
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
@@ -152,12 +161,12 @@ def _scan_lot(rows: DataFrame, text: str, items: DataFrame, n: int) -> DataFrame
 
 def scan(
     docs: DataFrame, benchmark: DataFrame, *, n: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", broadcast_bytes: int = 32 << 20,
+    item_text: str = "text", broadcast_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, ranges (hit words, end exclusive, ascending) and items (ascending).
 
-    Null texts have no words; items without words or id hit nothing; null and repeated keys keep a row each; other columns play
-    no part.
+    Null texts have no words; items without words hit nothing, items without id hit but are not listed; null and repeated keys keep
+    a row each; other columns play no part.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = scanned(rows, benchmark, n=n, text="text", item=item, item_text=item_text, broadcast_bytes=broadcast_bytes)
@@ -173,11 +182,12 @@ def digest(scanned: DataFrame, *, share: int = 20) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share: int = 20, text: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """`docs` without contaminated rows, all columns kept."""
-    found = scanned(docs, benchmark, n=n, text=text, item="item_id", item_text="text", broadcast_bytes=broadcast_bytes)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share: int = 20, text: str = "text", broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """`docs` without contaminated rows, all columns kept, whatever their names. Rows of null or empty texts stay, repeated rows each."""
+    rows, name, back = apart(docs)
+    found = scanned(rows, benchmark, n=n, text=name[text], item="item_id", item_text="text", broadcast_bytes=broadcast_bytes)
     hit = F.aggregate("__ranges", F.lit(0).cast("long"), lambda total, x: total + (x["end"] - x["start"]))
-    return found.where(~((hit > 0) & (hit * share >= F.col("__words")))).select(*docs.columns)
+    return found.where(~((hit > 0) & (hit * share >= F.col("__words")))).select(*back)
 
 
 SQL_TWIN = r"""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructType
 
-from linkcurate.llm.common import small, stored
+from linkcurate.llm.common import apart, small, stored
 from linkcurate.llm.hashing import LOWER
 
 _BITS = 15
@@ -25,10 +25,12 @@ _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of all texts in a row, and the place of each text's first (one entry more than texts)."""
-    parts = [np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
-    data = LOWER[np.concatenate([x for p in parts for x in (np.array([10], np.uint8), p)] + [np.array([10], np.uint8)])]
+_WINDOW = 1 << 18
+
+
+def trigrams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed trigrams of all parts in a row, and the place of each part's first (one entry more than parts)."""
+    data = LOWER[np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)]
     owner = np.repeat(np.arange(len(parts) + 1), [len(p) + 1 for p in parts] + [1])
     letter = _LETTER[data]
     keep = letter | np.concatenate([[True], letter[:-1] | (owner[1:] != owner[:-1])])
@@ -38,6 +40,34 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes[inside], np.searchsorted(owner[:-2][inside], np.arange(len(parts) + 1))
 
 
+def _windows(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The texts (their numbers and bytes) in groups of about `_WINDOW` bytes; a longer text in parts that share a character between words.
+
+    Trigrams are centred on letters, so such parts have the trigrams of the whole. Only a run of `_WINDOW` letters is cut inside.
+    """
+    which: list[int] = []
+    parts: list[bytes] = []
+    held = 0
+    for i, text in enumerate(texts):
+        data, start = (text or "").encode("utf-8", "surrogatepass"), 0
+        while True:
+            end = len(data)
+            if end - start > _WINDOW:
+                blank = max(data.rfind(b" ", start + 1, start + _WINDOW), data.rfind(b"\n", start + 1, start + _WINDOW))
+                end = blank + 1 if blank > 0 else start + _WINDOW
+            which.append(i)
+            parts.append(data[start:end])
+            held += end - start
+            if held > _WINDOW:
+                yield which, parts
+                which, parts, held = [], [], 0
+            if end == len(data):
+                break
+            start = end - 1 if data[end - 1] in b" \n" else end
+    if parts:
+        yield which, parts
+
+
 @dataclass
 class TextModel:
     languages: list[str]
@@ -45,25 +75,16 @@ class TextModel:
 
     def likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of log-likelihoods (one row per text) and numbers of trigrams."""
-        sums, sizes, part, held = [], [], [], 0
-        for i, text in enumerate([*texts, None]):
-            if i < len(texts):
-                part.append(text)
-                held += len(text or "")
-            if part and (held > 1 << 18 or i == len(texts)):
-                codes, first = trigrams(part)
-                own = []
-                for k in range(0, len(self.languages), 8):  # a few languages at a time: memory does not grow with their number
-                    table = self.table[:, k : k + 8]
-                    total = np.zeros((len(codes) + 1, table.shape[1]))
-                    np.cumsum(table[codes], axis=0, out=total[1:])
-                    own.append(total[first[1:]] - total[first[:-1]])
-                sums.append(np.concatenate(own, axis=1))
-                sizes.append(np.diff(first))
-                part, held = [], 0
-        if not sums:
-            return np.zeros((0, len(self.languages))), np.zeros(0, np.int64)
-        return np.concatenate(sums), np.concatenate(sizes)
+        sums, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for which, parts in _windows(texts):
+            codes, first = trigrams(parts)
+            np.add.at(sizes, which, np.diff(first))
+            for k in range(0, len(self.languages), 8):  # a few languages at a time: memory does not grow with their number
+                table = self.table[:, k : k + 8]
+                total = np.zeros((len(codes) + 1, table.shape[1]))
+                np.cumsum(table[codes], axis=0, out=total[1:])
+                np.add.at(sums[:, k : k + 8], which, total[first[1:]] - total[first[:-1]])
+        return sums, sizes
 
 
 def fit_text_model(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 300, languages: int | None = None) -> TextModel:
@@ -84,9 +105,10 @@ def fit_text_model(labelled: DataFrame, *, key: str = "doc_id", text: str = "tex
         place = {x: i for i, x in enumerate(names)}
         for batch in small(batches, 50):
             of = np.array([place[x] for x in batch.column("l").to_pylist()], np.int64)
-            codes, first = trigrams(batch.column("text").to_pylist())
-            at, n = np.unique(np.repeat(of, np.diff(first)) << _BITS | codes, return_counts=True)
-            yield pa.record_batch([pa.array(at), pa.array(n)], ["at", "n"])
+            for which, parts in _windows(batch.column("text").to_pylist()):
+                codes, first = trigrams(parts)
+                at, n = np.unique(np.repeat(of[which], np.diff(first)) << _BITS | codes, return_counts=True)
+                yield pa.record_batch([pa.array(at), pa.array(n)], ["at", "n"])
 
     counts = np.zeros(len(names) << _BITS)
     for r in rows.select("l", "text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
@@ -116,7 +138,8 @@ def identify(
     names = model.languages
     if not names:
         return rows.drop("language", "posterior", "identified").withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(0.0), "identified": F.lit(False)})
-    rows = rows.drop("language", "posterior", "identified")
+    rows, name, back = apart(rows.drop("language", "posterior", "identified"))
+    text, declared, host = name[text], name[declared], name[host]
     scored = _scored(rows, model, text, evidence)
     n = len(names)
     sums = [F.sum(F.when(F.col("__letters"), F.col("__share")[i])).alias(f"s{i}") for i in range(n)]
@@ -141,7 +164,7 @@ def identify(
     best = F.array_max(F.zip_with(_softmax(F.col("__fused")), F.array(*map(F.lit, names)), lambda p, x: F.struct(p.alias("p"), x.alias("x"))))
     done = joined.withColumn("__fused", fused).withColumn("__best", best)
     return done.select(
-        *rows.columns, F.when(F.col("__letters"), F.col("__best.x")).alias("language"), F.when(F.col("__letters"), F.col("__best.p")).otherwise(0.0).alias("posterior"),
+        *back, F.when(F.col("__letters"), F.col("__best.x")).alias("language"), F.when(F.col("__letters"), F.col("__best.p")).otherwise(0.0).alias("posterior"),
         (F.col("__letters") & (F.col("__best.p") >= least_posterior)).alias("identified"),
     )
 

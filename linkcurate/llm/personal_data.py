@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkcurate.llm.common import once
+from linkcurate.llm.common import apart, once
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Groups that repeat are possessive, which changes no match here and needs no stack.
@@ -279,7 +279,8 @@ def redact(docs: DataFrame, *, text: str = "text", train_rows: int = 8000, trees
     Of spans that overlap, the later start only removes what the earlier one left.
     """
     chosen = Selector.of(docs.sparkSession, train_rows, trees, precision)
-    content = F.col(text).cast("string")
+    docs, name, back = apart(docs)
+    content = F.col(name[text]).cast("string")
     rows = docs.withColumn("__base", base_spans(content))
     rows = rows.withColumn("__spans", F.array_sort(F.concat("__base", chosen.spans(F.coalesce(content, F.lit("")), F.col("__base")))))
 
@@ -293,5 +294,5 @@ def redact(docs: DataFrame, *, text: str = "text", train_rows: int = 8000, trees
         ))
         return F.concat(F.array_join(parts, ""), F.substr(content, F.element_at(ends, -1) + 1, F.length(content)))
 
-    cleaned = F.when(F.size("__spans") > 0, _bound(F.col("__spans"), rebuilt)).otherwise(F.col(text))
-    return rows.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns])
+    cleaned = F.when(F.size("__spans") > 0, _bound(F.col("__spans"), rebuilt)).otherwise(F.col(name[text]))
+    return rows.withColumn(name[text], cleaned).select(*back)
