@@ -23,11 +23,6 @@ TO_END = 2**31 - 1
 
 # Word letters of the stutter rule; the last four fold to Latin letters.
 WORD = "[a-zA-Zа-яА-ЯіїєґІЇЄҐıİſ\u212a]"
-# One pass folds up to this many repeats; Java's matcher recurses once per
-# repeat, so the bound keeps the stack small and further passes do the rest.
-STUTTER_STEP = 100
-STUTTER_PASSES = 4
-
 # Up to this many words are searched for one by one.
 FEW_WORDS = 24
 
@@ -59,64 +54,45 @@ def any_pattern(pattern: str) -> str:
     return "(?iU)" + check_pattern(pattern)
 
 
+# --- Fixed values: letters that only a case-blind match equates to another letter.
+EXTRA_CASES = {
+    "ı": "i", "İ": "i", "ſ": "s", "\u212a": "k", "\u1c80": "в", "\u1c81": "д", "\u1c82": "о", "\u1c83": "с", "\u1c84": "т", "\u1c85": "т", "\u1c86": "ъ",
+}
+# Letters of which the lower-case form is the only one that a case-blind match may meet in a folded text.
+PLAIN = "a-z0-9а-яёіїєґ"
+
+
 def fold_case(text: Column) -> Column:
-    """Lower case, with the letters that only a case-blind match equates to Latin ones."""
-    for letter, plain in (("ı", "i"), ("İ", "i"), ("ſ", "s"), ("\u212a", "k")):
-        text = F.replace(text, F.lit(letter), F.lit(plain))
-    return F.lower(text)
+    """Lower case, with the letters that only a case-blind match equates to Latin or Cyrillic ones."""
+    return F.lower(F.translate(text, "".join(EXTRA_CASES), "".join(EXTRA_CASES.values())))
 
 
 def required_words(pattern: str) -> list[tuple[str, bool]] | None:
     """Folded words of which every match of the pattern holds at least one, None if unknown.
 
-    The flag tells that the word stands between boundaries, so it is a whole
-    word of the text. Long words are preferred, then whole ones.
+    Known are patterns that begin with a list of phrases, `(?:one\\s+phrase|another)` or the same between boundaries, in plain
+    letters. The flag tells that the word is a whole word of the text. Long words are preferred, then whole ones.
     """
-    parser, constants = re._parser, re._constants
-
-    def better(a, b):
-        if a is None or b is None:
-            return a or b
-        return max(a, b, key=lambda ws: (
-            min(len(w) for w, _ in ws) > 3, all(whole for _, whole in ws), min(len(w) for w, _ in ws)
-        ))
-
-    def parts_words(item) -> bool:
-        """Whether an item always puts a boundary next to a word."""
-        op, value = item
-        if op is parser.AT:
-            return value is constants.AT_BOUNDARY
-        if op is parser.LITERAL:
-            return not (chr(value).isalnum() or chr(value) == "_")
-        spaces = [(parser.IN, [(parser.CATEGORY, constants.CATEGORY_SPACE)])]
-        return op is parser.MAX_REPEAT and value[0] > 0 and list(value[2]) == spaces
-
-    def of(items, left: bool, right: bool):
-        items, best, at = list(items), None, 0
-        while at < len(items):
-            op, value = items[at]
-            end = at + 1
-            if op is parser.LITERAL and not parts_words(items[at]):
-                while end < len(items) and items[end][0] is parser.LITERAL and not parts_words(items[end]):
-                    end += 1
-            begins = left if at == 0 else parts_words(items[at - 1])
-            ends = right if end == len(items) else parts_words(items[end])
-            if op is parser.LITERAL and not parts_words(items[at]):
-                word = "".join(chr(c) for _, c in items[at:end]).lower()
-                best = better(best, [(word, begins and ends)])
-            elif op is parser.SUBPATTERN:
-                best = better(best, of(value[-1], begins, ends))
-            elif op is parser.MAX_REPEAT and value[0] > 0:
-                best = better(best, of(value[2], False, False))
-            elif op is parser.BRANCH:
-                branches = [of(branch, begins, ends) for branch in value[1]]
-                if all(branches):
-                    best = better(best, sorted({w for branch in branches for w in branch}))
-            at = end
-        return best
-
-    words = of(parser.parse(pattern), False, False)
-    return words if words and min(len(w) for w, _ in words) > 1 else None
+    # An optional group and what stands in a character class take no part.
+    simple = re.sub(r"\(\?:[^()|]*\)[?*]|\[[^\]]*\][*+?]?", "\\\\S*", pattern)
+    found = re.match(r"(\\b)?\(\?:([^()]*)\)(?![?*{])(\\b)?", simple)
+    if not found or "|" in re.sub(r"\([^()]*\)", "", simple[found.end() :]):
+        return None
+    out = set()
+    for phrase in found[2].split("|"):
+        words = re.split(r"\\s\+", phrase)
+        some = []
+        for i, word in enumerate(words):
+            bounded = (i > 0 or found[1]) and (i < len(words) - 1 or found[3])
+            if re.fullmatch(f"[{PLAIN}]+", word.lower()):
+                some.append((word.lower(), bool(bounded)))
+            else:
+                parts = re.split(rf"\\.[*+?]?|.[*+?]|\{{[^}}]*\}}|[^{PLAIN}]", word.lower())
+                some += [(x, False) for x in parts if x]
+        if not some:
+            return None
+        out.add(max(some, key=lambda x: (len(x[0]) > 3, x[1], len(x[0]))))
+    return sorted(out) if min(len(x) for x, _ in out) > 1 else None
 
 
 def gated(folded: Column, patterns: Sequence[str], use: Callable[[list[Column]], Column]) -> Column:
@@ -176,24 +152,22 @@ def remove_turn_marks(text: Column) -> Column:
 
 
 def fold_stutters(text: Column) -> Column:
-    """Keep the first of a run of one repeated word.
+    """Keep the first of a run of one repeated word, however long the run.
 
-    Each pass shortens a run by the factor STUTTER_STEP + 1. Later passes run
-    only on texts from which an earlier one removed enough to have met a
-    longer run, so ordinary texts are scanned once.
+    A text is cut into words and what stands between them. A word goes, with the white space before it, if it is the word before
+    that white space again; only texts that hold such a pair are cut.
     """
-    pattern = rf"(?U)\b({WORD}++)(?:[{SPACE_CLASS}]++(?iu:\1)\b){{1,{STUTTER_STEP}}}"
-
-    def once_or_more(before: Column) -> Column:
-        def more(once: Column) -> Column:
-            folded = once
-            for _ in range(STUTTER_PASSES - 1):
-                folded = F.regexp_replace(folded, pattern, "$1")
-            return F.when(F.length(before) - F.length(once) >= 2 * STUTTER_STEP, folded).otherwise(once)
+    pair = rf"(?U)\b({WORD}++)[{SPACE_CLASS}]++(?iu:\1)\b"
 
-        return let(F.regexp_replace(before, pattern, "$1"), more)
+    def folded(tokens: Column) -> Column:
+        words = F.transform(tokens, lambda t: F.when(t.rlike(f"^{WORD}+$"), F.lower(F.replace(t, F.lit("İ"), F.lit("i")))))
+        blank = F.transform(tokens, lambda t: t.rlike(rf"(?U)^[{SPACE_CLASS}]+$"))
+        again = lambda w, b: F.transform(w, lambda x, i: F.coalesce(F.get(b, i - 1) & (x == F.get(w, i - 2)), F.lit(False)))
+        gone = let(words, lambda w: let(blank, lambda b: again(w, b)))
+        return let(gone, lambda g: F.array_join(F.filter(tokens, lambda t, i: ~(F.get(g, i) | F.coalesce(F.get(g, i + 1), F.lit(False)))), ""))
 
-    return let(text, once_or_more)
+    cut = lambda given: let(F.regexp_extract_all(given, F.lit(r"(?U)\w+|\W+"), F.lit(0)), folded)
+    return let(text, lambda given: F.when(given.rlike(pair), cut(given)).otherwise(given))
 
 
 def clean_transcript(text: Column) -> Column:

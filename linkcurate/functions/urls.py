@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from linkcurate.functions.text import SPACE_CLASS, safe_file_name
 from linkcurate.rules import README_BRANCHES, ROUTES
 
-# A dotted host of at most 127 labels (the limit of the name system; the bound
-# also keeps Java's matcher off the deep stack), a port, and a path.
+# A dotted host of any number of labels as one run of its characters, a port, and a path. Two dots in a row end a host: what
+# stands before them is a candidate of its own, without port and path. No group is repeated, so Java's matcher never goes deep.
+_HOST = r"[a-zA-Z0-9-][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}"
 LINK = (
-    r"(?iU)https?://(?:[a-zA-Z0-9-]+\.){1,127}[a-zA-Z]{2,}(?::\d+)?"
+    rf"(?iU)https?://(?:(?![a-zA-Z0-9.-]*\.\.){_HOST}(?::\d+)?"
     rf"""(?:/[^{SPACE_CLASS}<>'"`()]*)?"""
+    r"|[a-zA-Z0-9-][a-zA-Z0-9.-]*?(?=\.\.))"
 )
+_WHOLE = rf"(?is)^https?://{_HOST}(?::[0-9]+)?(?:/.*)?"
 TRAILING = ".,!?:;)"
 
 _SCHEME = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?"
@@ -25,9 +28,8 @@ PAPER_ID = r"arxiv\.org/(?:abs|pdf)/([0-9]+\.[0-9]+(?:v[0-9]+)?)"
 
 def extract_urls(text: Column) -> Column:
     """Distinct links of one text in first-seen order; never NULL."""
-    found = F.transform(
-        F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda u: F.rtrim(u, F.lit(TRAILING))
-    )
+    whole = F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda u: F.regexp_extract(u, _WHOLE, 0))
+    found = F.transform(F.filter(whole, lambda u: u != ""), lambda u: F.rtrim(u, F.lit(TRAILING)))
     return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 

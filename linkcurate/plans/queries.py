@@ -102,6 +102,20 @@ def message_links(spark, folder):
     return inputs.links(spark, folder).select("message_id", "pos", "url")
 
 
+# Hosts of 200 labels, of an empty label, and one that two dots end.
+_HOSTS = ("at https://", ".example.org/p?q=1, http://a..b.com/x,http://c.org/y HTTPS://up.Example.NET:80/z https://end.org.. and https://1.2 ")
+
+
+@query(
+    f"""SELECT doc_id, unnest(list_distinct([rtrim(u, '.,!?:;)') FOR u IN regexp_extract_all(
+            {sql_text(_HOSTS[0])} || repeat('l' || doc_id || '.', 200) || source || {sql_text(_HOSTS[1])} || text, '{inputs.SQL_LINK}')])) AS url FROM documents""",
+)
+def long_host_links(spark, folder):
+    label = F.concat(F.lit("l"), "doc_id", F.lit("."))
+    said = F.concat(F.lit(_HOSTS[0]), F.repeat(label, F.lit(200)), "source", F.lit(_HOSTS[1]), "text")
+    return inputs.documents(spark, folder).select("doc_id", F.explode(urls.extract_urls(said)).alias("url"))
+
+
 @query("SELECT DISTINCT url FROM links", "links")
 def distinct_urls(spark, folder):
     return link_ops.distinct_urls(inputs.links(spark, folder))
@@ -258,6 +272,15 @@ def spoken_cleaned(spark, folder):
     return inputs.documents(spark, folder).select("doc_id", text.clean_spoken(spoken(F.col("text"))).alias("text"))
 
 
+_RUN = "So so SO "
+
+
+@query(f"SELECT doc_id, {sql_transcript(f'repeat({sql_text(_RUN)}, 700) || text')} AS text FROM documents")
+def stutters_folded(spark, folder):
+    run = F.concat(F.repeat(F.lit(_RUN), F.lit(700)), "text")
+    return inputs.documents(spark, folder).select("doc_id", text.clean_transcript(run).alias("text"))
+
+
 # Two frequent words as login words, so that the window and the order of the rules matter.
 PROSE_WALLS = [r"\b(?:sign\s*in|log\s*in|login|log\s*on)\b", r"\bthe\s+that\b", r"\bund\s+der\b", r"\bque\s+des\b"]
 
@@ -521,6 +544,22 @@ def documents_classified(spark, folder):
     return inputs.documents(spark, folder).select("doc_id", category.alias("category"))
 
 
+# Letters with two lower-case forms, or that share an upper-case letter: such patterns run on every text.
+GREEK_RULES = {"words": ["λογοσ", "λογος"], "units": ["µtorrent"]}
+_SPELLED = {"de": " ΛΟΓΟΣ λόγος", "fr": " λογος Λογοσ", "es": " µTorrent", "en": " ΜTORRENT μtorrent"}
+
+
+@query(
+    f"""SELECT doc_id, len(regexp_extract_all(x, '(?i)λογοσ')) + len(regexp_extract_all(x, '(?i)λογος')) AS words, len(regexp_extract_all(x, '(?i)µtorrent')) AS units
+        FROM (SELECT doc_id, text || CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _SPELLED.items())} ELSE '' END AS x FROM documents)""",
+)
+def letters_of_two_forms(spark, folder):
+    added = F.coalesce(F.create_map(*[F.lit(x) for kv in _SPELLED.items() for x in kv])[F.col("lang")], F.lit(""))
+    scores = rule_scores(F.concat("text", added), GREEK_RULES)
+    score = lambda name: F.coalesce(F.get(F.filter("scores", lambda s: s["category"] == name), F.lit(0))["score"], F.lit(0)).cast("bigint").alias(name)
+    return inputs.documents(spark, folder).select("doc_id", scores.alias("scores")).select("doc_id", score("words"), score("units"))
+
+
 @query(f"SELECT file_path, target AS category FROM ({sql_classified(CATEGORY_PATTERNS)})", "notes")
 def notes_classified(spark, folder):
     files = inputs.notes(spark, folder).select("file_path", "file_name", "category", "content")

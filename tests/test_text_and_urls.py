@@ -32,6 +32,16 @@ def test_extract_urls(one):
     assert one(urls.extract_urls, "HTTPS://Example.COM:8080/x y") == ["HTTPS://Example.COM:8080/x"]
 
 
+def test_extract_urls_equals_the_plain_pattern(one):
+    plain = re.compile(r"""https?://(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}(?::\d+)?(?:/[^\s<>'"`()]*)?""", re.I)
+    rng = random.Random(2)
+    parts = ["http://", "https://", "a", "b-c", ".", "..", "com", "org", "1", ":80", "/x", "/", " ", ",", "?q=1", "é", "("]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 24))) for _ in range(3000)]
+    texts += ["https://" + "a." * 200 + "org/x", "http://a..b.com/x,http://c.org/y", "http://end.org.. "]
+    want = [list(dict.fromkeys(u.rstrip(".,!?:;)") for u in plain.findall(t))) for t in texts]
+    assert one(urls.extract_urls, *texts) == want
+
+
 def test_extract_urls_survives_long_hosts(one):
     assert one(urls.extract_urls, "https://" + "a." * 20000 + "1 end") == []
     assert one(urls.extract_urls, "https://a.com" + "/seg" * 50000)[0].endswith("/seg")
@@ -89,6 +99,16 @@ def test_clean_promo(one):
     assert one(text.clean_promo, None, "  plain\t text ") == ["", "plain text"]
 
 
+def test_stutters_equal_the_plain_rule(one):
+    word = "[a-zA-Zа-яА-ЯіїєґІЇЄҐ]"
+    plain = re.compile(rf"\b({word}+)(?:\s+\1\b)+", re.I)
+    rng = random.Random(4)
+    parts = ["a", "A", "the", "The", "ї", "Ї", " ", "  ", "\n", "-", "1", "é", "ſ", "s", "."]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(2, 20))) for _ in range(2000)]
+    texts += ["Word " * 100_000 + "WORD end", "so SO so. so", ""]
+    assert one(text.fold_stutters, *texts) == [plain.sub(r"\1", t) for t in texts]
+
+
 def test_gates_never_hide_a_match(one):
     rng = random.Random(3)
     patterns = [p for ps in CATEGORY_PATTERNS.values() for p in ps] + LOGIN_PATTERNS + PROMO_PATTERNS
@@ -128,4 +148,4 @@ def test_pages(one):
     )
     assert one(html.page_title, page, "<p>no title</p>") == ["A & B!", "Article Note"]
     # A cell adds a blank; squeezing keeps a single blank at the start of a line.
-    assert one(html.main_text, page) == "Hi <b> Aд&#99999999;\nthere\n\n a b"
+    assert one(html.main_text, page) == "Hi <b> Aд\ufffd\nthere\n\n a b"
