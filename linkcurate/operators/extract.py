@@ -9,8 +9,8 @@ from linkcurate.functions import feeds
 from linkcurate.functions.html import main_text, page_title
 from linkcurate.functions.quality import has_visuals, integrity_reason
 from linkcurate.functions.text import clean_spoken, strip
-from linkcurate.functions.urls import paper_id, repository, video_id, watch_url
-from linkcurate.operators.assemble import first_usable
+from linkcurate.functions.urls import paper_id, repository, source_type, video_id, watch_url
+from linkcurate.operators.assemble import FEED_SEPARATOR, POST_SEPARATOR, first_usable, joined_texts, preferred_tracks, thread_separator
 from linkcurate.operators.triage import UNTITLED
 from linkcurate.rules import MIN_TEXT
 from linkcurate.schemas import SCRAPED
@@ -98,3 +98,43 @@ def capture_videos(videos: DataFrame) -> DataFrame:
     return captured(
         video, "youtube", F.col("_title"), text, feeds.video_failure(F.col("_title"), F.col("_spoken"))
     )
+
+
+def assemble_threads(posts: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Threads for `capture_threads` from posts in order (`url, pos, text`, optionally `title`) and images (`url, visual_tiles`).
+
+    Posts of one address are joined with the separator of its site, in two steps, so that no task holds a whole long thread. The title
+    is that of the first post that has one. An address with images and no posts is a thread without text.
+    """
+    titled = "title" in posts.columns
+    whole = None
+    for separator in (POST_SEPARATOR, FEED_SEPARATOR):
+        mine = posts.filter(thread_separator(F.col("url")) == separator)
+        texts = joined_texts(mine, ["url"], separator=separator)
+        whole = texts if whole is None else whole.unionByName(texts)
+    if titled:
+        heads = posts.filter(F.coalesce("title", F.lit("")) != "").groupBy("url").agg(F.min_by("title", "pos").alias("title"))
+        whole = whole.join(heads, "url", "full")
+    else:
+        whole = whole.withColumn("title", F.lit(None).cast("string"))
+    return with_images(whole, images).withColumn("source_type", source_type(F.col("url"))).select("url", "source_type", "title", "text", "visual_tiles")
+
+
+def assemble_videos(tracks: DataFrame, snippets: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Videos for `capture_videos` from their tracks (`url, lang, pos`), snippets (`url, track, pos, text`) and `url, metadata`.
+
+    Of the tracks the preferred one is taken (`track` is its `pos`), and only its snippets are joined. A video without a track, or
+    without metadata, has that part NULL.
+    """
+    best = preferred_tracks(tracks.withColumnRenamed("url", "video_id")).select(F.col("video_id").alias("url"), F.col("pos").alias("track"))
+    spoken = joined_texts(snippets.join(best, ["url", "track"], "left_semi"), ["url"]).withColumnRenamed("text", "transcript")
+    if metadata is None:
+        return spoken.select("url", F.lit(None).cast("string").alias("metadata"), "transcript")
+    return metadata.select("url", "metadata").join(spoken, "url", "full").select("url", "metadata", "transcript")
+
+
+def with_images(rows: DataFrame, images: DataFrame | None) -> DataFrame:
+    """`rows` (one per `url`) with `visual_tiles`, and a row for each address that has images only."""
+    if images is None:
+        return rows.withColumn("visual_tiles", F.lit(None).cast(SCRAPED["visual_tiles"].dataType))
+    return rows.join(images.select("url", "visual_tiles"), "url", "full")

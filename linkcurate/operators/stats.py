@@ -18,16 +18,22 @@ def registry_report(registry: DataFrame) -> DataFrame:
     )
 
 
-def session_outcomes(todo: DataFrame, links: DataFrame) -> DataFrame:
-    """`processed, skipped` of a session over link hits.
+def session_outcomes(todo: DataFrame, links: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """`processed, skipped, failed` of a session over link hits.
 
     `links` has one row per link with its `hits`; `todo` are those the session
-    works on. A link that is worked on is skipped at its later hits.
+    works on, `failed` (`url`) those of them that raised. A link that is worked
+    on is skipped at its later hits; one that raised is tried, and raises, at each.
     """
     marked = links.join(todo.select("url", F.lit(1).alias("_todo")), "url", "left")
+    if failed is None:
+        marked = marked.withColumn("_failed", F.lit(None).cast("int"))
+    else:
+        marked = marked.join(failed.select("url", F.lit(1).alias("_failed")), "url", "left")
+    worked = F.when(F.col("_failed").isNull(), F.col("_todo"))
+    total, lost = F.coalesce(F.sum("hits"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("_failed") == 1, F.col("hits"))), F.lit(0))
     return marked.agg(
-        F.count("_todo").alias("processed"),
-        (F.coalesce(F.sum("hits"), F.lit(0)) - F.count("_todo")).alias("skipped"),
+        F.count(worked).alias("processed"), (total - F.count(worked) - lost).alias("skipped"), lost.cast("bigint").alias("failed"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from linkcurate.operators.reminders import job_reminders
 from linkcurate.operators.reorganize import Reorganisation, files_after, reorganise
 from linkcurate.operators.resolve import resolve_paths
 from linkcurate.operators.stats import session_outcomes
+from linkcurate.operators.tiles import tile_arrays
 from linkcurate.operators.triage import Model, triage
 from linkcurate.rules import CATEGORY_PATTERNS
 from linkcurate.schemas import SCRAPED
@@ -40,6 +41,39 @@ class Fetched:
     papers: DataFrame | None = None    # url, xml
     videos: DataFrame | None = None    # url, metadata, transcript
     clutter: dict | None = None        # arguments for `functions.html.strip_clutter`
+    # Pieces, put together for open links only: posts of a thread, tracks and snippets of a video, sizes of page images.
+    posts: DataFrame | None = None     # url, pos, text [, title]
+    tracks: DataFrame | None = None    # url, lang, pos
+    snippets: DataFrame | None = None  # url, track (pos of the track), pos, text
+    video_metadata: DataFrame | None = None  # url, metadata
+    images: DataFrame | None = None    # url, width, height; cut into tiles under `attachments`
+    attachments: str = "attachments"
+    errors: DataFrame | None = None    # url, error: fetching it raised; the item fails and is counted
+
+
+def assembled(todo: DataFrame, fetched: Fetched) -> Fetched:
+    """`fetched` with its pieces put together: threads from posts, videos from tracks, tiles from image sizes.
+
+    Pieces of links that are not in `todo` (one row per `url`) are dropped before anything is joined or sorted.
+    """
+    wanted = todo.select("url", effective_source(F.col("url")).alias("source_type"))
+
+    def of(table: DataFrame | None, *sources: str) -> DataFrame | None:
+        rows = wanted.filter(F.col("source_type").isin(*sources)) if sources else wanted
+        return None if table is None else table.join(rows.select("url"), "url", "left_semi")
+
+    made: dict[str, DataFrame] = {}
+    images = None if fetched.images is None else tile_arrays(of(fetched.images), fetched.attachments)
+    if fetched.posts is not None and fetched.threads is None:
+        made["threads"] = extract.assemble_threads(of(fetched.posts, "x", "linkedin"), of(images, "x", "linkedin"))
+    if fetched.snippets is not None and fetched.tracks is not None and fetched.videos is None:
+        made["videos"] = extract.assemble_videos(
+            of(fetched.tracks, "youtube"), of(fetched.snippets, "youtube"), of(fetched.video_metadata, "youtube")
+        )
+    if images is not None and fetched.pages is not None and "visual_tiles" not in fetched.pages.columns:
+        taken = ["web"] if "threads" in made else ["web", "x", "linkedin"]
+        made["pages"] = extract.with_images(of(fetched.pages), of(images, *taken))
+    return replace(fetched, **made)
 
 
 #: Routes whose links are tried as plain pages when their own material gives nothing.
@@ -110,7 +144,7 @@ class Ingested:
     notes: DataFrame      # schemas.NOTE_FILES
     updates: DataFrame    # schemas.REGISTRY rows to upsert
     reminders: DataFrame
-    errors: DataFrame     # url, error of links that no model answered; they are processed by default values
+    errors: DataFrame     # url, error, failed: links that raised and failed, and links that no model answered, which are processed by default values
     outcomes: DataFrame   # processed, skipped, failed
 
     def registry_after(self, registry: DataFrame) -> DataFrame:
@@ -147,7 +181,12 @@ def _work_on(
     again: bool = False,
 ) -> Ingested:
     todo = materialize(todo.select("url", "message_id", "date", "pos", "hits"), "todo")
-    scraped = captures(todo, fetched, force_visual=force_visual)
+    tried, lost = todo, None
+    if fetched.errors is not None:
+        lost = fetched.errors.join(todo.select("url"), "url", "left_semi").groupBy("url").agg(F.min("error").alias("error"))
+        lost = materialize(lost, "lost")
+        todo = materialize(todo.join(lost, "url", "left_anti"), "todo")
+    scraped = captures(todo, assembled(todo, fetched), force_visual=force_visual)
     triaged = triage(
         scraped.withColumn("_day", note_date(F.col("date"), now)), F.col("_day"),
         model=model, fallback=fallback, rules=rules,
@@ -163,9 +202,10 @@ def _work_on(
         F.col("message_id").alias("telegram_message_id"), "processed_at",
         F.sha2(F.coalesce("original_text", F.lit("")), 256).alias("content_hash"),
     )
-    errors = items.filter(F.col("error").isNotNull()).select("url", "error")
-    # No item can raise here: a link that no model answered is processed by default values and named in `errors`.
-    outcomes = session_outcomes(todo, links).withColumn("failed", F.lit(0).cast("bigint"))
+    errors = items.filter(F.col("error").isNotNull()).select("url", "error", F.lit(False).alias("failed"))
+    if lost is not None:
+        errors = errors.unionByName(lost.select("url", "error", F.lit(True).alias("failed")))
+    outcomes = session_outcomes(tried, links, lost)
     return Ingested(items, results, note_files(items), updates, job_reminders(items, now), errors, outcomes)
 
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkcurate.functions import feeds, html, notes as note_fields, quality, render, text, urls
@@ -689,14 +689,16 @@ def links_to_process(spark, folder):
 
 
 @query(
-    """SELECT count(*) FILTER (r.url IS NULL) AS processed,
-              CAST(sum(hits) AS BIGINT) - count(*) FILTER (r.url IS NULL) AS skipped
+    """SELECT count(*) FILTER (r.url IS NULL AND message_id % 7 <> 3) AS processed,
+              CAST(coalesce(sum(CASE WHEN r.url IS NULL AND message_id % 7 <> 3 THEN hits - 1 WHEN r.url IS NOT NULL THEN hits END), 0) AS BIGINT) AS skipped,
+              CAST(coalesce(sum(hits) FILTER (r.url IS NULL AND message_id % 7 = 3), 0) AS BIGINT) AS failed
        FROM newest l LEFT JOIN page_registry r ON r.url = l.url""", "newest", "page_registry",
 )
 def session_outcomes(spark, folder):
     once = link_ops.one_per_url(inputs.links(spark, folder), "newest")
     records = inputs.page_registry(spark, folder)
-    return stats.session_outcomes(registry.skip_processed(once, records, records.select("file_path")), once)
+    todo = registry.skip_processed(once, records, records.select("file_path"))
+    return stats.session_outcomes(todo, once, todo.filter("message_id % 7 = 3"))
 
 
 @query(
@@ -1287,13 +1289,36 @@ def ingest_session_results(spark, folder):
     return _results(_session(spark, folder))
 
 
+@cache
+def _failing(spark, folder) -> jobs.Ingested:
+    """The same session where fetching every seventh page raised."""
+    pages = inputs.pages(spark, folder)
+    errors = pages.filter("page_id % 7 = 3").select("url", F.concat(F.lit("TimeoutError: page "), "page_id").alias("error"))
+    return jobs.ingest(
+        inputs.messages(spark, folder), inputs.page_registry(spark, folder), inputs.page_files(spark, folder),
+        jobs.Fetched(pages=pages, clutter=AD_CLUTTER, errors=errors), VAULT, session=True, now=_now(), rules=PROSE_RULES,
+    )
+
+
+SQL_RAISED = "(SELECT url, min(page_id) AS page_id FROM pages WHERE page_id % 7 = 3 GROUP BY url)"
+
+
 @query(
-    f"""SELECT count(*) FILTER ({SQL_HOST} NOT LIKE '%.org') AS processed,
-               CAST(sum(hits) AS BIGINT) - count(*) FILTER ({SQL_HOST} NOT LIKE '%.org') AS skipped,
-               CAST(0 AS BIGINT) AS failed FROM newest""", "newest",
+    f"""SELECT count(*) FILTER (todo AND e.url IS NULL) AS processed,
+               CAST(coalesce(sum(CASE WHEN NOT todo THEN hits WHEN e.url IS NULL THEN hits - 1 END), 0) AS BIGINT) AS skipped,
+               CAST(coalesce(sum(hits) FILTER (todo AND e.url IS NOT NULL), 0) AS BIGINT) AS failed
+        FROM (SELECT *, {SQL_HOST} NOT LIKE '%.org' AS todo FROM newest) n LEFT JOIN {SQL_RAISED} e ON e.url = n.url""", "newest",
 )
 def ingest_session_outcomes(spark, folder):
-    return _session(spark, folder).outcomes
+    return _failing(spark, folder).outcomes
+
+
+@query(
+    f"""SELECT n.url, 'TimeoutError: page ' || page_id AS error, true AS failed
+        FROM newest n JOIN {SQL_RAISED} e ON e.url = n.url WHERE {SQL_HOST.replace('url', 'n.url')} NOT LIKE '%.org'""", "newest",
+)
+def ingest_session_errors(spark, folder):
+    return _failing(spark, folder).errors
 
 
 @query(
@@ -1326,6 +1351,120 @@ def reprocess_failed_results(spark, folder):
     return _results(done)
 
 
+# Links of all sources, one per conversation; its turns are posts, snippets, readme candidates or the text of a page or paper.
+SQL_SOURCED = """
+    SELECT conv_id, conv_id % 6 AS kind, CASE conv_id % 6
+        WHEN 0 THEN 'https://x.com/u/status/' || conv_id WHEN 1 THEN 'https://www.linkedin.com/posts/p' || conv_id
+        WHEN 2 THEN 'https://www.youtube.com/watch?v=' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 11) WHEN 3 THEN 'https://github.com/org/r' || conv_id
+        WHEN 4 THEN 'https://site' || conv_id % 7 || '.example.org/p/' || conv_id ELSE 'https://arxiv.org/abs/2405.' || (10000 + conv_id) END AS url"""
+_HTML = ("<html><head><title>Page ", "</title></head><body><nav>menu</nav><div class='cookie-bar'><div>we</div> accept</div><p>", "</p></body></html>")
+
+
+@cache
+def _all_sources(spark, folder) -> tuple[DataFrame, jobs.Fetched]:
+    turns = inputs.table(spark, folder, "conversations")
+    view = turns.selectExpr("*", SQL_SOURCED.split("SELECT conv_id, ", 1)[1].replace("conv_id % 6 AS kind, ", "", 1).replace("VARCHAR", "STRING").strip())
+    view = view.withColumn("kind", F.expr("conv_id % 6"))
+    def kind(*which):
+        return view.filter(F.col("kind").isin(*which))
+
+    first = kind(3, 4, 5).groupBy("conv_id", "kind", "url").agg(F.min_by("text", "turn").alias("text"))
+    once = view.select("conv_id", "kind", "url").distinct()
+    track = kind(2).filter("conv_id % 4 <> 0").withColumn("track", F.min("turn").over(Window.partitionBy("conv_id", "role")))
+    language = F.when(F.col("role") == "user", "fr").when(F.col("role") == "assistant", "de").otherwise("xx")
+    html_ = F.concat(F.lit(_HTML[0]), "conv_id", F.lit(_HTML[1]), "text", F.lit(_HTML[2]))
+    messages = once.select(
+        F.col("conv_id").alias("message_id"), (F.lit("2025-10-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("conv_id"))).alias("date"),
+        F.concat(F.lit("see "), "url").alias("text"),
+    )
+    return messages, jobs.Fetched(
+        posts=kind(0, 1).select("url", F.col("turn").alias("pos"), "text", F.when(F.col("turn") == 1, F.concat(F.lit("Post "), "conv_id")).alias("title")),
+        tracks=track.select("url", language.alias("lang"), F.col("track").alias("pos")).distinct(),
+        snippets=track.select("url", "track", F.col("turn").alias("pos"), "text"),
+        video_metadata=once.filter("kind = 2 AND conv_id % 9 <> 2").select("url", F.to_json(F.struct(F.concat(F.lit("Talk "), "conv_id").alias("title"), F.lit("Channel").alias("author_name"))).alias("metadata")),
+        readmes=kind(3).select("url", F.col("turn").alias("pos"), F.when(F.col("conv_id") % 4 == 1, 404).otherwise(200).alias("status"), "text"),
+        pages=first.filter("kind IN (3, 4)").select("url", html_.alias("html")),
+        papers=first.filter("kind = 5").select("url", F.concat(F.lit("<entry><title>Paper "), "conv_id", F.lit("</title><summary>"), "text", F.lit("</summary></entry>")).alias("xml")),
+        images=once.filter("kind IN (0, 4)").select("url", F.lit(1280).alias("width"), (F.col("conv_id") % 9 * 1000 + 1).cast("int").alias("height")),
+        attachments=f"{VAULT}/attachments",
+        errors=once.filter("conv_id % 13 = 5").select("url", F.lit("ConnectionError: reset").alias("error")),
+    )
+
+
+@cache
+def _all_ingested(spark, folder) -> jobs.Ingested:
+    messages, fetched = _all_sources(spark, folder)
+    return jobs.ingest(messages, inputs.page_registry(spark, folder), inputs.notes(spark, folder), fetched, VAULT, now=_now(), rules=PROSE_RULES)
+
+
+def sql_all_ingested() -> str:
+    stripped = sql_strip("text")
+    joined_turns = lambda separator: f"string_agg({stripped}, {separator} ORDER BY turn) FILTER ({stripped} <> '')"
+    rule = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    video = sql_strip(
+        "'# Video Title: ' || title || '\n# Channel / Creator: ' || author || '\n# URL: ' || url || CASE WHEN coalesce(t, '') <> '' THEN '\n\n## Full Spoken Transcript:\n' || t ELSE '\n\n"
+        + feeds.NO_TRANSCRIPT_NOTE + "' END"
+    )
+    page_reason = f"CASE WHEN length(body) >= 200 OR tiles = 0 THEN {sql_integrity('body', LOGIN_PATTERNS)} END"
+    return f"""
+    WITH turns AS (
+        SELECT *, (min(turn) OVER (PARTITION BY conv_id, role)) AS track FROM ({SQL_SOURCED}, turn, role, text FROM conversations)
+    ), sized AS (
+        SELECT conv_id, kind, url, CASE WHEN kind IN (0, 4) THEN CAST(least(greatest(ceil((conv_id % 9 * 1000 + 1) / 1568), 1), 5) AS INTEGER) ELSE 0 END AS tiles,
+               arg_min(text, turn) AS first_text, max(CASE WHEN turn = 1 THEN 'Post ' || conv_id END) AS post_title,
+               CASE WHEN kind = 0 THEN {joined_turns(rule)} ELSE {joined_turns("chr(10) || chr(10)")} END AS thread,
+               arg_min(text, turn) FILTER (conv_id % 4 <> 1 AND length(text) > 50) AS readme
+        FROM turns GROUP BY conv_id, kind, url
+    ), threads AS (
+        SELECT *, coalesce(post_title, CASE kind WHEN 0 THEN 'X Document' ELSE 'Linkedin Document' END) AS title, coalesce(thread, '') AS body FROM sized WHERE kind IN (0, 1)
+    ), spoken AS (
+        SELECT conv_id, {joined_turns("' '")} AS text FROM turns t
+        WHERE kind = 2 AND conv_id % 4 <> 0 AND track = (SELECT arg_min(u.track, (CASE u.role WHEN 'assistant' THEN 4 WHEN 'user' THEN 6 ELSE 7 END, u.track)) FROM turns u WHERE u.conv_id = t.conv_id)
+        GROUP BY conv_id
+    ), videos AS (
+        SELECT s.*, CASE WHEN s.conv_id % 9 <> 2 THEN 'Talk ' || s.conv_id ELSE 'YouTube Video / Podcast' END AS title,
+               CASE WHEN s.conv_id % 9 <> 2 THEN 'Channel' ELSE 'YouTube Channel' END AS author, {sql_promo('c')} AS t
+        FROM sized s LEFT JOIN (SELECT conv_id, {sql_transcript('text')} AS c FROM spoken) p ON p.conv_id = s.conv_id WHERE kind = 2
+    ), paged AS (
+        SELECT *, {sql_squeeze('first_text')} AS body FROM sized WHERE kind IN (3, 4)
+    ), repositories AS (
+        SELECT *, {sql_strip('readme')} AS own, {sql_integrity('readme', LOGIN_PATTERNS)} AS own_reason FROM paged WHERE kind = 3
+    ), captured AS (
+        SELECT conv_id, url, title, {sql_strip('body')} AS text, tiles, CASE WHEN tiles = 0 THEN {sql_integrity('body', LOGIN_PATTERNS)} END AS reason FROM threads
+        UNION ALL
+        SELECT conv_id, url, title, {video}, 0, CASE WHEN coalesce(t, '') = '' AND length(title) < 15 THEN 'No transcript or description available for YouTube video' END
+        FROM videos WHERE conv_id % 9 <> 2 OR conv_id % 4 <> 0
+        UNION ALL
+        SELECT conv_id, url, 'Untitled Document', '', 0, {sql_text(extract.NOT_CAPTURED)} FROM videos WHERE conv_id % 9 = 2 AND conv_id % 4 = 0
+        UNION ALL
+        SELECT conv_id, url, CASE WHEN own IS NOT NULL AND own_reason IS NULL THEN 'GitHub - org/r' || conv_id ELSE 'Page ' || conv_id END,
+               CASE WHEN own IS NOT NULL AND own_reason IS NULL THEN own ELSE body END, 0,
+               CASE WHEN own IS NOT NULL AND own_reason IS NULL THEN NULL ELSE {sql_integrity('body', LOGIN_PATTERNS)} END FROM repositories
+        UNION ALL
+        SELECT conv_id, url, 'Page ' || conv_id, body, CASE WHEN length(body) >= 200 THEN 0 ELSE tiles END, {page_reason} FROM paged WHERE kind = 4
+        UNION ALL
+        SELECT conv_id, url, 'Paper ' || conv_id, {sql_strip("'# Title: Paper ' || conv_id || '\n# Authors: Unknown\n# ArXiv ID: 2405.' || (10000 + conv_id) || '\n\n## Abstract:\n' || " + sql_strip('first_text'))}, 0, NULL FROM sized WHERE kind = 5
+    ), ruled AS (
+        SELECT *, lower(title || chr(10) || url || chr(10) || text) AS corpus, reason IS NOT NULL AND tiles = 0 AS guarded FROM captured WHERE conv_id % 13 <> 5
+    )
+    SELECT url, CASE WHEN guarded THEN 'Failed Scrape - ' || title ELSE title END AS title, text AS original_text, tiles AS n_tiles,
+           CASE WHEN guarded THEN 'other' ELSE coalesce({sql_best(sql_scores(PROSE_RULES, sql_ascii('corpus')))}, {sql_keywords('corpus')}) END AS category FROM ruled"""
+
+
+@query(sql_all_ingested())
+def ingest_all_sources(spark, folder):
+    items = _all_ingested(spark, folder).items
+    return items.select("url", "title", "original_text", F.size("visual_tiles").alias("n_tiles"), "category")
+
+
+@query(
+    f"""SELECT count(*) FILTER (conv_id % 13 <> 5) AS processed, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (conv_id % 13 = 5) AS failed
+        FROM (SELECT DISTINCT conv_id FROM conversations)""",
+)
+def ingest_all_outcomes(spark, folder):
+    return _all_ingested(spark, folder).outcomes
+
+
 # --- Streams ------------------------------------------------------------------
 
 def _run(spark, stream: DataFrame, batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:

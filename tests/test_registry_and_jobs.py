@@ -210,7 +210,7 @@ def test_model_errors_are_counted(spark):
         spark, feed, records(spark), files(spark), material(spark, "https://a.org/x", "https://c.org/z"), model=picky
     )
     assert tuple(done.outcomes.first()) == (2, 0, 0)  # answered by default values, and named in errors
-    assert [tuple(r) for r in done.errors.collect()] == [("https://a.org/x", "ValueError: no")]
+    assert [tuple(r) for r in done.errors.collect()] == [("https://a.org/x", "ValueError: no", False)]
     assert {r.category for r in done.results.collect()} == {"other", "tools"}
 
 
