@@ -6,10 +6,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from linkcurate.functions.notes import file_name
 from linkcurate.functions.text import head, safe_file_name, strip
 from linkcurate.rules import REQUEST_HEAD, TAXONOMY
+from linkcurate.schemas import MODEL_ANSWER
 
 
 def tag_line(tags: Column) -> Column:
@@ -74,9 +76,26 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%02dm %02ds", F.floor(whole / 60), F.pmod(whole, F.lit(60)))
 
 
+def taxonomy_text(taxonomy: Mapping[str, str] = TAXONOMY) -> str:
+    """One bullet per category."""
+    return "\n".join(f"- **{name}**: {guide}" for name, guide in taxonomy.items())
+
+
 def taxonomy_block(taxonomy: Mapping[str, str] = TAXONOMY) -> Column:
-    """One bullet per category for a model's instructions."""
-    return F.lit("\n".join(f"- **{name}**: {guide}" for name, guide in taxonomy.items()))
+    return F.lit(taxonomy_text(taxonomy))
+
+
+def instructions(taxonomy: Mapping[str, str] = TAXONOMY) -> str:
+    """What a model is told before its requests: the categories to choose from, and the fields of its answer (`schemas.MODEL_ANSWER`)."""
+    fields = ", ".join(f'"{f.name}": {"[...]" if isinstance(f.dataType, ArrayType) else chr(34) + "..." + chr(34)}' for f in MODEL_ANSWER.fields)
+    return (
+        "You sort saved web content into a library of notes.\n\n"
+        f"Choose exactly one of these categories:\n{taxonomy_text(taxonomy)}\n\n"
+        "An offer of work is of category \"jobs\" and type \"job\"; all else is of type \"knowledge\". Summarise what is said in some paragraphs "
+        "and list concrete insights; leave advertising, sponsors and navigation out. Write in English, whatever the language of the "
+        "content. Put code worth keeping into code_snippets.\n\n"
+        f"Answer with one JSON object and nothing else: {{{fields}}}\n"
+    )
 
 
 def model_request() -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from linkcurate.functions.classify import classify, item_type
 from linkcurate.functions.feeds import parse_answer
 from linkcurate.functions.quality import has_visuals
-from linkcurate.functions.render import model_request
+from linkcurate.functions.render import instructions, model_request
 from linkcurate.functions.text import head
 from linkcurate.rules import CATEGORY_PATTERNS, MODEL_TILES, TAXONOMY
 from linkcurate.schemas import MODEL_ANSWER, TRIAGE
@@ -74,31 +76,84 @@ def model_images(tiles: Column, count: int = MODEL_TILES) -> Column:
     )
 
 
-def ask_model(
-    request: Column, images: Column, primary: Model, fallback: Model | None = None, name: str = "primary"
-) -> Column:
-    """`struct(provider, response, error)` of a user's model for each request.
+@dataclass(frozen=True)
+class BatchModel:
+    """A model that is set up once per worker and answers requests in batches.
 
-    The fallback is asked once, only when the primary raises. One failing
-    request never stops the job. Only these two columns travel to Python.
+    `setup` gets the instructions (see `functions.render.instructions`) and returns a function from a list of (request, image paths)
+    to as many answers; an answer may be an exception, for a request that failed. It runs on the executors, so it must be picklable.
     """
-    def answer(text: str, paths: list[str]) -> tuple[str | None, str | None, str | None]:
-        error = None
-        for provider, model in ((name, primary), ("fallback", fallback)):
-            if model is None:
-                continue
+
+    setup: Callable[[str], Callable[[list[tuple[str, list[str]]]], Sequence[str | BaseException | None]]]
+    batch: int = 16
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+_READY: dict[tuple[str, str], Callable] = {}
+
+
+def _answerer(model: Model | BatchModel, instructions: str) -> Callable[[list[tuple[str, list[str]]]], list[str | BaseException | None]]:
+    """Answers for a list of requests, an exception where one failed. A batch that raises as a whole fails for all of it."""
+    if not isinstance(model, BatchModel):
+        def one(request: tuple[str, list[str]]) -> str | BaseException | None:
             try:
-                return provider, model(text, paths), error
+                return model(*request)
             except Exception as e:  # a user's model may raise anything
-                error = f"{type(e).__name__}: {e}"
-        return None, None, error
+                return e
 
-    @F.pandas_udf(_ANSWERED)
-    def run(requests: pd.Series, shown: pd.Series) -> pd.DataFrame:
-        rows = [answer(text, list(paths)) for text, paths in zip(requests, shown, strict=True)]
-        return pd.DataFrame(rows, columns=_ANSWERED.fieldNames())
+        return lambda requests: [one(x) for x in requests]
 
-    return run(request, images)
+    def batches(requests: list[tuple[str, list[str]]]) -> list[str | BaseException | None]:
+        out: list[str | BaseException | None] = []
+        for i in range(0, len(requests), model.batch):
+            some = requests[i : i + model.batch]
+            try:
+                ready = _READY.get((model.key, instructions))
+                if ready is None:
+                    ready = _READY[model.key, instructions] = model.setup(instructions)
+                answers = list(ready(some))
+                if len(answers) != len(some):
+                    raise ValueError(f"{len(answers)} answers to {len(some)} requests")
+            except Exception as e:
+                answers = [e] * len(some)
+            out += answers
+        return out
+
+    return batches
+
+
+def ask_model(
+    request: Column, images: Column, primary: Model | BatchModel, fallback: Model | BatchModel | None = None, name: str = "primary",
+    *, taxonomy: Mapping[str, str] = TAXONOMY,
+) -> Column:
+    """`struct(provider, response, error)` of a user's model for each request.
+
+    The fallback is asked once, only where the primary raises. One failing request never stops the job. Only these two columns travel
+    to Python, in Arrow batches; a `BatchModel` is set up once per worker and gets the instructions with the taxonomy.
+    """
+    text = instructions(taxonomy)
+    providers = [(name, primary)] + ([("fallback", fallback)] if fallback is not None else [])
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        asked = [(provider, _answerer(model, text)) for provider, model in providers]
+        for requests, shown in batches:
+            rows = [(r, list(paths)) for r, paths in zip(requests, shown, strict=True)]
+            found: list[tuple[str | None, str | None, str | None]] = [(None, None, None)] * len(rows)
+            open_ = list(range(len(rows)))
+            for provider, answers in asked:
+                left = []
+                for i, answer in zip(open_, answers([rows[i] for i in open_]), strict=True):
+                    if isinstance(answer, BaseException):
+                        found[i] = (None, None, f"{type(answer).__name__}: {answer}")
+                        left.append(i)
+                    else:
+                        found[i] = (provider, answer, found[i][2])
+                open_ = left
+            yield pd.DataFrame(found, columns=_ANSWERED.fieldNames())
+
+    # Types are given by the hints of the inner function; a model need not answer the same twice.
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, _ANSWERED).asNondeterministic()(request, images)
 
 
 def first_answer(answers: Mapping[str, Column]) -> Column:
@@ -167,8 +222,8 @@ def triage(
     scraped: DataFrame,
     date_str: Column,
     *,
-    model: Model | None = None,
-    fallback: Model | None = None,
+    model: Model | BatchModel | None = None,
+    fallback: Model | BatchModel | None = None,
     rules: Mapping[str, list[str]] = CATEGORY_PATTERNS,
     taxonomy: Mapping[str, str] = TAXONOMY,
 ) -> DataFrame:
@@ -182,7 +237,7 @@ def triage(
         open_ = open_.withColumn("_a", rule_answer(rules)).withColumn("error", F.lit(None).cast("string"))
     else:
         images = model_images(F.col("visual_tiles"))
-        asked = open_.withColumn("_r", ask_model(model_request(), images, model, fallback))
+        asked = open_.withColumn("_r", ask_model(model_request(), images, model, fallback, taxonomy=taxonomy))
         unanswered = F.when(F.col("_r.provider").isNull(), F.col("_r.error"))
         open_ = asked.withColumn("_a", parse_answer(F.col("_r.response"))).withColumn("error", unanswered)
     answered = normalise(open_, F.col("_a"), date_str, taxonomy, "error")

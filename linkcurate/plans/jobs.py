@@ -22,7 +22,7 @@ from linkcurate.operators.reorganize import Reorganisation, files_after, reorgan
 from linkcurate.operators.resolve import resolve_paths
 from linkcurate.operators.stats import session_outcomes
 from linkcurate.operators.tiles import tile_arrays
-from linkcurate.operators.triage import Model, triage
+from linkcurate.operators.triage import BatchModel, Model, triage
 from linkcurate.rules import CATEGORY_PATTERNS
 from linkcurate.schemas import SCRAPED
 from linkcurate.sources.messages import message_scan
@@ -173,8 +173,8 @@ def _work_on(
     vault: str,
     now: Column,
     *,
-    model: Model | None,
-    fallback: Model | None,
+    model: Model | BatchModel | None,
+    fallback: Model | BatchModel | None,
     rules: Mapping[str, list[str]],
     force_visual: bool,
     mode: str,
@@ -232,8 +232,8 @@ def ingest(
     session: bool = False,
     reprocess: bool = False,
     now: Column | None = None,
-    model: Model | None = None,
-    fallback: Model | None = None,
+    model: Model | BatchModel | None = None,
+    fallback: Model | BatchModel | None = None,
     rules: Mapping[str, list[str]] = CATEGORY_PATTERNS,
     force_visual: bool = False,
     mode: str = "prefix",
@@ -262,8 +262,8 @@ def ingest_links(
     vault: str,
     *,
     now: Column | None = None,
-    model: Model | None = None,
-    fallback: Model | None = None,
+    model: Model | BatchModel | None = None,
+    fallback: Model | BatchModel | None = None,
     rules: Mapping[str, list[str]] = CATEGORY_PATTERNS,
     force_visual: bool = False,
     mode: str = "prefix",
@@ -287,8 +287,8 @@ def reprocess_failed(
     *,
     limit: int | None = None,
     now: Column | None = None,
-    model: Model | None = None,
-    fallback: Model | None = None,
+    model: Model | BatchModel | None = None,
+    fallback: Model | BatchModel | None = None,
     rules: Mapping[str, list[str]] = CATEGORY_PATTERNS,
     mode: str = "prefix",
 ) -> Ingested:

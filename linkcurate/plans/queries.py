@@ -1144,11 +1144,16 @@ def answers_triaged(spark, folder):
     return _flat(failed.unionByName(answered))
 
 
-def _echo_model(request: str, images: list[str]) -> str:
-    """A stand-in for a user's model that is down for job links."""
-    if "linkedin.com" in request:
-        raise ConnectionError("primary is down")
-    return '{"title": "%s", "category": "tools"}' % request.split("\n")[2].removeprefix("Title: ")
+def _echo_setup(instructions: str) -> Callable:
+    """A stand-in for a user's model that is down for job links; it reads the categories from its instructions."""
+    names = [line[4:].split("**")[0] for line in instructions.splitlines() if line.startswith("- **")]
+
+    def answer(request: str, images: list[str]) -> str | BaseException:
+        if "linkedin.com" in request:
+            return ConnectionError("primary is down")
+        return '{"title": "%s", "category": "%s"}' % (request.split("\n")[2].removeprefix("Title: "), names[11])
+
+    return lambda requests: [answer(*x) for x in requests]
 
 
 def _fallback_model(request: str, images: list[str]) -> str:
@@ -1162,7 +1167,7 @@ def _fallback_model(request: str, images: list[str]) -> str:
 )
 def model_triaged(spark, folder):
     rows = triage.triage(
-        _responses(spark, folder), F.lit(inputs.NOTE_DAY), model=_echo_model, fallback=_fallback_model
+        _responses(spark, folder), F.lit(inputs.NOTE_DAY), model=triage.BatchModel(_echo_setup), fallback=_fallback_model
     )
     return rows.select("url", "title", "category")
 
