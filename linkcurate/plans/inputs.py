@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from linkcurate.functions.classify import item_type
 from linkcurate.functions.notes import file_name
 from linkcurate.functions.render import note_markdown, note_path
-from linkcurate.functions.text import SPACES, head
+from linkcurate.functions.text import SPACES
 from linkcurate.functions.urls import authority
 from linkcurate.operators.links import message_links, one_per_url
 from linkcurate.rules import TAXONOMY
@@ -95,7 +95,7 @@ def triaged(spark: SparkSession, folder: str) -> DataFrame:
     labelled = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left")
     categories = F.array(*[F.lit(c) for c in CATEGORIES])
     place = F.substring("source", 4, 10).cast("int") + 1
-    first = F.nullif(head(F.regexp_extract("text", r"^[^.\n]*", 0), 60), F.lit(""))
+    first = F.nullif(F.regexp_extract("text", r"^[^.\n]*", 0), F.lit(""))
     doc = F.col("doc_id").cast("string")
     tile = F.struct(
         F.concat(F.lit("/vault/attachments/doc_"), doc, F.lit("_tile_00.jpg")).alias("path"),
@@ -104,10 +104,10 @@ def triaged(spark: SparkSession, folder: str) -> DataFrame:
     return labelled.select(
         "doc_id", "lang", "source", "quality",
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "lang", F.lit("/"), doc).alias("url"),
-        F.concat(F.coalesce(first, F.lit("Untitled")), F.lit(" "), doc).alias("title"),
+        F.concat(doc, F.lit(" "), F.coalesce(first, F.lit("Untitled"))).alias("title"),
         F.element_at(categories, place).alias("category"),
-        head(F.col("text"), 200).alias("summary"),
-        F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 7).alias("insights"),
+        F.col("text").alias("summary"),
+        F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("insights"),
         F.array(
             F.col("lang"), F.col("source"),
             F.concat(F.lit("quality-label "), F.coalesce(F.col("quality").cast("string"), F.lit("none"))),
@@ -272,11 +272,11 @@ CTES: dict[str, tuple[list[str], str]] = {
     "triaged": ([], f"""
         SELECT d.doc_id, lang, source, quality,
                'https://' || source || '.example.org/' || lang || '/' || d.doc_id AS url,
-               coalesce(nullif(substr(regexp_extract(text, '^[^.\n]*'), 1, 60), ''), 'Untitled') || ' ' || d.doc_id AS title,
+               d.doc_id || ' ' || coalesce(nullif(regexp_extract(text, '^[^.\n]*'), ''), 'Untitled') AS title,
                {sql_list(CATEGORIES)}[CAST(substr(source, 4) AS INTEGER) + 1] AS category,
                CASE WHEN source = 'src{CATEGORIES.index("jobs")}' THEN 'job' ELSE 'knowledge' END AS item_type,
-               substr(text, 1, 200) AS summary,
-               list_slice(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1, 7) AS insights,
+               text AS summary,
+               list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS insights,
                [lang, source, 'quality-label ' || coalesce(CAST(quality AS VARCHAR), 'none')] AS tags,
                CASE WHEN lang = 'de' THEN [' print(' || d.doc_id || ') '] ELSE [] END AS code_snippets,
                text AS original_text,

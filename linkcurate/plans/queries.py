@@ -23,9 +23,10 @@ from linkcurate.rules import (
     CATEGORY_PATTERNS, CHAPTER_THEME_DEFAULT, DOMAIN_THEMES, KEYWORD_FALLBACK, LOGIN_PATTERNS, PROMO_PATTERNS, ROUTES,
     SOUND_TAGS, TABLE_THEME_DEFAULT,
 )
+from linkcurate.schemas import REGISTRY
 from linkcurate.sources.messages import message_scan
 from linkcurate.sources.notes import note_scan
-from linkcurate.sources.tables import shared_folder
+from linkcurate.sources.tables import KeyedTable, materialize, shared_folder
 from linkcurate.sources.vault import Vault
 from linkcurate.streaming import ingest as streams
 
@@ -658,6 +659,21 @@ def registry_upserted(spark, folder):
     return _upserted(spark, folder).withColumn("processed_at", moment("processed_at"))
 
 
+@query(f"SELECT {_REGISTRY_COLUMNS} FROM ({SQL_UPSERTED})", "page_registry", "page_updates")
+def registry_in_batches(spark, folder):
+    """The same updates, merged into a stored table by batches in the order of time."""
+    place = f"{shared_folder(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    table = KeyedTable(spark, place, REGISTRY, "url", 16, keep=("telegram_message_id",)).create()
+    table.merge(inputs.page_registry(spark, folder), 0)
+    moments = materialize(inputs.page_updates(spark, folder).withColumn("at", F.unix_micros(F.col("processed_at").cast("timestamp"))), "updates")
+    edges = moments.select(F.percentile_approx("at", F.array(*[F.lit(i / 8) for i in range(1, 8)]), F.lit(1000))).first()[0] or []
+    for batch, (low, high) in enumerate(zip([None, *edges], [*edges, None]), 1):
+        part = moments if low is None else moments.filter(F.col("at") > low)
+        part = part if high is None else part.filter(F.col("at") <= high)
+        table.merge(registry.last_updates(part), batch)
+    return table.read().withColumn("processed_at", moment("processed_at"))
+
+
 @query(f"SELECT {_REGISTRY_COLUMNS} FROM note_registry", "note_registry")
 def registry_newest_first(spark, folder):
     return registry.registry_scan(inputs.note_registry(spark, folder)).withColumn("processed_at", moment("processed_at"))
@@ -1073,7 +1089,7 @@ def _responses(spark, folder):
         F.when(F.col("source") == "src1", F.lit("")).otherwise(F.col("source")).alias("title"),
         F.when(F.col("source") == "src2", F.lit("ml")).when(F.col("source") == "src3", F.lit("jobs")).otherwise(F.lit("agents")).alias("category"),
         F.when(F.col("source") == "src4", F.lit("Job")).otherwise(F.lit("knowledge")).alias("type"),
-        F.substring("text", 1, 40).alias("summary"),
+        F.col("text").alias("summary"),
         F.array("lang", "source").alias("insights"),
         F.when(F.col("source") == "src5", F.array().cast("array<string>")).otherwise(F.array("lang")).alias("tags"),
     ))
@@ -1100,7 +1116,7 @@ SQL_ANSWERS = f"""
            CASE WHEN {_JUNK} THEN NULL WHEN source = 'src1' THEN '' ELSE source END AS title,
            CASE WHEN {_JUNK} THEN NULL WHEN source = 'src2' THEN 'ml' WHEN source = 'src3' THEN 'jobs' ELSE 'agents' END AS category,
            CASE WHEN {_JUNK} THEN NULL WHEN source = 'src4' THEN 'Job' ELSE 'knowledge' END AS type,
-           CASE WHEN {_JUNK} THEN NULL ELSE substr(text, 1, 40) END AS summary,
+           CASE WHEN {_JUNK} THEN NULL ELSE text END AS summary,
            CASE WHEN {_JUNK} THEN NULL ELSE lang || '|' || source END AS insights,
            CASE WHEN {_JUNK} OR source = 'src5' THEN NULL ELSE lang END AS tags
     FROM documents"""

@@ -1,24 +1,16 @@
-"""Tables that grow by batches, and small reading helpers.
-
-Without a table format that can merge, a keyed table is a snapshot plus a log of
-batches: adding a batch costs what the batch holds, and a retried batch
-replaces itself. Reading folds the log into the snapshot; `compact` writes the
-next snapshot.
-"""
+"""Stored steps, small reading helpers, and keyed tables that batches are merged into."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-Fold = Callable[[DataFrame, DataFrame], DataFrame]
-PATCH_BYTES = 16 << 20  # a log smaller than this is folded by paths only
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 
 @cache
@@ -69,83 +61,61 @@ def balanced(frame: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
     return frame.repartition(cores)
 
 
-class BatchTable:
-    """A keyed table under `root`: `base/v=N` snapshots and `log/batch=N` additions.
+@dataclass(frozen=True)
+class KeyedTable:
+    """A table with one row per `key`, stored as Parquet in folders by a hash of the key.
 
-    `fold(base, log)` merges log rows, which carry their `batch`, into a
-    snapshot.
+    A batch reads and rewrites only the buckets its keys fall into, by dynamic partition overwrite, so its cost does not grow with
+    the number of batches before it. A row that a batch replaces stays beside the new one, marked with the batch, until a later
+    batch rewrites its bucket: so the table can be read as of the earlier batches, and a batch that runs twice leaves the same table.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, fold: Fold, partition: str | None = None):
-        self.spark, self.root, self.schema, self.fold = spark, root.rstrip("/"), schema, fold
-        self.partition = partition  # column whose values get folders of their own in a snapshot
-
-    def _numbers(self, folder: str) -> list[int]:
-        """Numbers of the complete `name=N` folders."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        complete = [
-            s.getPath() for s in fs.listStatus(path)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-        ]
-        return sorted(int(p.getName().split("=")[1]) for p in complete)
-
-    def _empty(self, schema: StructType) -> DataFrame:
-        return self.spark.createDataFrame([], schema)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """The table as of the batches below `before`, or all of them."""
-        def seen(n: int) -> bool:
-            return before is None or n < before
-
-        base = max((n for n in self._numbers("base") if seen(n)), default=None)
-        log = [n for n in self._numbers("log") if seen(n) and (base is None or n > base)]
-        snapshot = (
-            self._empty(self.schema) if base is None
-            else self.spark.read.schema(self.schema).parquet(f"{self.root}/base/v={base}")
-        ).select(*self.schema.fieldNames())
-        if not log:
-            return snapshot
-        rows = (
-            self.spark.read.schema(self.schema).option("basePath", f"{self.root}/log")
-            .parquet(*[f"{self.root}/log/batch={n}" for n in log])
-        )
-        return self.fold(snapshot, rows)
-
-    def append(self, rows: DataFrame, batch: int) -> None:
-        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
-
-    def compact(self) -> None:
-        """Write the folded table as the snapshot of the latest batch; older files stay."""
-        log = self._numbers("log")
-        if log and log[-1] not in self._numbers("base"):
-            writer = self.read().write.mode("overwrite")
-            if self.partition:
-                writer = writer.partitionBy(self.partition)
-            writer.parquet(f"{self.root}/base/v={log[-1]}")
-
-    def batch(self, number: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/log/batch={number}")
-
-
-def last_by(key: str, small_bytes: int = PATCH_BYTES) -> Fold:
-    """Fold that keeps the row of the latest batch per key.
-
-    Only the log is shuffled when it is small: its keys are broadcast to the
-    snapshot, whose other rows stay where they are.
-    """
-    def last(rows: DataFrame, names: list[str]) -> DataFrame:
-        row = F.struct("batch", *[c for c in names if c != key])
-        found = rows.groupBy(key).agg(F.max_by(row, "batch").alias("r"))
-        return found.select(*[F.col(key) if c == key else F.col(f"r.{c}") for c in names])
-
-    def fold(base: DataFrame, log: DataFrame) -> DataFrame:
-        if input_bytes(log) > small_bytes:
-            return last(log.unionByName(base.withColumn("batch", F.lit(-1))), base.columns)
-        kept = base.join(F.broadcast(log.select(key).distinct()), key, "left_anti")
-        return kept.select(*base.columns).unionByName(last(log, base.columns))
-
-    return fold
+    spark: SparkSession
+    root: str
+    schema: StructType
+    key: str
+    buckets: int = 64
+    keep: Sequence[str] = ()  # columns of which an old value stays where the new one is NULL
+
+    @property
+    def _stored(self) -> StructType:
+        return StructType(list(self.schema.fields)).add("_batch", LongType()).add("_until", LongType()).add("bucket", IntegerType())
+
+    def create(self) -> KeyedTable:
+        """Make the folder, if it is not there yet."""
+        self.spark.createDataFrame([], self._stored).write.mode("ignore").partitionBy("bucket").parquet(self.root)
+        return self
+
+    def bucket_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        """The buckets of the keys in column `key`: at most `buckets` numbers."""
+        return [r.b for r in keys.select(self.bucket_of(F.col(self.key)).alias("b")).distinct().collect()]
+
+    def _rows(self, before: int | None, buckets: Sequence[int] | None) -> DataFrame:
+        rows = self.spark.read.schema(self._stored).parquet(self.root)
+        if buckets is not None:
+            rows = rows.filter(F.col("bucket").isin(*buckets)) if buckets else rows.limit(0)
+        if before is None:
+            return rows.filter("_until IS NULL")
+        return rows.filter((F.col("_batch") < before) & (F.col("_until").isNull() | (F.col("_until") >= before)))
+
+    def read(self, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The table as of the batches below `before`, or all of them; of some buckets, or all."""
+        return self._rows(before, buckets).select(*self.schema.fieldNames())
+
+    def merge(self, rows: DataFrame, batch: int) -> None:
+        """Put in `rows` (one per key) as batch number `batch`."""
+        names, key = self.schema.fieldNames(), self.key
+        new = materialize(rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]), "batch")
+        old = self._rows(batch, self.touched(new)).drop("_until")
+        both = old.alias("o").join(new.alias("n").withColumn("_new", F.lit(True)), F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+        replaced = F.col("_new") & F.col(f"o.{key}").isNotNull()
+        kept = F.struct(*[F.col(f"o.{c}").alias(c) for c in names], F.col("o._batch").alias("_batch"), F.when(replaced, F.lit(batch)).cast("bigint").alias("_until"))
+        fresh = [F.coalesce(f"n.{c}", f"o.{c}") if c in self.keep else F.col(f"n.{c}") for c in names]
+        made = F.struct(*[x.alias(c) for x, c in zip(fresh, names)], F.lit(batch).cast("bigint").alias("_batch"), F.lit(None).cast("bigint").alias("_until"))
+        versions = F.array(F.when(F.col(f"o.{key}").isNotNull(), kept), F.when(F.col("_new"), made))
+        out = both.select(F.explode(F.filter(versions, lambda v: v.isNotNull())).alias("v")).select("v.*")
+        out = materialize(out.withColumn("bucket", self.bucket_of(F.col(key))), "buckets")
+        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.root)

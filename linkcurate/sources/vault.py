@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +13,9 @@ from pyspark.sql import types as T
 
 from linkcurate.functions.notes import file_name, folder_name
 from linkcurate.functions.render import note_markdown
-from linkcurate.operators.registry import upsert, upsert_checkpoints
+from linkcurate.operators.registry import last_updates
 from linkcurate.schemas import CHECKPOINTS, NOTE_FILES, REGISTRY
-from linkcurate.sources.tables import BatchTable, last_by
+from linkcurate.sources.tables import KeyedTable
 
 
 def work_order(items: DataFrame) -> Column:
@@ -47,12 +48,16 @@ def export_notes(notes: DataFrame) -> DataFrame:
     """Write each note to its `file_path` from the executors; returns the paths written.
 
     Paths are on storage that all executors see. Each file is written whole
-    under a temporary name and then renamed, so a retried task leaves no torn
+    under a name of the task attempt and then renamed, so attempts that run at
+    the same time never write to one file, and a retried one leaves no torn
     file. Nothing happens until the result is used.
     """
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
+        context = TaskContext.get()
+        attempt = f"{context.stageId()}-{context.taskAttemptId()}" if context else uuid.uuid4().hex
         stores = {}
 
         def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -70,7 +75,7 @@ def export_notes(notes: DataFrame) -> DataFrame:
             for path, content in zip(batch["file_path"], batch["content"], strict=True):
                 store, place = located(path)
                 store.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                draft = f"{place}.writing"
+                draft = f"{place}.{attempt}.writing"
                 with store.open_output_stream(draft) as out:
                     out.write(content.encode("utf-8"))
                 store.move(draft, place)
@@ -80,31 +85,25 @@ def export_notes(notes: DataFrame) -> DataFrame:
     return notes.select("file_path", "content").mapInPandas(write, schema)
 
 
-def _fold_registry(base: DataFrame, log: DataFrame) -> DataFrame:
-    return upsert(base, log.withColumn("_order", F.struct("batch", "processed_at")), order="_order")
-
-
-def _fold_checkpoints(base: DataFrame, log: DataFrame) -> DataFrame:
-    return upsert_checkpoints(base, log, "batch")
-
-
 @dataclass(frozen=True)
 class Vault:
     """The tables of one vault below a shared folder."""
 
-    notes: BatchTable
-    registry: BatchTable
-    checkpoints: BatchTable
+    notes: KeyedTable
+    registry: KeyedTable
+    checkpoints: KeyedTable
 
     @classmethod
-    def at(cls, spark: SparkSession, root: str) -> Vault:
+    def at(cls, spark: SparkSession, root: str, buckets: int = 64) -> Vault:
         root = root.rstrip("/")
         return cls(
-            BatchTable(spark, f"{root}/notes", NOTE_FILES, last_by("file_path"), "category"),
-            BatchTable(spark, f"{root}/registry", REGISTRY, _fold_registry),
-            BatchTable(spark, f"{root}/checkpoints", CHECKPOINTS, _fold_checkpoints),
+            KeyedTable(spark, f"{root}/notes", NOTE_FILES, "file_path", buckets).create(),
+            KeyedTable(spark, f"{root}/registry", REGISTRY, "url", buckets, keep=("telegram_message_id",)).create(),
+            KeyedTable(spark, f"{root}/checkpoints", CHECKPOINTS, "key", 1).create(),
         )
 
-    def compact(self) -> None:
-        for table in (self.notes, self.registry, self.checkpoints):
-            table.compact()
+    def record(self, notes: DataFrame, updates: DataFrame, checkpoints: DataFrame, batch: int) -> None:
+        """Merge what one batch made: notes, registry rows and checkpoints, each reduced to one row per key."""
+        self.notes.merge(notes, batch)
+        self.registry.merge(last_updates(updates), batch)
+        self.checkpoints.merge(checkpoints, batch)

@@ -49,18 +49,18 @@ def ingest_batch(
 ) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that runs a session over each micro-batch.
 
-    It reads the vault as of the earlier batches and writes under its own batch
-    number, so a batch that runs twice leaves the same tables. Empty batches
-    are accepted.
+    It reads the vault as of the earlier batches and merges what it made under
+    its own batch number, so a batch that runs twice leaves the same tables. Of
+    the registry it reads and rewrites only the buckets of its links. Empty
+    batches are accepted.
     """
     def run(messages: DataFrame, batch: int) -> None:
+        buckets = vault.registry.touched(message_links(messages))
         done = ingest(
-            messages, vault.registry.read(batch), vault.notes.read(batch), fetched(), root,
+            messages, vault.registry.read(batch, buckets), vault.notes.read(batch), fetched(), root,
             session=True, **options,
         )
-        vault.notes.append(done.notes, batch)
-        vault.registry.append(done.updates, batch)
-        vault.checkpoints.append(done.checkpoint_updates(), batch)
+        vault.record(done.notes, done.updates, done.checkpoint_updates(), batch)
         if on_done:
             on_done(done, batch)
 
