@@ -12,6 +12,7 @@ from linkcurate.operators.joins import is_small, join_unique
 from linkcurate.sources.tables import materialize
 
 SHORTEST_URL = 11  # http://a.bc
+_TO_HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*"
 
 
 def note_addresses(files: DataFrame) -> DataFrame:
@@ -31,28 +32,44 @@ def moved_by_address(urls: DataFrame, files: DataFrame, mode: str = "prefix") ->
     """Links (distinct `url`) with the first note that carries them in its head: `url, moved_path`.
 
     In prefix mode an unquoted address also answers for the links it begins
-    with, so a note of `.../ab` is found for `.../a`. Every prefix of an address
-    becomes an equi-join key instead of comparing all pairs. A counted-small set
-    of links is broadcast to the prefixes; otherwise the prefixes are reduced to
-    one note each, partly before the shuffle, and then joined.
+    with, so a note of `.../ab` is found for `.../a`. An address is cut only at
+    lengths that occur among the links of its own host, and, for links that end
+    within a host, among those: so the rows made grow with the addresses, not
+    with their lengths. The cuts are joined by equality. A counted-small set of
+    links is broadcast to them; otherwise they are reduced to one note each,
+    partly before the shuffle, and then joined.
     """
     if mode not in ("prefix", "exact"):
         raise ValueError(f"mode must be 'prefix' or 'exact', not {mode!r}")
     address = note_addresses(files)
     keys = address.select("file_path", F.col("address").alias("url"))
     if mode == "prefix":
-        cut = (
-            address.filter(~F.col("quoted") & (F.length("address") > SHORTEST_URL))
-            .withColumn("_size", F.explode(F.sequence(F.lit(SHORTEST_URL), F.length("address") - 1)))
-            .select("file_path", F.expr("substring(address, 1, _size)").alias("url"))
-        )
-        keys = keys.unionByName(cut)
+        open_ = address.filter(~F.col("quoted") & (F.length("address") > SHORTEST_URL))
+        keys = keys.unionByName(_cut_addresses(open_.select("file_path", "address"), urls))
     first = F.min("file_path").alias("moved_path")
     if is_small(urls):
         return keys.join(F.broadcast(urls), "url").groupBy("url").agg(first)
     return urls.join(keys.groupBy("url").agg(first), "url")
 
 
+def _cut_addresses(addresses: DataFrame, urls: DataFrame) -> DataFrame:
+    """Beginnings (`file_path, url`) of addresses that a link of `urls` may be."""
+    cut = lambda rows: rows.select("file_path", F.expr("substring(address, 1, _size)").alias("url"))
+    hosted = addresses.withColumn("_host", F.lower(F.regexp_extract("address", _TO_HOST, 0)))
+    known = urls.select(F.lower(F.regexp_extract("url", _TO_HOST, 0)).alias("_host"), F.length("url").alias("_size"), F.col("url"))
+    # Links that go on after their host: the lengths met with this host. Lengths are bounded by those of links.
+    longer = known.filter(F.col("_size") > F.length("_host")).groupBy("_host").agg(F.collect_set("_size").alias("_sizes"))
+    same = join_unique(hosted, longer, "_host", "file_path", "inner")
+    inside = cut(same.withColumn("_size", F.explode("_sizes")).filter(F.col("_size") < F.length("address")))
+    # Links that are a host alone: it may be the beginning of another host.
+    bare = known.filter(F.col("_size") <= F.length("_host")).select("_size").distinct()
+    sizes = [r._size for r in bare.collect()]
+    if not sizes:
+        return inside
+    within = F.filter(F.array(*map(F.lit, sorted(sizes))), lambda n: (n <= F.length("_host")) & (n < F.length("address")))
+    return inside.unionByName(cut(hosted.withColumn("_size", F.explode(within))))
+
+
 def notes_by_name(files: DataFrame) -> DataFrame:
     """First path per base name: `file_name, named_path`."""
     return files.groupBy("file_name").agg(F.min("file_path").alias("named_path"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from pathlib import Path
 
 import pytest
@@ -182,6 +183,22 @@ def test_moved_by_address_same_on_both_ways(spark, monkeypatch, mode):
     assert small == {tuple(r) for r in resolve.moved_by_address(urls, vault, mode).collect()} and len(small) == 30
 
 
+def test_moved_by_prefix_equals_a_plain_search(spark):
+    rng = random.Random(3)
+    parts = ["http://h.org", "https://h.org", "https://h.org.uk", "https://www.a.com", "https://www.a.co", "nothing"]
+    made = [rng.choice(parts) + "".join(rng.choice(["", "/x", "/xy", "?q=1", "/é"]) for _ in range(rng.randint(0, 3))) for _ in range(120)]
+    quoted = [rng.random() < 0.3 for _ in made]
+    vault = files(spark, *[(f"/v/t/{i:03d}.md", "url: " + (f'"{a}"' if q else a) + "\n") for i, (a, q) in enumerate(zip(made, quoted))])
+    lost = sorted({rng.choice(made)[: rng.randint(11, 30)] for _ in range(80)} | {"https://h.org", "https://www.a.co"})
+    got = {r.url: r.moved_path for r in resolve.moved_by_address(spark.createDataFrame([(u,) for u in lost], "url string"), vault).collect()}
+    want = {}
+    for u in lost:
+        hits = [f"/v/t/{i:03d}.md" for i, (a, q) in enumerate(zip(made, quoted)) if a == u or (not q and a.startswith(u) and len(u) >= resolve.SHORTEST_URL)]
+        if hits:
+            want[u] = min(hits)
+    assert got == want and len(want) > 30
+
+
 def test_sync_moves_and_differences(spark):
     table = records(
         spark, record("u1", "/v/other/a.md", "other"), record("u2", "/v/other/a.md", "other"), record("u3", "/v/other/my a.md", "other"),
