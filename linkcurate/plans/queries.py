@@ -24,10 +24,10 @@ from linkcurate.rules import (
     SOUND_TAGS, TABLE_THEME_DEFAULT,
 )
 from linkcurate.schemas import REGISTRY
-from linkcurate.sources.messages import message_scan
-from linkcurate.sources.notes import note_scan
+from linkcurate.sources.messages import cutoff, message_scan
+from linkcurate.sources.notes import note_scan, read_notes
 from linkcurate.sources.tables import KeyedTable, materialize, shared_folder
-from linkcurate.sources.vault import Vault
+from linkcurate.sources.vault import Vault, export_notes
 from linkcurate.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,12 @@ def message_scan_cutoff(spark, folder):
     return message_scan(inputs.messages(spark, folder), since).select("message_id", "text")
 
 
+@query("SELECT message_id, text FROM messages WHERE date >= TIMESTAMP '2024-01-20' AND text <> ''", "messages")
+def message_scan_since_day(spark, folder):
+    """The cutoff as a day in text, as a caller gives it."""
+    return message_scan(inputs.messages(spark, folder), cutoff("2024-01-20")).select("message_id", "text")
+
+
 @query("SELECT message_id, pos, url FROM links", "links")
 def message_links(spark, folder):
     return inputs.links(spark, folder).select("message_id", "pos", "url")
@@ -587,6 +593,20 @@ def reorganised_moves(spark, folder):
     return _unsorted_plan(spark, folder).moves
 
 
+@query(
+    f"""SELECT CASE WHEN fate = 'moved' THEN '{VAULT}/' || target || '/' || file_name ELSE file_path END AS file_path, file_name,
+               CASE WHEN fate = 'moved' THEN target ELSE category END AS category, md5(content) AS content
+        FROM (SELECT * FROM ({SQL_JUDGED}) UNION ALL
+              SELECT *, 'kept' AS fate FROM ({sql_classified(PROSE_RULES)}) WHERE category <> 'other' OR starts_with(file_name, 'NOTEBOOKLM'))
+        WHERE fate <> 'deleted'""", "notes",
+)
+def reorganised_files(spark, folder):
+    """All notes once the plan is carried out; file names are unique, so no two meet on one path."""
+    files = inputs.notes(spark, folder).select("file_path", "file_name", "category", "content")
+    after = reorganize.files_after(files, _unsorted_plan(spark, folder))
+    return after.select("file_path", "file_name", "category", F.md5("content").alias("content"))
+
+
 @query(
     f"""SELECT count(*) AS processed, count(*) FILTER (fate = 'moved') AS reclassified,
                count(*) FILTER (fate = 'moved') AS moved, count(*) FILTER (fate = 'deleted') AS failed_cleaned
@@ -1486,6 +1506,61 @@ def ingest_all_outcomes(spark, folder):
     return _all_ingested(spark, folder).outcomes
 
 
+@query("SELECT file_name, category, content FROM notes", "notes")
+def notes_read_back(spark, folder):
+    """Notes written as files by the executors, and read from the folder tree again."""
+    place = f"{shared_folder(spark).rstrip('/').removeprefix('file://')}/notes-{uuid.uuid4().hex}"
+    moved = inputs.notes(spark, folder).withColumn("file_path", F.concat(F.lit(place), "file_path"))
+    export_notes(moved).count()
+    return read_notes(spark, place).select("file_name", "category", "content")
+
+
+@query(
+    f"""SELECT url, list_aggregate([printf('{VAULT}/attachments/%d_%02d.jpg', page_id, i) FOR i IN range(least(page_id % 7, 3))], 'string_agg', '|') AS shown
+        FROM pages WHERE page_id % 7 > 0""",
+)
+def images_shown(spark, folder):
+    """Of the tiles of a page a model is shown the first three."""
+    tile = lambda i: F.struct(
+        F.format_string(f"{VAULT}/attachments/%s_%02d.jpg", "page_id", i).alias("path"), i.cast("int").alias("index"), F.lit(1).alias("width"), F.lit(1).alias("height")
+    )
+    rows = inputs.pages(spark, folder).filter("page_id % 7 > 0")
+    tiles_ = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("page_id") % 7 - 1), tile)
+    return rows.select("url", joined(triage.model_images(tiles_)).alias("shown"))
+
+
+@query(
+    f"""SELECT url, title, category, item_type AS type, target_path FROM ({sql_ingested("SELECT DISTINCT url, CAST(NULL AS TIMESTAMP) AS date FROM pages", _SQL_TODAY)})""",
+)
+def ingest_given_links(spark, folder):
+    """Links given by the caller, some of them twice, without a feed."""
+    given = inputs.pages(spark, folder).select("url")
+    done = jobs.ingest_links(
+        given.unionByName(given.limit(10)), inputs.page_registry(spark, folder), inputs.notes(spark, folder), _fetched(spark, folder), VAULT, now=_now(), rules=PROSE_RULES
+    )
+    return _results(done).drop("is_overwrite")
+
+
+_RECENT = f"""SELECT url, arg_min(message_id, (date, message_id, pos)) AS message_id, min(date) AS date, arg_min(pos, (date, message_id, pos)) AS pos
+    FROM links WHERE message_id IN (SELECT message_id FROM messages WHERE date >= TIMESTAMP '2024-01-10' ORDER BY date DESC, message_id DESC LIMIT 500) GROUP BY url"""
+
+
+@query(
+    f"""SELECT url, CASE WHEN reason IS NULL THEN 'second opinion' ELSE title END AS title, CASE WHEN reason IS NULL THEN 'agents' ELSE category END AS category
+        FROM ({sql_ingested(_RECENT, _DAY)})""", "links",
+)
+def ingest_newest_with_model(spark, folder):
+    """A batch over the 500 newest messages since a day, triaged by a model whose first provider is down."""
+    def down(instructions: str) -> Callable:
+        return lambda requests: [ConnectionError("down") for _ in requests]
+
+    done = jobs.ingest(
+        inputs.messages(spark, folder), inputs.page_registry(spark, folder), inputs.notes(spark, folder), _fetched(spark, folder), VAULT,
+        since=cutoff("2024-01-10"), limit=500, now=_now(), model=triage.BatchModel(down), fallback=_fallback_model,
+    )
+    return done.results.select("url", "title", "category")
+
+
 # --- Streams ------------------------------------------------------------------
 
 def _run(spark, stream: DataFrame, batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
@@ -1507,6 +1582,19 @@ def stream_links(spark, folder):
     return _rows(spark, streams.link_stream(inputs.message_stream(spark, folder)).select("message_id", "pos", "url"))
 
 
+@query("SELECT message_id, pos, url FROM links", "links")
+def stream_resumed(spark, folder):
+    """The same stream stopped before it began, by a time budget of no seconds, and resumed from its checkpoint until the end."""
+    place = f"{shared_folder(spark).rstrip('/')}/resumed-{uuid.uuid4().hex}"
+    links = streams.link_stream(inputs.message_stream(spark, folder)).select("message_id", "pos", "url")
+    writer = links.writeStream.option("checkpointLocation", f"{place}/state").format("parquet").option("path", f"{place}/rows")
+    streams.run_for(writer.trigger(processingTime="1 hour").start(), 0.001)
+    for _ in range(2):  # the second run finds nothing new
+        if not streams.run_for(writer.trigger(availableNow=True).start(), 3600):
+            raise TimeoutError("the stream did not end")
+    return spark.read.schema(links.schema).parquet(f"{place}/rows")
+
+
 @query("SELECT DISTINCT url FROM links", "links")
 def stream_first_links(spark, folder):
     return _rows(spark, streams.first_links(streams.link_stream(inputs.message_stream(spark, folder))).select("url"))
