@@ -112,8 +112,9 @@ def _ranked(rows: DataFrame, tree: str, order: list[Column], name: str) -> DataF
     tasks = sorted_rows.groupBy("part").agg(F.min(tree).alias("low"), F.max(one).alias("high"))
     ends = Window.partitionBy("high.t").orderBy("part")
     reached = tasks.select("part", "low", F.col("high.t").alias("t"), F.sum("high.n").over(ends).alias("n"))
-    before = reached.alias("x").join(reached.alias("y"), (F.col("x.low") == F.col("y.t")) & (F.col("y.part") < F.col("x.part")))
-    offsets = before.groupBy("x.part").agg(F.max("y.n").alias("offset"))
+    # A tree that goes on from an earlier task is the last one of the task just before. One row per task meets in this window.
+    reached = reached.withColumn("before", F.lag(F.struct("t", "n")).over(Window.orderBy("part")))
+    offsets = reached.where("before.t = low").select("part", F.col("before.n").alias("offset"))
     # At most one row of two numbers per task.
     found = sorted_rows.join(F.broadcast(offsets), "part", "left")
     at = F.col("nth") + F.when(F.col("first"), F.coalesce("offset", F.lit(0))).otherwise(0)

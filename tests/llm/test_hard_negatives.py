@@ -64,6 +64,14 @@ def test_equals_a_plain_search(spark):
     assert len(got) > 500 and any(x[3] is None for x in got)
 
 
+def test_blocks_of_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        check(spark, made(random.Random(7), 300, 6, 60), block_rows=20, anchor_rows=5, together=3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_large_components_are_exact(spark):
     rng = random.Random(4)
     check(spark, made(rng, 80, 4, 1e8), block_rows=32, anchor_rows=4, references=3)

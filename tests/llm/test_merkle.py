@@ -80,6 +80,17 @@ def test_manifest_equals_a_plain_construction(spark, rows):
     check(merkle.checked(spark.createDataFrame(rows, SCHEMA).repartition(5)), rows)
 
 
+def test_trees_that_span_many_tasks(spark, rows):
+    """Without coalescing, every source lies in several range partitions and blocks in several tasks."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        check(merkle.checked(spark.createDataFrame(rows, SCHEMA).repartition(5)), rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_blocks_of_any_height_give_one_tree(spark, rows):
     docs = spark.createDataFrame(rows[:300], SCHEMA)
     leaves = docs.select("doc_id", "source", "root", merkle.leaves_of(docs, F.col("text")).alias("leaf")).withColumn("kept", F.lit(1))
