@@ -74,7 +74,7 @@ def bands_of(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def near_duplicates(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 6
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, numbered: bool = False
 ) -> DataFrame:
     """Per row of `docs`: key, n_shingles, component_id (smallest key reachable), kept (key = component_id).
 
@@ -82,11 +82,16 @@ def near_duplicates(
     blank texts have none and link with nothing. Link: 100 * intersection >= percent * union. With 32 bands of 6 rows a pair at
     80 % is missed with probability 6e-5. Rows with a null key get the smallest key of their component, are never kept, and are
     alone without one; a key that repeats keeps a row each. Other columns play no part.
+
+    `docs` is written once, with a number for each row; with `numbered` it is a stored table already, and `key` numbers its rows.
     """
-    held = stored(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("at")), "texts")
+    if numbered:
+        held = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("at"))
+    else:
+        held = stored(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("at")), "texts")
     signed = stored(held.mapInArrow(lambda b: _signed(b, words, bands, rows), "key long, at long, n long, class binary, bands array<long>, low binary"), "signatures")
     classes = signed.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("at", "n", "bands", "low")).alias("x"))
-    classes = classes.select("class", "x.at", "x.n", "x.bands", "x.low")
+    classes = stored(classes.select("class", "x.at", "x.n", "x.bands", "x.low"), "sets")
     links = links_of(classes.select("at", "n", "bands", "low"), held.select("at", "text"), words, percent)
     found = components(links)
     of_class = classes.select("class", "at").join(found.withColumnRenamed("node", "at"), "at", "left")
@@ -159,6 +164,8 @@ def _in_bands(members: DataFrame, shared: DataFrame, rows: int = 500, share: int
     """
     total = shared.agg(F.sum("k")).first()[0] or 0
     hot = shared.where(F.expr(f"k > {rows} AND k * {share}L >= {total}L")).select("band", F.expr(f"k div {rows} + 1").alias("lots"))
+    if hot.isEmpty():
+        return members.join(shared.select("band", "ends"), "band").select("at", "n", "band", "ends")
     hot = F.broadcast(hot)
     dealt = members.join(hot, "band", "left").withColumn("lot", F.coalesce(F.expr("pmod(xxhash64(at), lots)"), F.lit(0))).drop("lots")
     ends = shared.join(hot, "band", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("lots") - 1, F.lit(0)))))
@@ -175,7 +182,7 @@ def _star(members: DataFrame, percent: int) -> DataFrame:
 def _mixed(members: DataFrame, group: DataFrame) -> DataFrame:
     """Members (with their component) of bands that hold more than one component."""
     named = members.join(group.withColumnRenamed("node", "at"), "at", "left")
-    named = stored(named.select("band", "at", "n", F.coalesce("component", "at").alias("component")), "named")
+    named = named.select("band", "at", "n", F.coalesce("component", "at").alias("component"))
     bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y")
     bands = stored(bands.select("band", "k", F.lit(0).alias("ends")), "bands")
     return stored(_in_bands(named.withColumn("n", F.struct("n", "component")), bands).select("band", "at", "n.n", "n.component"), "mixed")
