@@ -33,7 +33,7 @@ def keep_one_of_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows, name, back = apart(docs)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     key = name["doc_id"]
-    found = minhash.near_duplicates(rows.select("row", F.col(name["text"]).alias("text")), key="row").select("row", "component_id")
+    found = minhash.near_duplicates(rows.select("row", F.col(name["text"]).alias("text")), key="row", numbered=True).select("row", "component_id")
     order = F.struct(F.col(key).isNull().alias("none"), key, "row")
     kept = rows.select("row", key).join(found, "row").groupBy("component_id").agg(F.min(order).alias("first"))
     return rows.join(kept.select(F.col("first.row").alias("row")), "row", "left_semi").select(*back)
