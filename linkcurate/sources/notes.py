@@ -12,11 +12,14 @@ COMPENDIUM_PREFIX = "NOTEBOOKLM"
 
 
 def read_notes(spark: SparkSession, vault: str) -> DataFrame:
-    """Every `*.md` below `vault`, one row per file."""
-    files = spark.read.text(vault, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    """Every `*.md` below `vault`, one row per file.
+
+    Files are read as bytes: the text source sets up a job configuration and its codecs for every single file.
+    """
+    files = spark.read.format("binaryFile").load(vault, recursiveFileLookup=True, pathGlobFilter="*.md")
     raw = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
     path = F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
-    return files.select(path.alias("file_path"), F.col("value").alias("content")).select(
+    return files.select(path.alias("file_path"), F.col("content").cast("string").alias("content")).select(
         "file_path", file_name(F.col("file_path")).alias("file_name"),
         folder_name(F.col("file_path")).alias("category"), "content",
     )

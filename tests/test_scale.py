@@ -5,8 +5,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from linkcurate.functions import text
 from linkcurate.plans import inputs, jobs
 from linkcurate.schemas import NOTE_FILES, REGISTRY
+from linkcurate.sources.notes import read_notes
 
 
 @pytest.fixture
@@ -39,3 +41,25 @@ def test_material_is_parsed_once(spark, monkeypatch):
     done = jobs.ingest(messages, spark.createDataFrame([], REGISTRY), spark.createDataFrame([], NOTE_FILES), jobs.Fetched(pages=pages), "/vault", now=F.lit("2025-01-01").cast("timestamp"))
     assert seen[0].inputFiles() and all("/captures-" in f for f in seen[0].inputFiles())
     assert {r.url: r.title for r in done.items.collect()} == {"http://b.example.com/2": "T", "http://c.example.com/3": "Failed Scrape - Untitled Document"}
+
+
+def test_stutters_need_no_word_list(one, spark):
+    """Runs are folded by one pattern; only ı and ſ, which it would equate to i and s, need the list of words."""
+    plan = spark.range(1).select(text.fold_stutters(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan
+    given = ["So so SO end end", "ſo so So", "ı i I İ", "it it_ it it", "éso so so", "so so\x1cSO so-so", "sſ ss ss", "да  Да\nдА x"]
+    want = ["So end", "ſo so", "ı i", "it it_ it", "éso so", "so so-so".replace("so so", "so", 1), "sſ ss", "да x"]
+    want[5] = "so-so"
+    assert one(text.fold_stutters, *given) == want
+
+
+def test_notes_are_read_as_bytes(spark, tmp_path):
+    """A note file costs no job configuration of its own; contents and names stay as they are."""
+    told = {"a/x + y%20.md": "ünï\n\ntext\r\n".encode(), "bad.md": b"\xff\xfe ok", "a/.hidden.md": b"no", "a/other.txt": b"no", "a/d.md.1.writing": b"no"}
+    for name, content in told.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    read = read_notes(spark, str(tmp_path))
+    assert "binaryfile" in read._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r.file_path: (r.file_name, r.category, bytes(r.b)) for r in read.withColumn("b", F.col("content").cast("binary")).collect()}
+    assert got == {f"{tmp_path}/{n}": (n.split("/")[-1], f"{tmp_path}/{n}".split("/")[-2], c) for n, c in told.items() if n.endswith(".md") and "hidden" not in n}
