@@ -1,6 +1,7 @@
 """Steps that a job or an input runs once, whatever reads them."""
 
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,12 @@ def test_notes_are_read_as_bytes(spark, tmp_path):
     assert "binaryfile" in read._jdf.queryExecution().executedPlan().toString().lower()
     got = {r.file_path: (r.file_name, r.category, bytes(r.b)) for r in read.withColumn("b", F.col("content").cast("binary")).collect()}
     assert got == {f"{tmp_path}/{n}": (n.split("/")[-1], f"{tmp_path}/{n}".split("/")[-2], c) for n, c in told.items() if n.endswith(".md") and "hidden" not in n}
+
+
+def test_stored_notes_hold_no_second_copy_of_the_text(spark, tmp_path):
+    docs = [(1, "One. Two.\n\nThree", "en", "src1"), (2, None, "de", "src2"), (3, "", "fr", "src3"), (4, "Four", "es", "src4")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert "original_text" not in inputs.notes(spark, str(tmp_path)).columns
+    got = {r.telegram_message_id: r.content_hash for r in inputs.note_registry(spark, str(tmp_path)).collect()}
+    assert got == {i: t if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t, _, _ in docs}
