@@ -3,6 +3,8 @@
 import datetime
 import hashlib
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from linkcurate.functions import text
 from linkcurate.plans import inputs, jobs
 from linkcurate.schemas import NOTE_FILES, REGISTRY
 from linkcurate.sources.notes import read_notes
+from linkcurate.sources.tables import balanced
 
 
 @pytest.fixture
@@ -73,3 +76,37 @@ def test_stored_notes_hold_no_second_copy_of_the_text(spark, tmp_path):
     assert "original_text" not in inputs.notes(spark, str(tmp_path)).columns
     got = {r.telegram_message_id: r.content_hash for r in inputs.note_registry(spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t, _, _ in docs}
+
+
+def test_a_row_group_is_spread(spark, tmp_path, monkeypatch):
+    """One task reads a whole row group, so a file of one fills one split of many; a table spread already is left alone."""
+    rows = pa.table({"i": list(range(4000)), "x": [hashlib.sha256(str(i).encode()).hexdigest() for i in range(4000)]})
+    pq.write_table(rows, f"{tmp_path}/one.parquet")
+    pq.write_table(rows, f"{tmp_path}/many.parquet", row_group_size=50)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        one = spark.read.parquet(f"{tmp_path}/one.parquet")
+        assert one.rdd.getNumPartitions() >= cores
+        spread = balanced(one)
+        held = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(held) >= cores and max(held) * cores <= 1.5 * 4000
+        assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, one.collect()))
+        many = spark.read.parquet(f"{tmp_path}/many.parquet")
+        assert balanced(many) is many
+        empty = one.limit(0)
+        assert balanced(empty) is empty
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_gates_know_whole_words_between_hyphens(one):
+    pattern = r"\b(?:ci/cd|multi-agent|github\s*-\s*|agents?-x)\b"
+    assert text.required_words(pattern) == [("agent", False), ("ci", True), ("github", True), ("multi", True)]
+    given = ["CI/CD", "a multi-agent", "githubs - x", "GitHub\t- x", "precise", "multiples", "agents-x", "agenten", "\u212a", "GıTHUB -x", None]
+    words = [f"w{i}" for i in range(text.FEW_WORDS + 1)]
+    many = rf"\b(?:{'|'.join(words)})\b"
+    got = one(lambda x: text.gated(text.fold_case(x), [pattern, many], lambda g: g[0]), *given)
+    assert got == [True, True, False, True, False, False, True, True, False, True, None]
+    assert one(text.fold_case, *given) == ["ci/cd", "a multi-agent", "githubs - x", "github\t- x", "precise", "multiples", "agents-x", "agenten", "k", "github -x", None]
