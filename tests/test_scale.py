@@ -110,3 +110,14 @@ def test_gates_know_whole_words_between_hyphens(one):
     got = one(lambda x: text.gated(text.fold_case(x), [pattern, many], lambda g: g[0]), *given)
     assert got == [True, True, False, True, False, False, True, True, False, True, None]
     assert one(text.fold_case, *given) == ["ci/cd", "a multi-agent", "githubs - x", "github\t- x", "precise", "multiples", "agents-x", "agenten", "k", "github -x", None]
+
+
+def test_words_are_looked_up_in_distinct_pieces(one, spark):
+    """A text is split at every sign only once its repeated pieces are gone, and no word is lost by that."""
+    words = [f"w{i}" for i in range(text.FEW_WORDS + 1)]
+    patterns = [rf"\b(?:{'|'.join(words)})\b", r"\b(?:two\s+parts|courses?)\b"]
+    gates = lambda x: text.gated(text.fold_case(x), patterns, lambda g: F.array(*g))
+    given = ["w3 w3 w3", "x w3,x w3", "(W7)\nend", "w33 w\u00e33", "two  two\tparts", "intercourse", " ", "", None]
+    assert one(gates, *given) == [[True, False], [True, False], [True, False], [False, False], [False, True], [False, True], [False, False], [False, False], [None, None]]
+    plan = spark.range(1).select(gates(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(split(" in plan
