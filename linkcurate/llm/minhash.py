@@ -129,10 +129,11 @@ def low_bytes(signed: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(low.tobytes())])
 
 
-def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, rounds: int = 1) -> DataFrame:
+def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, rounds: int = 1, settled: int = 1) -> DataFrame:
     """Confirmed links (a, b) that connect whatever candidate pairs can connect.
 
-    `classes` has at (unique), n (size of the set), bands and low (lowest bytes of the signature).
+    `classes` has at (unique), n (size of the set), bands and low (lowest bytes of the signature). Bands of up to `settled` members
+    are done once all are compared with the first and the last; with 3 or fewer, these are all pairs.
     """
     members = classes.select("at", "n", F.explode("bands").alias("band"))
     one = F.struct("at", "n")
@@ -141,7 +142,7 @@ def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, rou
     members = stored(_in_bands(members, shared), "members")
     pairs = stored(_star(members, percent), "pairs")
     links = stored(_confirmed(pairs, texts, words, percent), "confirmed")
-    tried, mixed = pairs, _mixed(members.select("band", "at", "n"), components(links))
+    tried, mixed = pairs, _mixed(members.select("band", "at", "n"), components(links), settled)
     for _ in range(rounds):
         met = _met(mixed, classes.select("at", "low"))
         best = met.mapInArrow(lambda batches: _best_partners(batches, percent), "a long, b long, alike int")
@@ -150,7 +151,7 @@ def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, rou
         some = stored(some, "pairs")
         tried = tried.union(some)
         links = stored(links.union(_confirmed(some, texts, words, percent)), "confirmed")
-        mixed = _mixed(mixed.select("band", "at", "n"), components(links))
+        mixed = _mixed(mixed.select("band", "at", "n"), components(links), settled)
     # What is left meets in full.
     met = _met(mixed, classes.select("at", "low").join(_open_sets(mixed.select("at").distinct(), texts, words, percent), "at"))
     rest = met.mapInArrow(lambda batches: _possible(batches, percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
@@ -179,11 +180,11 @@ def _star(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("at", "end.at").alias("a"), F.greatest("at", "end.at").alias("b")).distinct()
 
 
-def _mixed(members: DataFrame, group: DataFrame) -> DataFrame:
-    """Members (with their component) of bands that hold more than one component."""
+def _mixed(members: DataFrame, group: DataFrame, settled: int) -> DataFrame:
+    """Members (with their component) of bands of more than `settled` members that hold more than one component."""
     named = members.join(group.withColumnRenamed("node", "at"), "at", "left")
     named = named.select("band", "at", "n", F.coalesce("component", "at").alias("component"))
-    bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y")
+    bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where(f"x <> y AND k > {settled}")
     bands = stored(bands.select("band", "k", F.lit(0).alias("ends")), "bands")
     return stored(_in_bands(named.withColumn("n", F.struct("n", "component")), bands).select("band", "at", "n.n", "n.component"), "mixed")
 
