@@ -69,7 +69,7 @@ def repeated_passages(
     marks = _bucketed(marks, "marks", lots)
     # Only paragraphs in a component of several classes need another least key; they are few.
     longer = marks.where("n IS NOT NULL").select(F.col("class").alias("at"), "n", "bands", "low", "text")
-    group = components(links_of(longer.select("at", "n", "bands", "low"), longer.select("at", "text"), shingle, percent, settled=3)).withColumnRenamed("node", "class")
+    group = components(links_of(longer.select("at", "n", "bands", "low"), longer.select("at", "text"), shingle, percent, rounds=0, settled=3)).withColumnRenamed("node", "class")
     members = marks.where("kind = 'class'").select("chunk", "class", "key").join(group, "class")
     least = members.groupBy("component").agg(F.min("key").alias("least")).where("least IS NOT NULL")
     near = members.join(least, "component").groupBy("chunk").agg(F.collect_list(F.struct("class", "least")).alias("near"))
@@ -511,8 +511,7 @@ def _runs(chunk: _Chunk, said: pa.Table, size: int, min_words: int, percent: int
         hit = np.zeros(len(first), bool)
         hit[there] = chunk.key[owner[there]] > least[to[there]]
         hit &= chunk.named[owner]
-        for i in np.flatnonzero(hit[:n]):
-            held[first[i] : last[i]] = True
+        held[: chunk.n] |= np.repeat(hit[:n], last[:n] - first[:n])
         # A line like another may still begin or end with sentences of its own: those without any repeated word stay.
         words = np.flatnonzero(held)
         for i in n + np.flatnonzero(hit[n:]):
