@@ -154,7 +154,7 @@ def identify(
     base = (overall + 1) / (overall + 1).sum()
     named = np.array([by_value.get(x, np.zeros(n)) for x in names]) + 0.5
     says = {x: np.log(named[i] / named.sum(axis=0)).tolist() for i, x in enumerate(names)}
-    priors = _priors(seen, base, strength, n)
+    priors = stored(_priors(seen, base, strength, n), "language-priors")
     if priors.count() <= broadcast_rows:
         priors = F.broadcast(priors)
     log_declared = rows.sparkSession.createDataFrame(list(says.items()), "__declared string, __says array<double>")

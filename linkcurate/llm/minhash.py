@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkcurate.llm.common import small, stored
-from linkcurate.llm.components import components
+from linkcurate.llm.components import stars
 from linkcurate.llm.hashing import shingle_sets
 
 _LANES = 1 << 15
@@ -93,7 +93,7 @@ def near_duplicates(
     classes = signed.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("at", "n", "bands", "low")).alias("x"))
     classes = stored(classes.select("class", "x.at", "x.n", "x.bands", "x.low"), "sets")
     links = links_of(classes.select("at", "n", "bands", "low"), held.select("at", "text"), words, percent)
-    found = components(links)
+    found = stars(links)
     of_class = classes.select("class", "at").join(found.withColumnRenamed("node", "at"), "at", "left")
     of_class = of_class.select("class", F.coalesce("component", "at").alias("component"))
     # Smallest key per component: first per class (copies meet in a combining aggregation), then per component.
@@ -130,7 +130,7 @@ def low_bytes(signed: np.ndarray) -> pa.Array:
 
 
 def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, rounds: int = 1, settled: int = 1) -> DataFrame:
-    """Confirmed links (a, b) that connect whatever candidate pairs can connect.
+    """Pairs (a, b) that connect what the confirmed links of all candidate pairs connect: of each row found linked, the smallest linked with it, and the last links.
 
     `classes` has at (unique), n (size of the set), bands and low (lowest bytes of the signature). Bands of up to `settled` members
     are done once all are compared with the first and the last; with 3 or fewer, these are all pairs.
@@ -141,8 +141,8 @@ def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, rou
     shared = stored(shared.select("band", "k", F.array("low", "high").alias("ends")), "bands")
     members = stored(_in_bands(members, shared), "members")
     pairs = stored(_star(members, percent), "pairs")
-    links = stored(_confirmed(pairs, texts, words, percent), "confirmed")
-    tried, mixed = pairs, _mixed(members.select("band", "at", "n"), components(links), settled)
+    group = stars(_confirmed(pairs, texts, words, percent))
+    tried, mixed = pairs, _mixed(members.select("band", "at", "n"), group, settled)
     for _ in range(rounds):
         met = _met(mixed, classes.select("at", "low"))
         best = met.mapInArrow(lambda batches: _best_partners(batches, percent), "a long, b long, alike int")
@@ -150,12 +150,13 @@ def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, rou
         some = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         some = stored(some, "pairs")
         tried = tried.union(some)
-        links = stored(links.union(_confirmed(some, texts, words, percent)), "confirmed")
-        mixed = _mixed(mixed.select("band", "at", "n"), components(links), settled)
+        group = stars(group.union(_confirmed(some, texts, words, percent)), "node", "component")
+        mixed = _mixed(mixed.select("band", "at", "n"), group, settled)
     # What is left meets in full.
     met = _met(mixed, classes.select("at", "low").join(_open_sets(mixed.select("at").distinct(), texts, words, percent), "at"))
     rest = met.mapInArrow(lambda batches: _possible(batches, percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.union(_confirmed(rest, texts, words, percent))
+    rest = stored(rest, "pairs")
+    return group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_confirmed(rest, texts, words, percent))
 
 
 def _in_bands(members: DataFrame, shared: DataFrame, rows: int = 500, share: int = 200) -> DataFrame:
@@ -163,11 +164,10 @@ def _in_bands(members: DataFrame, shared: DataFrame, rows: int = 500, share: int
 
     Such bands number at most `share`, so that their list can be broadcast.
     """
-    total = shared.agg(F.sum("k")).first()[0] or 0
-    hot = shared.where(F.expr(f"k > {rows} AND k * {share}L >= {total}L")).select("band", F.expr(f"k div {rows} + 1").alias("lots"))
-    if hot.isEmpty():
+    total, most = shared.agg(F.sum("k"), F.max("k")).first()
+    if not total or most <= rows or most * share < total:
         return members.join(shared.select("band", "ends"), "band").select("at", "n", "band", "ends")
-    hot = F.broadcast(hot)
+    hot = F.broadcast(shared.where(F.expr(f"k > {rows} AND k * {share}L >= {total}L")).select("band", F.expr(f"k div {rows} + 1").alias("lots")))
     dealt = members.join(hot, "band", "left").withColumn("lot", F.coalesce(F.expr("pmod(xxhash64(at), lots)"), F.lit(0))).drop("lots")
     ends = shared.join(hot, "band", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("lots") - 1, F.lit(0)))))
     return dealt.join(ends.select("band", "lot", "ends"), ["band", "lot"]).select("at", "n", "band", "ends")
