@@ -2,16 +2,19 @@
 
 import datetime
 import hashlib
+import shutil
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from linkcurate.functions import text
 from linkcurate.plans import inputs, jobs
 from linkcurate.schemas import NOTE_FILES, REGISTRY
-from linkcurate.sources.notes import read_notes
+from linkcurate.sources import notes as note_source
+from linkcurate.sources.notes import note_scan, read_notes
 from linkcurate.sources.tables import balanced
 
 
@@ -69,6 +72,57 @@ def test_notes_are_read_as_bytes(spark, tmp_path):
     assert got == {f"{tmp_path}/{n}": (n.split("/")[-1], f"{tmp_path}/{n}".split("/")[-2], c) for n, c in told.items() if n.endswith(".md") and "hidden" not in n}
 
 
+def _rows(read):
+    return sorted((r.file_path, r.file_name, r.category, bytes(r.b)) for r in read.withColumn("b", F.col("content").cast("binary")).collect())
+
+
+def test_large_vaults_are_listed_by_executors(spark, tmp_path, monkeypatch):
+    """Above a number of files the driver's plan names none of them; the rows are those of Spark's reader."""
+    monkeypatch.setattr(note_source, "HELD_BYTES", 10)
+    told = {
+        "a/x + y%20.md": "ünï\n\ntext\r\n".encode(), "a/_k=v.md": b"kept", "b/c/d/deep #?&.md": b"long " * 10, "bad.md": b"\xff\xfe ok", "_u=1/x.md": b"kept", "dir.md/ж.md": b"c",
+        "a/.hidden.md": b"no", "a/_under.md": b"no", "a/_metadata.md": b"no", "a/empty.md": b"", "a/other.txt": b"no", "a/d.md.1.writing": b"no", "a/up.MD": b"no", ".h/x.md": b"no", "_u/x.md": b"no",
+    }
+    for name, content in told.items():
+        (tmp_path / "v" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "v" / name).write_bytes(content)
+    (tmp_path / "v/linked").symlink_to(tmp_path / "v/a")
+    (tmp_path / "v/gone.md").symlink_to(tmp_path / "v/nowhere")
+    (tmp_path / "v/nothing").mkdir()
+    vault = str(tmp_path / "v")
+    want = _rows(read_notes(spark, vault))
+    assert len(want) == 8 and {r[3] for r in want} == {c for c in told.values() if c not in (b"", b"no")}
+    for given in (vault, f"{vault}/", f"file://{vault}"):
+        large = read_notes(spark, given, few=15)  # of 16 files that are not hidden
+        assert "binaryfile" not in large._jdf.queryExecution().executedPlan().toString().lower()
+        assert large.schema == read_notes(spark, given).schema and _rows(large) == want
+    assert "binaryfile" in read_notes(spark, vault, few=16)._jdf.queryExecution().executedPlan().toString().lower()
+    by_store = note_source.note_list(spark, f"file://{vault}").collect()  # as in a store that has an address
+    assert sorted((r.path, r.size) for r in by_store) == sorted((f"file://{r[0]}", len(r[3])) for r in want)
+
+
+def test_large_vaults_are_read_as_far_as_asked_for(spark, tmp_path):
+    for name in ("a/1.md", "a/2.md", "b/3.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    large = read_notes(spark, str(tmp_path), few=0)
+    shutil.rmtree(tmp_path / "b")  # listed, no longer there
+    assert {r.file_name for r in large.select("file_name").collect()} == {"1.md", "2.md", "3.md"}
+    assert {r.content for r in note_scan(large, "a").collect()} == {"a/1.md", "a/2.md"}
+
+
+@pytest.mark.parametrize("few", [0, 9])
+def test_other_vaults_are_left_to_sparks_reader(spark, tmp_path, few):
+    """A pattern of folders, one file, and a folder that is not there."""
+    for name in ("a1/1.md", "a2/2.md", "b/3.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert {r.content for r in read_notes(spark, f"{tmp_path}/a*", few).collect()} == {"a1/1.md", "a2/2.md"}
+    assert [r.content for r in read_notes(spark, f"{tmp_path}/b/3.md", few).collect()] == ["b/3.md"]
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_notes(spark, f"{tmp_path}/none", few)
+
+
 def test_stored_notes_hold_no_second_copy_of_the_text(spark, tmp_path):
     docs = [(1, "One. Two.\n\nThree", "en", "src1"), (2, None, "de", "src2"), (3, "", "fr", "src3"), (4, "Four", "es", "src4")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
